@@ -134,7 +134,7 @@ def _sizes(x: str, y: str):
 _PAIRS = """
 inline(flatten(transform(units, (x, i) -> transform(
     filter(slice(units, i + 2, size(units)), y -> y.grp <> x.grp AND abs(y.s - x.s) <= 1),
-    y -> struct(least(x.grp, y.grp) AS a, greatest(x.grp, y.grp) AS b)))))
+    y -> struct(least(x.grp, y.grp) AS a, greatest(x.grp, y.grp) AS b, least(x.slack, y.slack) AS slack)))))
 """
 #: Token classes at a size class: a twelfth of the least size, so that the extension pays for one lost token of each.
 _CLASSES = f"greatest(1L, CAST(floor(0.08D * power({_RATIO}D, level)) AS LONG))"
@@ -152,13 +152,21 @@ def _candidates(sketches: DataFrame, groups: DataFrame) -> DataFrame:
     several = several.groupBy("t", "grp", "s").agg(F.min("pack").alias("pack")).drop("s")
     index = alone.unionByName(several).withColumn("c", F.count("*").over(Window.partitionBy("t"))).filter("c > 1")
     index = keep(index.selectExpr("t", "grp", "CAST(pack % 256 AS INT) AS s", "CAST(pack DIV 256 AS INT) AS slack", "c"), "index")
-    lists = index.filter(F.col("c") <= FREQUENT).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("grp", "s"))).alias("units"))
-    single = lists.select("units").distinct().selectExpr(_PAIRS)
+    lists = index.filter(F.col("c") <= FREQUENT).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("grp", "s", "slack"))).alias("units"))
+    single = lists.groupBy("units").agg(F.count("*").alias("shared")).selectExpr("shared", _PAIRS).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("slack").alias("slack"))
 
+    # a pair shares more tokens of its prefixes than the extension has, or else frequent tokens make up the rest
     common = index.filter(F.col("c") > FREQUENT)
-    units = keep(common.groupBy("grp", "s").agg(F.count("*").alias("f"), F.min("slack").alias("slack")).filter("f > 1").selectExpr("grp", "s", "f > slack AS needy"), "units")
+    units = keep(common.groupBy("grp", "s").agg(F.count("*").alias("f"), F.min("slack").alias("slack")), "units")
+    most = keep(units.groupBy("grp").agg(F.max("f").alias("f")), "frequent")
+    rows = most.count()
+    for k in "ab":
+        single = single.join(small(most.selectExpr(f"grp AS {k}", f"f AS f{k}"), rows), k, "left")
+    single = single.filter("shared + least(coalesce(fa, 0), coalesce(fb, 0)) > slack").select("a", "b")
+
+    units = units.filter("f > 1").selectExpr("grp", "s", "f > slack AS needy")
     if not units.filter("needy").limit(1).count():
-        return single.distinct()
+        return single
     tokens = common.select("grp", "s", "t").join(small(units, units.count()), ["grp", "s"])
     tokens = tokens.select("*", F.explode(F.expr("array(s, s - 1)")).alias("level")).filter("level >= 0").selectExpr("grp", "s", "needy", "level", "t", f"pmod(t, {_CLASSES}) AS class")
     sets = tokens.groupBy("grp", "s", "needy", "level", "class").agg(F.array_sort(F.collect_list("t")).alias("ts"))
@@ -167,7 +175,7 @@ def _candidates(sketches: DataFrame, groups: DataFrame) -> DataFrame:
     left = combos.filter("needy").selectExpr("grp AS x", "s AS xs", "level", "t1", "t2")
     right = combos.selectExpr("grp AS y", "s AS ys", "level", "t1", "t2")
     pairs = left.join(right, ["level", "t1", "t2"]).filter("x <> y AND abs(xs - ys) <= 1").selectExpr("least(x, y) AS a", "greatest(x, y) AS b")
-    return single.union(pairs).distinct()
+    return single.union(pairs.distinct()).distinct()
 
 
 def _between_members(open_pairs: DataFrame, distances: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, licenses, mixing, ngram_join, sharding, toxicity
+from . import chat, decontaminate, embeddings, language, licenses, mixing, ngram_join, sharding, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(turns.unionByName(hostile))
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    chunks, table = tokens.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokens.read_tokens(chunks, table)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(_table(spark, sf_dir, "documents"))
 
@@ -27,6 +34,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -53,7 +64,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_chat_format, op3_mix_sources, op4_ngram_jaccard_join, op6_benchmark_decontamination,
+        op1_chat_format, op2_token_ids, op3_mix_sources, op4_ngram_jaccard_join, op5_embedding_near_dedup, op6_benchmark_decontamination,
         op7_sharding, op8_language_id, op9_toxicity, op10_license_scan,
     )
 }

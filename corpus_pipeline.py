@@ -1,12 +1,65 @@
-"""Corpus preparation as a sequence of stages, each written as a table before the next begins."""
+"""Corpus preparation in five stages, each written as a table before the next begins."""
 
 from __future__ import annotations
 
+from duebook.llm import decontaminate, language, mixing, ngram_join, sharding
+from duebook.llm.store import keep, small
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the ids of ``gone`` (doc_id); rows with a null id stay."""
+    gone = keep(gone.filter("doc_id IS NOT NULL").select("doc_id").distinct(), "rejected")
+    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a determined language (null, or no letter) go."""
+    found = language.languages(docs)
+    return _without(docs.filter("text IS NOT NULL"), found.filter(F.col("lang_pred") == language.UNDETERMINED))
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least document of each group stays."""
+    groups = ngram_join.ngram_jaccard_groups(docs)
+    return _without(docs, groups.filter("doc_id <> component_id"))
+
+
+def remove_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.filter("contaminated"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its words, to the nearest whole number."""
+    taken = mixing.mixed_sizes(docs).filter("doc_id IS NOT NULL AND size > 0")
+    times = keep(taken.groupBy("doc_id").agg(F.expr("CAST(floor(sum(taken) / sum(size) + 0.5D) AS INT)").alias("times")).filter("times > 0"), "times")
+    return docs.join(small(times, times.count()), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in shuffled shards: their columns with ``shard`` and ``slot``."""
+    sized = docs.withColumn("text_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    return sharding.shuffle_into_shards(sized, size_col="text_bytes").drop("text_bytes")
+
+
+STAGES = [
+    ("language_id", identify_languages),
+    ("ngram_jaccard_join", join_near_duplicates),
+    ("benchmark_decontamination", remove_benchmark_text),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+
+#: The language model and the seeded order of the mix have no SQL form; tests compare the stages with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = keep(stage(spark, docs, sf_dir), name)
+    return docs

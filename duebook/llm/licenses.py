@@ -52,7 +52,8 @@ def license_matches(docs: DataFrame, templates: dict[str, list[str]] | None = No
     table = template_rows(templates or TEMPLATES)
     spark = docs.sparkSession
     known = spark.createDataFrame(table, "template int, license string, grams int, bigram string")
-    low, high = min(r[2] for r in table) * least / (2 - least), max(r[2] for r in table) * (2 - least) / least
+    narrow, wide = least / (2 - least) - 1e-9, (2 - least) / least + 1e-9
+    low, high = min(r[2] for r in table) * narrow, max(r[2] for r in table) * wide
     text = F.col("text")
     lines = docs.select("doc_id", F.posexplode(F.split(text, r"\r?\n")).alias("part", "said"))
     paragraphs = docs.select("doc_id", F.posexplode(F.split(text, r"\r?\n[ \t]*\r?\n\s*")).alias("part", "said")).filter(F.col("said").contains("\n")).withColumn("part", -1 - F.col("part"))
@@ -64,7 +65,7 @@ def license_matches(docs: DataFrame, templates: dict[str, list[str]] | None = No
     parts = parts.withColumn("words", words).withColumn("set", F.array_distinct(pairs))
     parts = parts.withColumn("n", F.size("set")).filter((F.col("n") >= low) & (F.col("n") <= high))
     shared = parts.select("doc_id", "part", "n", F.explode("set").alias("bigram")).join(F.broadcast(known), "bigram")
-    shared = shared.filter((F.col("grams") >= F.col("n") * least / (2 - least)) & (F.col("grams") <= F.col("n") * (2 - least) / least))
+    shared = shared.filter((F.col("grams") >= F.col("n") * narrow) & (F.col("grams") <= F.col("n") * wide))
     dice = shared.groupBy("doc_id", "part", "template", "license", "grams", "n").agg(F.count("*").alias("both")).withColumn("dice", 2.0 * F.col("both") / (F.col("n") + F.col("grams")))
     best = F.max_by(F.struct("license", "dice"), F.struct("dice", (-F.col("template")).alias("t")))
     return dice.filter(F.col("dice") >= least).groupBy("doc_id", "part").agg(best.alias("best")).select("doc_id", "part", "best.license", "best.dice")

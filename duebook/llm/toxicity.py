@@ -163,7 +163,7 @@ def fit_field(texts: list[str], toxic: np.ndarray, steps: int = STEPS) -> Model:
     p, _ = marginals(weights[place].sum(0) + bias, pairs, first)
     x = np.log1p(np.bincount(row, p, minlength=len(texts)))
     a, b = -3.0, 3.0
-    for _ in range(200):  # Newton steps of a logistic regression with a little shrinkage
+    for _ in range(200 if toxic.any() else 0):  # Newton steps of a logistic regression with a little shrinkage
         q = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
         w = q * (1 - q) + 1e-9
         slope = np.array([(toxic - q).sum() - 0.01 * a, ((toxic - q) * x).sum() - 0.01 * b])

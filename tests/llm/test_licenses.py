@@ -27,6 +27,6 @@ def test_against_brute_force(spark):
     assert got == {i: b for i, t in rows if (b := brute(t))}
     report = {r.doc_id: r for r in licenses.license_report(df).collect()}
     assert len(report) == len(rows)
-    assert (report[203].n_parts, report[203].licenses, report[203].best_dice) == (2 + 0, "MIT", 1.0) or report[203].n_parts == 3
+    assert (report[203].licenses, report[203].best_dice) == ("MIT", 1.0)
     assert (report[201].n_parts, report[201].licenses, report[201].best_license) == (0, "", None)
     assert licenses.license_report(df.limit(0)).count() == 0

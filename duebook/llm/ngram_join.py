@@ -2,7 +2,7 @@
 
 A document's set is its distinct shingles of five words, as 64-bit hashes in hash order. Two
 sets of Jaccard similarity 0.8 or more share many tokens among the first fifth of each, so a
-prefix of that length is indexed. The prefix is extended by a tenth of the set. A token class is
+prefix of that length is indexed. The prefix is extended by three tenths of the set. A token class is
 rare or frequent by the number of groups of documents whose prefix holds the token:
 
 * rare tokens are indexed singly;
@@ -64,7 +64,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return out.view(np.int64)
 
             prefix = n - _need(n) + 1
-            taken = np.where(have, np.minimum(n, prefix + np.maximum(1, -(-n // 10))), 0)
+            taken = np.where(have, np.minimum(n, prefix + np.maximum(1, -(-3 * n // 10))), 0)
             where = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken - first[:-1], taken)
             columns = [
                 batch.column(0).slice(at, len(n)),
@@ -136,8 +136,8 @@ inline(flatten(transform(units, (x, i) -> transform(
     filter(slice(units, i + 2, size(units)), y -> y.grp <> x.grp AND abs(y.s - x.s) <= 1),
     y -> struct(least(x.grp, y.grp) AS a, greatest(x.grp, y.grp) AS b, least(x.slack, y.slack) AS slack)))))
 """
-#: Token classes at a size class: a twelfth of the least size, so that the extension pays for one lost token of each.
-_CLASSES = f"greatest(1L, CAST(floor(0.08D * power({_RATIO}D, level)) AS LONG))"
+#: Token classes at a size class: less than a quarter of the least size, so that the extension pays for one lost token of each.
+_CLASSES = f"greatest(1L, CAST(floor(0.24D * power({_RATIO}D, level)) AS LONG))"
 
 
 def _candidates(sketches: DataFrame, groups: DataFrame) -> DataFrame:

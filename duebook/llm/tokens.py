@@ -28,7 +28,7 @@ BLOCK = LANES * STEPS
 CHUNK_IDS = 1 << 19
 SCALE = 20  # frequencies add up to 2^SCALE
 _LOW = np.uint64(1 << 31)
-_CACHE = 250_000
+_CACHE = 1_000_000  # pieces that a worker keeps, about 150 MB
 
 
 # tokens of a text

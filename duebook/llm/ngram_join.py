@@ -7,8 +7,9 @@ rare or frequent by the number of groups of documents whose prefix holds the tok
 
 * rare tokens are indexed singly;
 * frequent ones (boilerplate, shared passages) don't count towards the prefix, which its extension
-  makes up for. Where a prefix has more frequent tokens than its extension, two-token combinations
-  of them are indexed, within classes by token hash, and compared with the combinations of all.
+  makes up for. Documents whose prefix has more frequent tokens than its extension are indexed by
+  the rare tokens of their whole sets. Those whose whole sets have too few rare ones even then are
+  indexed by two-token combinations of frequent tokens, within classes by token hash.
 
 Exact copies are one class by a 128-bit digest of the set. Before the join, documents are linked
 to the least document with the same minimum hash, under three permutations, each link verified.
@@ -83,6 +84,31 @@ _SKETCH_NAMES = ["doc_id", "n", "d1", "d2", *(f"m{j}" for j in range(PERMUTATION
 _SKETCH = "doc_id long, n int, d1 long, d2 long, " + ", ".join(f"m{j} long" for j in range(PERMUTATIONS)) + ", s int, slack int, tokens array<long>"
 
 
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's whole set with its size, size class and a key that tells apart the texts of a repeated id."""
+    for batch in batches:
+        for at, raw, offsets in tx.slices(batch.column(1)):
+            raw = tx.LOWER[raw]
+            starts, ends, first = tx.spans(raw, offsets, tx.SPACE)
+            v, first = tx.sorted_sets(*tx.windows(tx.word_hashes(raw, starts, ends), first, SHINGLE))
+            n = np.diff(first)
+            key = np.zeros(len(n), np.uint64)
+            if (n > 0).any():
+                key[n > 0] = np.add.reduceat(tx.mix(v, 11), first[:-1][n > 0])
+            columns = [
+                batch.column(0).slice(at, len(n)),
+                pa.array(key.view(np.int64)),
+                batch.column(2).slice(at, len(n)),
+                pa.array(n.astype(np.int32)),
+                pa.array(np.floor(np.log(np.maximum(n, 1)) / math.log(_RATIO)).astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(v.view(np.int64))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "grp", "n", "s", "tokens"])
+
+
+_WHOLE = "doc_id long, key long, grp long, n int, s int, tokens array<long>"
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Intersection and union of the two texts' sets in each row."""
     for batch in batches:
@@ -136,12 +162,12 @@ inline(flatten(transform(units, (x, i) -> transform(
     filter(slice(units, i + 2, size(units)), y -> y.grp <> x.grp AND abs(y.s - x.s) <= 1),
     y -> struct(least(x.grp, y.grp) AS a, greatest(x.grp, y.grp) AS b, least(x.slack, y.slack) AS slack)))))
 """
-#: Token classes at a size class: less than a quarter of the least size, so that the extension pays for one lost token of each.
-_CLASSES = f"greatest(1L, CAST(floor(0.24D * power({_RATIO}D, level)) AS LONG))"
+#: Token classes at a size class: a fifth of the least size. A prefix longer by as many tokens shares two in one class.
+_CLASSES = f"greatest(1L, CAST(floor(0.2D * power({_RATIO}D, level)) AS LONG))"
 
 
-def _candidates(sketches: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of groups (a, b) that share a rare token, or a combination of frequent ones, of their prefixes.
+def _candidates(sketches: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of groups (a, b) that share a rare token of their prefixes, and those of ``_whole_candidates``.
 
     ``groups``: (node, component) of the documents that are in a group of several; others are their own.
     """
@@ -164,18 +190,48 @@ def _candidates(sketches: DataFrame, groups: DataFrame) -> DataFrame:
         single = single.join(small(most.selectExpr(f"grp AS {k}", f"f AS f{k}"), rows), k, "left")
     single = single.filter("shared + least(coalesce(fa, 0), coalesce(fb, 0)) > slack").select("a", "b")
 
-    units = units.filter("f > 1").selectExpr("grp", "s", "f > slack AS needy")
-    if not units.filter("needy").limit(1).count():
+    # where only frequent tokens are shared, both units have more of them than the smaller slack, which is 0.8 of the other at least
+    needy = keep(units.filter("10 * f > 8 * slack").select("grp").distinct(), "needy")
+    count = needy.count()
+    if not count:
+        return single
+    ids = docs.select("doc_id", F.coalesce("component", "doc_id").alias("grp")).join(small(needy, count), "grp", "left_semi").distinct()
+    return single.union(_whole_candidates(keep(ids, "needy-ids"), texts)).distinct()
+
+
+def _whole_candidates(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of groups (a, b) of ``ids`` (doc_id, grp) that share a rare token, or a combination of frequent ones, of their whole sets.
+
+    Sets that share no rare token share at least ``_need`` frequent ones each. So only sets with that
+    many are indexed by combinations, of a prefix of their frequent tokens in hash order.
+    """
+    rows = texts.join(small(ids, ids.count()), "doc_id")
+    wholes = keep(rows.select("doc_id", "text", "grp").mapInArrow(_whole_sets, _WHOLE), "wholes").withColumn("need", F.expr(f"(n * {PERCENT} + 99) DIV 100"))
+    units = wholes.select("grp", "s", "need", F.explode("tokens").alias("t")).groupBy("t", "grp", "s").agg(F.min("need").alias("need"))
+    index = keep(units.withColumn("c", F.count("*").over(Window.partitionBy("t"))).filter("c > 1"), "whole-index")
+    lists = index.filter(F.col("c") <= FREQUENT).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("grp", "s", F.col("need").alias("slack")))).alias("units"))
+    single = lists.groupBy("units").agg(F.count("*").alias("shared")).selectExpr("shared", _PAIRS).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("slack").alias("need"))
+
+    frequent = keep(index.filter(F.col("c") > FREQUENT).select("t").distinct(), "frequent-tokens")
+    held = wholes.select("doc_id", "key", "grp", "n", "need", "s", F.explode("tokens").alias("t")).join(small(frequent, frequent.count()), "t")
+    held = keep(held.groupBy("doc_id", "key", "grp", "n", "need", "s").agg(F.array_sort(F.collect_list("t")).alias("ts")), "held")
+    most = keep(held.groupBy("grp").agg(F.max(F.size("ts")).alias("f")), "frequent")
+    groups = most.count()
+    for k in "ab":
+        single = single.join(small(most.selectExpr(f"grp AS {k}", f"f AS f{k}"), groups), k, "left")
+    # an overlap is at most the shared rare tokens and the frequent ones of the set that has fewer
+    single = single.filter("shared + least(coalesce(fa, 0), coalesce(fb, 0)) >= need").select("a", "b")
+
+    full = held.filter("size(ts) >= need")
+    if not full.limit(1).count():
         return single
-    tokens = common.select("grp", "s", "t").join(small(units, units.count()), ["grp", "s"])
-    tokens = tokens.select("*", F.explode(F.expr("array(s, s - 1)")).alias("level")).filter("level >= 0").selectExpr("grp", "s", "needy", "level", "t", f"pmod(t, {_CLASSES}) AS class")
-    sets = tokens.groupBy("grp", "s", "needy", "level", "class").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    combos = sets.selectExpr("grp", "s", "needy", "level", "inline(flatten(transform(ts, (x, i) -> transform(slice(ts, i + 2, size(ts)), y -> struct(x AS t1, y AS t2)))))")
-    combos = keep(combos, "combos")
-    left = combos.filter("needy").selectExpr("grp AS x", "s AS xs", "level", "t1", "t2")
-    right = combos.selectExpr("grp AS y", "s AS ys", "level", "t1", "t2")
-    pairs = left.join(right, ["level", "t1", "t2"]).filter("x <> y AND abs(xs - ys) <= 1").selectExpr("least(x, y) AS a", "greatest(x, y) AS b")
-    return single.union(pairs.distinct()).distinct()
+    levels = full.select("*", F.explode(F.expr("array(s, s - 1)")).alias("level")).filter("level >= 0").withColumn("classes", F.expr(_CLASSES))
+    prefix = levels.select("doc_id", "key", "grp", "s", "level", "classes", F.explode(F.expr("slice(ts, 1, CAST(size(ts) - need + 1 + classes AS INT))")).alias("t"))
+    sets = prefix.groupBy("doc_id", "key", "grp", "s", "level", F.expr("pmod(t, classes)").alias("class")).agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    combos = sets.selectExpr("grp", "s", "level", "inline(flatten(transform(ts, (x, i) -> transform(slice(ts, i + 2, size(ts)), y -> struct(x AS t1, y AS t2)))))").distinct()
+    same = combos.groupBy("level", "t1", "t2").agg(F.array_sort(F.collect_list(F.struct("grp", "s", F.lit(0).alias("slack")))).alias("units")).filter("size(units) > 1")
+    pairs = same.select("units").distinct().selectExpr(_PAIRS).select("a", "b")
+    return single.union(pairs.distinct())
 
 
 def _between_members(open_pairs: DataFrame, distances: DataFrame) -> DataFrame:
@@ -206,7 +262,7 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     edges = keep(copies.union(_linked(near)), "links")
     groups = components(edges)
 
-    across = overlaps(_candidates(sketches.filter("doc_id IS NOT NULL"), groups), texts)
+    across = overlaps(_candidates(sketches.filter("doc_id IS NOT NULL"), groups, texts), texts)
     edges = keep(edges.union(_linked(across)), "links")
     merged = components(edges)
 

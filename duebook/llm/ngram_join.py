@@ -207,14 +207,16 @@ def _whole_candidates(ids: DataFrame, texts: DataFrame) -> DataFrame:
     """
     rows = texts.join(small(ids, ids.count()), "doc_id")
     wholes = keep(rows.select("doc_id", "text", "grp").mapInArrow(_whole_sets, _WHOLE), "wholes").withColumn("need", F.expr(f"(n * {PERCENT} + 99) DIV 100"))
-    units = wholes.select("grp", "s", "need", F.explode("tokens").alias("t")).groupBy("t", "grp", "s").agg(F.min("need").alias("need"))
-    index = keep(units.withColumn("c", F.count("*").over(Window.partitionBy("t"))).filter("c > 1"), "whole-index")
-    lists = index.filter(F.col("c") <= FREQUENT).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("grp", "s", F.col("need").alias("slack")))).alias("units"))
+    tokens = wholes.select("doc_id", "key", "grp", "s", "need", F.explode("tokens").alias("t"))
+    # the groups that hold each token: both windows run on one shuffle and one sort
+    place = tokens.withColumn("place", F.dense_rank().over(Window.partitionBy("t").orderBy("grp")))
+    index = keep(place.withColumn("c", F.max("place").over(Window.partitionBy("t"))).filter("c > 1").drop("place"), "whole-index")
+    units = index.filter(F.col("c") <= FREQUENT).groupBy("t", "grp", "s").agg(F.min("need").alias("slack"))
+    lists = units.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("grp", "s", "slack"))).alias("units"))
     single = lists.groupBy("units").agg(F.count("*").alias("shared")).selectExpr("shared", _PAIRS).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("slack").alias("need"))
 
-    frequent = keep(index.filter(F.col("c") > FREQUENT).select("t").distinct(), "frequent-tokens")
-    held = wholes.select("doc_id", "key", "grp", "n", "need", "s", F.explode("tokens").alias("t")).join(small(frequent, frequent.count()), "t")
-    held = keep(held.groupBy("doc_id", "key", "grp", "n", "need", "s").agg(F.array_sort(F.collect_list("t")).alias("ts")), "held")
+    held = index.filter(F.col("c") > FREQUENT).groupBy("doc_id", "key", "grp", "need", "s").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    held = keep(held, "held")
     most = keep(held.groupBy("grp").agg(F.max(F.size("ts")).alias("f")), "frequent")
     groups = most.count()
     for k in "ab":

@@ -57,12 +57,14 @@ def license_matches(docs: DataFrame, templates: dict[str, list[str]] | None = No
     text = F.col("text")
     lines = docs.select("doc_id", F.posexplode(F.split(text, r"\r?\n")).alias("part", "said"))
     paragraphs = docs.select("doc_id", F.posexplode(F.split(text, r"\r?\n[ \t]*\r?\n\s*")).alias("part", "said")).filter(F.col("said").contains("\n")).withColumn("part", -1 - F.col("part"))
-    # a set of bigrams is no larger than the number of words less one; the bound from below counts words without making them
-    parts = lines.unionByName(paragraphs).filter(F.length("said") >= int(2 * low)).filter(F.expr("regexp_count(said, '[A-Za-z0-9]+')") - 1 >= low)
-    # zip_with, not an index inside a lambda: the optimizer would put the whole split into the lambda
-    words = F.split(F.trim(F.regexp_replace(F.lower("said"), "[^a-z0-9]+", " ")), " ")
-    pairs = F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))
-    parts = parts.withColumn("words", words).withColumn("set", F.array_distinct(pairs))
+    parts = lines.unionByName(paragraphs).filter(F.length("said") >= int(2 * low))
+    # exploding an array of one keeps the optimizer from copying the expression into each filter above it
+    parts = parts.select("doc_id", "part", F.explode(F.array(F.expr("regexp_extract_all(lower(said), '[a-z0-9]+', 0)"))).alias("words"))
+    # distinct bigrams are no more than the words less one, and no fewer than the distinct words less one
+    parts = parts.filter(F.size("words") - 1 >= low).filter(F.size(F.array_distinct("words")) - 1 <= high)
+    follow = F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("words", F.lit(1), follow), F.slice("words", F.lit(2), follow), lambda a, b: F.concat_ws(" ", a, b))
+    parts = parts.select("doc_id", "part", F.explode(F.array(F.array_distinct(pairs))).alias("set"))
     parts = parts.withColumn("n", F.size("set")).filter((F.col("n") >= low) & (F.col("n") <= high))
     shared = parts.select("doc_id", "part", "n", F.explode("set").alias("bigram")).join(F.broadcast(known), "bigram")
     shared = shared.filter((F.col("grams") >= F.col("n") * narrow) & (F.col("grams") <= F.col("n") * wide))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, features, history, ingest, receivables
+from ..operators import evaluation, features, history, identity, ingest, receivables
+from ..streaming import run, tasks
 from . import views
 from .views import TODAY
 
@@ -298,3 +299,25 @@ def whole_percentages(s: SparkSession, d: str) -> DataFrame:
 def customer_sets(s: SparkSession, d: str) -> DataFrame:
     rows = _bills(s, d).filter("customer_id IS NOT NULL").groupBy("customer_id").agg(F.count_if(F.expr("status <> 'PAID'")).alias("o"), F.count_if(F.expr("status = 'PAID'")).alias("p"))
     return rows.agg(F.count_if(F.expr("o > 0 AND p > 0")).alias("both_sets"), F.count_if(F.expr("o > 0 AND p = 0")).alias("open_only"), F.count_if(F.expr("o = 0")).alias("closed_only"))
+
+
+@_query(SQL["rate_limit_windows"], False)
+def rate_limit_stream(s: SparkSession, d: str) -> DataFrame:
+    return run.finished(tasks.window_counts(run.file_stream(s, d, "events")), "hits", "complete")
+
+
+@_query("""WITH c AS (SELECT c_nationkey AS business_id, c_custkey AS customer_id, lower(trim(c_name)) AS ref, lower(c_mktsegment) || ' ' || c_custkey % 9 || ' private limited' AS name FROM customer),
+o AS (SELECT o_orderkey AS invoice_id, business_id, CASE WHEN o_orderkey % 3 = 0 THEN customer_id END AS customer_id, CASE WHEN o_orderkey % 3 = 1 THEN ref END AS ref, name FROM orders JOIN c ON o_custkey = customer_id),
+u AS (SELECT business_id, name, min(customer_id) AS only_id FROM c GROUP BY 1, 2 HAVING count(*) = 1),
+r AS (SELECT business_id, ref, min(customer_id) AS ref_id FROM c GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT o.invoice_id, coalesce(o.customer_id, ref_id, only_id) AS resolved_id, CASE WHEN o.customer_id IS NOT NULL THEN 'id' WHEN ref_id IS NOT NULL THEN 'reference' WHEN only_id IS NOT NULL THEN 'name' END AS resolved_by
+FROM o LEFT JOIN u ON o.business_id = u.business_id AND o.name = u.name LEFT JOIN r ON o.business_id = r.business_id AND o.ref = r.ref""", False)
+def identity_cascade(s: SparkSession, d: str) -> DataFrame:
+    name = F.concat_ws(" ", "c_mktsegment", (F.col("c_custkey") % 9).cast("string"), F.lit("Pvt. Ltd."))
+    customers = views.table(s, d, "customer").select(F.col("c_nationkey").alias("business_id"), F.col("c_custkey").alias("customer_id"), F.lit(None).cast("string").alias("gstin"), F.col("c_name").alias("reference"), name.alias("name"))
+    orders = views.table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("customer_id")).join(customers, "customer_id").withColumn("part", F.col("o_orderkey") % 3)
+    rows = orders.select(
+        F.col("o_orderkey").alias("invoice_id"), "business_id", F.when(F.col("part") == 0, F.col("customer_id")).alias("customer_id"), "gstin",
+        F.when(F.col("part") == 1, F.concat(F.lit(" "), F.upper("reference"))).alias("reference"), "name",
+    )
+    return identity.resolve(rows, customers).select("invoice_id", "resolved_id", "resolved_by")

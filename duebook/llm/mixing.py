@@ -4,7 +4,9 @@ Slot i of the mix takes the golden-ratio point frac(i * phi), looked up in the c
 shares of the sources; a slot's rank among those of its source names the block that it takes. The
 blocks of a source are stretches of equally many words of its documents in a seeded random order,
 repeated as often as needed, the last one cut where the source's target is met. So any stretch of
-the mix is near the target shares, and a document's repeats are far apart.
+the mix is near the target shares, and a document's repeats are far apart. Blocks that a source's
+slots do not reach, as those of a source far smaller than a block, get slots of their own, evenly
+spread between the others, so every source meets its target whatever the size of the rest.
 """
 
 from __future__ import annotations
@@ -69,8 +71,12 @@ def _shuffled(docs: DataFrame, seed: int) -> DataFrame:
     return docs.withColumn("start", F.col("start") + F.col("base")).drop("base", "range", "h")
 
 
-def _schedule(plan: DataFrame, slots: int, sources: int) -> DataFrame:
-    """(slot, place, block): the source of each slot and the slot's rank within it."""
+def _schedule(plan: DataFrame, slots: int, sources: int, block_words: int | None = None) -> DataFrame:
+    """(slot, place, block): the source of each slot and the slot's rank within it.
+
+    With ``block_words``, the blocks that a source's target needs beyond its slots have slots too; the
+    slots' numbers then have gaps.
+    """
     spark = plan.sparkSession
     share = F.sum("target").over(Window.partitionBy())
     upto = F.sum("target").over(Window.orderBy("place"))
@@ -85,10 +91,32 @@ def _schedule(plan: DataFrame, slots: int, sources: int) -> DataFrame:
     points = spark.range(0, slots, 1, max(1, min(2000, slots // (16 * _SLOTS) + 8))).withColumn("x", point - F.floor(point)).withColumn("bin", F.floor(F.col("x") * bins))
     owned = points.join(small(cuts, cuts.count()), "bin").filter("x >= low AND x < high").select(F.col("id").alias("slot"), "place", F.expr(f"id DIV {_SLOTS}").alias("run"))
     runs = owned.groupBy("place", "run").agg(F.count("*").alias("n"))
-    runs = keep(runs.select("place", "run", (F.sum("n").over(Window.partitionBy("place").orderBy("run")) - F.col("n")).alias("base")), "runs")
+    runs = keep(runs.select("place", "run", "n", (F.sum("n").over(Window.partitionBy("place").orderBy("run")) - F.col("n")).alias("base")), "runs")
     rank = F.row_number().over(Window.partitionBy("place", "run").orderBy("slot")) - 1
-    owned = owned.withColumn("rank", rank).join(small(runs, runs.count()), ["place", "run"])
-    return owned.select("slot", "place", (F.col("rank") + F.col("base")).alias("block"))
+    owned = owned.withColumn("rank", rank).join(small(runs.drop("n"), runs.count()), ["place", "run"])
+    owned = owned.select("slot", "place", (F.col("rank") + F.col("base")).alias("block"))
+    return owned if block_words is None else _completed(owned, plan, runs, slots, block_words)
+
+
+def _completed(owned: DataFrame, plan: DataFrame, runs: DataFrame, slots: int, block_words: int) -> DataFrame:
+    """``owned`` with the blocks that its sources lack, each between two of its slots.
+
+    A source lacks its last block and what the discrepancy of the schedule took from it, so the rows
+    that are numbered here are a few for each source.
+    """
+    met = runs.groupBy("place").agg(F.sum("n").alias("met"))
+    need = plan.filter("target >= 1").select("place", F.expr(f"CAST(floor(target) + {block_words - 1} AS BIGINT) DIV {block_words}").alias("need"))
+    lack = need.join(met, "place", "left").withColumn("met", F.coalesce("met", F.lit(0))).filter("need > met")
+    # a source's blocks lie evenly around the circle, and the sources' first ones at golden-ratio points
+    turn = F.col("place") * _PHI + (F.col("block") - F.col("met")) / (F.col("need") - F.col("met"))
+    lack = lack.withColumn("block", F.explode(F.expr("sequence(met, need - 1)"))).withColumn("turn", turn - F.floor(turn))
+    lack = keep(lack.select("place", "block", (F.row_number().over(Window.orderBy("turn", "place", "block")) - 1).cast("long").alias("k")), "lacking")
+    n = lack.count()
+    if not n:
+        return owned
+    between = -(-n // max(1, slots))
+    at = F.expr(f"(k * {max(1, slots)} DIV {n}) * {between + 1} + 1 + k % {between}")
+    return owned.withColumn("slot", F.col("slot") * (between + 1)).unionByName(lack.select(at.alias("slot"), "place", "block"))
 
 
 def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -100,11 +128,8 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS) -> tu
     """
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = keep(targets(keep(sizes, "sizes")), "plan")
-    facts = plan.filter("target > 0").agg(F.sum("target").alias("t"), F.min("target").alias("least"), F.count("*").alias("n")).first()
-    blocks = math.ceil((facts.t or 0) / block_words)
-    # a few points more than the target needs, so that the least source also meets its own
-    slots = blocks + min(blocks + 4096, math.ceil(4 * (facts.t or 0) / (facts.least or 1)))
-    schedule = _schedule(plan, slots, facts.n)
+    facts = plan.filter("target > 0").agg(F.sum("target").alias("t"), F.count("*").alias("n")).first()
+    schedule = _schedule(plan, math.ceil((facts.t or 0) / block_words), facts.n, block_words)
     named = plan.select("source", "place", "source_size", F.floor("target").alias("upto"))
     docs = docs.filter("size > 0").join(small(named, facts.n), docs["source"].eqNullSafe(named["source"])).select("uid", "size", "place", "source_size", "upto")
     spans = _shuffled(docs, seed).withColumn("round", F.explode(F.expr(f"sequence(0L, {math.ceil(MOST)}L)")))

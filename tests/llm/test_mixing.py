@@ -60,3 +60,18 @@ def test_low_discrepancy_of_the_schedule(spark):
         seen[place] += 1
         for k, w in enumerate((100, 50, 10)):
             assert abs(seen[k] - (slot + 1) * w / 160) < 5
+
+
+def test_tiny_sources_beside_a_large_corpus(spark):
+    rows = [(i, "big" if i % 2 else "huge", 1_000_000) for i in range(40)] + [(1000 + k, f"s{k:02}", 5 if k < 20 else 100) for k in range(40)] + [(2000, None, 5)]
+    docs = spark.createDataFrame(rows, "uid long, source string, size long")
+    mixed, plan = mixing.mix(docs)
+    mixed, target = mixed.join(docs, "uid").select("slot", "source", "uid", "from_word", "to_word").collect(), {r.source: r.target for r in plan.collect()}
+    taken, holds = dict.fromkeys(target, 0), {}
+    for r in mixed:
+        taken[r.source] += r.to_word - r.from_word
+        assert holds.setdefault(r.slot, r.source) == r.source
+    assert target["s00"] == 10 and taken == {s: int(t) for s, t in target.items()}
+    # the small sources' slots are spread over the whole mix
+    last = max(holds)
+    assert {10 * slot // (last + 1) for slot, s in holds.items() if s not in ("big", "huge")} == set(range(10))

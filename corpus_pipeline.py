@@ -1,4 +1,9 @@
-"""Corpus preparation in five stages, each written as a table before the next begins."""
+"""Corpus preparation in five stages, each written as a table before the next begins.
+
+Each stage judges rows, not ids: it numbers its rows, and the number stands for the id in every
+decision and join. So rows with a null id, and each of several rows that share one, are kept, dropped
+and repeated by their own text.
+"""
 
 from __future__ import annotations
 
@@ -7,36 +12,57 @@ from duebook.llm.store import keep, small
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, written, so that the numbers stay the same."""
+    return keep(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the row's number as its id."""
+    return docs.select(F.col(_ROW).alias("doc_id"), "text")
+
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` less the ids of ``gone`` (doc_id); rows with a null id stay."""
-    gone = keep(gone.filter("doc_id IS NOT NULL").select("doc_id").distinct(), "rejected")
-    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    """Numbered ``docs`` less the rows whose numbers are ``gone`` (doc_id, unique); the number is dropped."""
+    gone = keep(gone.select(F.col("doc_id").alias(_ROW)), "rejected")
+    return docs.join(small(gone, gone.count()), _ROW, "left_anti").drop(_ROW)
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determined language (null, or no letter) go."""
-    found = language.languages(docs)
-    return _without(docs.filter("text IS NOT NULL"), found.filter(F.col("lang_pred") == language.UNDETERMINED))
+    """Documents without a determined language (null, or no letter) go, each row by its own text."""
+    docs = _numbered(docs.filter("text IS NOT NULL"))
+    found = language.identify(_texts(docs), language.fit(docs.filter(~language.held_out())))
+    return _without(docs, found.filter(F.col("lang_pred") == language.UNDETERMINED))
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group stays."""
-    groups = ngram_join.ngram_jaccard_groups(docs)
-    return _without(docs, groups.filter("doc_id <> component_id"))
+    """The row of the least id of each group stays, one with a null id only where no other is; ties fall to any one row."""
+    docs = _numbered(docs)
+    linked = keep(ngram_join.ngram_jaccard_groups(_texts(docs)).filter("doc_id <> component_id").select("doc_id", "component_id"), "linked")
+    heads = linked.select(F.col("component_id").alias("doc_id"), "component_id").distinct()
+    members = linked.unionByName(heads).withColumnRenamed("doc_id", _ROW)
+    members = keep(members.join(docs.select(_ROW, "doc_id"), _ROW), "members")
+    least = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", _ROW)).alias("least"))
+    gone = members.join(least.select(F.col(f"least.{_ROW}").alias(_ROW)), _ROW, "left_anti")
+    return _without(docs, gone.select(F.col(_ROW).alias("doc_id")))
 
 
 def remove_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents that hold a window of a benchmark item go, each row by its own text."""
+    docs = _numbered(docs)
+    found = decontaminate.contamination(_texts(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, found.filter("contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole number."""
-    taken = mixing.mixed_sizes(docs).filter("doc_id IS NOT NULL AND size > 0")
-    times = keep(taken.groupBy("doc_id").agg(F.expr("CAST(floor(sum(taken) / sum(size) + 0.5D) AS INT)").alias("times")).filter("times > 0"), "times")
-    return docs.join(small(times, times.count()), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+    """Each row as often as the mix takes its words, to the nearest whole number."""
+    names, docs = docs.columns, _numbered(docs)
+    times = F.expr("CAST(floor(taken / size + 0.5D) AS INT)").alias("__times")
+    times = keep(mixing.mixed_rows(docs, _ROW).select(_ROW, times).filter("__times > 0"), "times")
+    return docs.join(small(times, times.count()), _ROW).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(names)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

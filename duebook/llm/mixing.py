@@ -155,3 +155,19 @@ def mixed_sizes(docs: DataFrame, seed: int = SEED) -> DataFrame:
     rows = docs.join(small(plan, plan.count()), docs["source"].eqNullSafe(plan["source"])).select(docs["uid"], docs["size"], "source_size", "target")
     rows = rows.join(taken, "uid", "left")
     return rows.select(F.col("uid.doc_id").alias("doc_id"), "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), F.col("uid.source").alias("source"))
+
+
+def mixed_rows(docs: DataFrame, key: str, seed: int = SEED) -> DataFrame:
+    """(key, size, taken) for the rows of ``docs`` (key, doc_id, text, source) that the mix takes words of.
+
+    ``key`` names a column that is unique. The order of the mix does not come from it, so where ids are
+    unique a row's words are those that ``mixed_sizes`` gives. Rows that share an id, or have none, count each.
+    """
+    hashed = [c for c, kind in docs.dtypes if c != key and not kind.startswith(("map", "variant"))]
+    docs = docs.select(key, "doc_id", "source", word_count("text").alias("size"), F.xxhash64(*hashed).alias("digest"))
+    same = Window.partitionBy("doc_id", "source", "size").orderBy("digest", key)
+    docs = docs.withColumn("copy", F.row_number().over(same).cast("long"))
+    docs = keep(docs.select(key, F.struct("doc_id", "source", "size", "copy").alias("uid"), "source", "size"), "sized")
+    mixed, _ = mix(docs.select("uid", "source", "size"), seed)
+    taken = mixed.groupBy("uid").agg(F.sum(F.col("to_word") - F.col("from_word")).cast("long").alias("taken"))
+    return docs.join(taken, "uid").select(key, "size", "taken")

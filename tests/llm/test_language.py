@@ -39,3 +39,26 @@ def test_viterbi_is_the_best_path():
         value = lambda p: sum(scores[a + k, s] for k, s in enumerate(p)) - sum(x != y for x, y in zip(p, p[1:]))
         best = max(value(p) for p in np.ndindex(*(3,) * (b - a)))
         assert abs(value(path[a:b]) - best) < 1e-9
+
+
+def test_any_script_and_any_number_of_languages(spark):
+    said = {"te": "తెలుగు భాష చాలా అందమైనది", "kn": "ಕನ್ನಡ ಭಾಷೆ ತುಂಬಾ ಸುಂದರ", "ml": "മലയാളം ഭാഷ", "am": "ሰላም ለዓለም", "km": "ភាសាខ្មែរ ល្អ", "my": "မြန်မာဘာသာ စကား", "en": "the hello world"}
+    rows = [(10 * k + j, t, x) for k, (x, t) in enumerate(said.items()) for j in range(2 if x == "en" else 1)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    cases = [(k, t) for k, t in enumerate(said.values())] + [(20, said["te"] + " hello"), (21, "ລາວ"), (22, "ລາວ ລາວ hello")]
+    out = {r.doc_id: r for r in language.identify(spark.createDataFrame(cases, "doc_id long, text string"), model).collect()}
+    assert [(out[k].lang_pred, out[k].score) for k in range(len(said))] == [(x, 1.0) for x in said]
+    assert [(s.lang, s.words) for s in out[0].spans] == [("te", 4)]
+    assert [(s.lang, s.words) for s in out[20].spans] == [("te", 4), ("en", 1)] and out[20].lang_pred == "te" and 0.7 < out[20].score < 1
+    assert (out[21].lang_pred, out[21].score) == ("en", 0.0)
+    assert out[22].lang_pred == "en" and 0 < out[22].score < 0.6
+    many = spark.createDataFrame([(k, f"{chr(0x4E00 + 9 * k) * 4} {chr(0xAC00 + 9 * k) * 4}", f"l{k:03}") for k in range(300)], "doc_id long, text string, lang string")
+    model = language.fit(many)
+    got = {r.doc_id: r.lang_pred for r in language.identify(many, model).collect()}
+    assert len(model.languages) == 300 and got == {k: f"l{k:03}" for k in range(300)}
+
+
+def test_a_rare_language_is_in_the_sample(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'the and of in' AS text", "'en' AS lang").unionByName(spark.createDataFrame([(5000, "తెలుగు", "te")], "doc_id long, text string, lang string"))
+    model = language.fit(docs, most=50)
+    assert language.identify(spark.createDataFrame([(1, "తెలుగు")], "doc_id long, text string"), model).first().lang_pred == "te"

@@ -30,3 +30,24 @@ def test_against_brute_force(spark):
     assert (report[203].licenses, report[203].best_dice) == ("MIT", 1.0)
     assert (report[201].n_parts, report[201].licenses, report[201].best_license) == (0, "", None)
     assert licenses.license_report(df.limit(0)).count() == 0
+
+
+def test_whole_texts_and_embedded_and_wrapped_notices(spark):
+    wrap = lambda t, n, mark: "\n".join(mark + " ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    filler = " ".join(f"word{k} of the text" for k in range(60))
+    gpl = (licenses._FILES / "GPL-3.0.txt").read_text()
+    cases = {
+        1: (f"{filler} Released under the MIT License. {filler}", "MIT"),
+        2: (f"{filler}\n{wrap(licenses.TEXTS['GPL-3.0'][0], 9, '# ')}\n{filler}", "GPL-3.0"),
+        3: (wrap(licenses.TEXTS["MIT"][0], 11, " * "), "MIT"),
+        4: (wrap(licenses.TEXTS["BSD-3-Clause"][0], 11, "// "), "BSD-3-Clause"),
+        5: (wrap(licenses.TEXTS["ISC"][0].replace("SOFTWARE", "PROGRAM"), 11, ""), "ISC"),
+        6: (f"{filler}\n{gpl}\n{filler}", "GPL-3.0"),
+        7: (f"{filler} Licensed under CC BY-NC 4.0. {filler} Licensed under the Apache License, Version 2.0. {filler}", "Apache-2.0,CC-BY-NC-4.0"),
+        8: (filler, ""),
+        9: (f"{filler} the License under CC and the MIT of Version 2.0 {filler}", ""),
+    }
+    df = spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string")
+    report = {r.doc_id: r for r in licenses.license_report(df).collect()}
+    assert {k: r.licenses for k, r in report.items()} == {k: want for k, (_, want) in cases.items()}
+    assert all(report[k].best_dice > 0.95 for k in (1, 2, 3, 4, 6, 7))

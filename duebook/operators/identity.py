@@ -1,4 +1,4 @@
-"""Customer identity inside a tenant: tax numbers, the cascade of evidence, and mismatch diagnostics."""
+"""Customer identity inside a tenant: tax numbers and the cascade of evidence."""
 
 from __future__ import annotations
 

@@ -15,8 +15,10 @@ Exact copies are one class by a 128-bit digest of the set. Before the join, docu
 to the least document with the same minimum hash, under three permutations, each link verified.
 The components so found are the groups: one large group of near copies counts once in the index,
 and no group is expanded into pairs of its members. Pairs of groups are verified between their
-least members, and only where neither a link nor the triangle inequality of the Jaccard distance
-settles them, between further members. So every link between different texts ends in a component.
+least members; where that finds no link, the members of the smaller group are guests of the larger
+one. Guests and members are dealt into blocks of bounded size, and each two blocks are compared by
+one matrix product that returns at most one link for each guest. So every link between different
+texts ends in a component.
 """
 
 from __future__ import annotations
@@ -38,7 +40,9 @@ SHINGLE = 5
 PERCENT = 80
 #: Tokens in the prefixes of more groups than this are frequent.
 FREQUENT = 64
-PERMUTATIONS = 3
+PERMUTATIONS = 6
+#: Documents and shingles of a block, about.
+BLOCK_DOCS, BLOCK_TOKENS = 128, 1 << 15
 #: Documents whose sizes are within the ratio allowed by PERCENT are at most one size class apart.
 _RATIO = 100 / PERCENT
 
@@ -47,13 +51,14 @@ def _need(n: np.ndarray | int):
     return -(-PERCENT * n // 100)
 
 
+def _size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / math.log(_RATIO)).astype(np.int64)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size, digest, minimum hashes and extended prefix of each document's set."""
     for batch in batches:
-        for at, raw, offsets in tx.slices(batch.column(1)):
-            raw = tx.LOWER[raw]
-            starts, ends, first = tx.spans(raw, offsets, tx.SPACE)
-            v, first = tx.sorted_sets(*tx.windows(tx.word_hashes(raw, starts, ends), first, SHINGLE))
+        for at, v, first in _sets(batch.column(1)):
             n = np.diff(first)
             have = n > 0
             begin = first[:-1][have]
@@ -73,7 +78,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(of_rows(tx.mix(v, 11), np.add)),
                 pa.array(of_rows(tx.mix(v, 12), np.add)),
                 *(pa.array(of_rows(tx.mix(v, 20 + j), np.minimum)) for j in range(PERMUTATIONS)),
-                pa.array(np.floor(np.log(np.maximum(n, 1)) / math.log(_RATIO)).astype(np.int32)),
+                pa.array(_size_class(n).astype(np.int32)),
                 pa.array(np.where(have, taken - prefix, 0).astype(np.int32)),
                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(taken)]).astype(np.int32)), pa.array(v[where].view(np.int64))),
             ]
@@ -84,29 +89,38 @@ _SKETCH_NAMES = ["doc_id", "n", "d1", "d2", *(f"m{j}" for j in range(PERMUTATION
 _SKETCH = "doc_id long, n int, d1 long, d2 long, " + ", ".join(f"m{j} long" for j in range(PERMUTATIONS)) + ", s int, slack int, tokens array<long>"
 
 
+def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, sorted distinct shingles, each row's first one) of runs of texts."""
+    for at, raw, offsets in tx.slices(column):
+        raw = tx.LOWER[raw]
+        starts, ends, first = tx.spans(raw, offsets, tx.SPACE)
+        yield at, *tx.sorted_sets(*tx.windows(tx.word_hashes(raw, starts, ends), first, SHINGLE))
+
+
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's whole set with its size, size class and a key that tells apart the texts of a repeated id."""
+    """Each document's whole set and its size."""
     for batch in batches:
-        for at, raw, offsets in tx.slices(batch.column(1)):
-            raw = tx.LOWER[raw]
-            starts, ends, first = tx.spans(raw, offsets, tx.SPACE)
-            v, first = tx.sorted_sets(*tx.windows(tx.word_hashes(raw, starts, ends), first, SHINGLE))
-            n = np.diff(first)
-            key = np.zeros(len(n), np.uint64)
-            if (n > 0).any():
-                key[n > 0] = np.add.reduceat(tx.mix(v, 11), first[:-1][n > 0])
-            columns = [
-                batch.column(0).slice(at, len(n)),
-                pa.array(key.view(np.int64)),
-                batch.column(2).slice(at, len(n)),
-                pa.array(n.astype(np.int32)),
-                pa.array(np.floor(np.log(np.maximum(n, 1)) / math.log(_RATIO)).astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(v.view(np.int64))),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "grp", "n", "s", "tokens"])
+        for at, v, first in _sets(batch.column(1)):
+            tokens = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(v.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(first) - 1), tokens], ["doc_id", "tokens"])
 
 
-_WHOLE = "doc_id long, key long, grp long, n int, s int, tokens array<long>"
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The union of whole sets of documents of one group and size class that stand together, and their least size."""
+    for batch in batches:
+        groups = batch.column(0).to_numpy()
+        for at, v, first in _sets(batch.column(1)):
+            n = np.diff(first)
+            keys = np.stack([groups[at : at + len(n)], _size_class(n)])[:, n > 0]
+            unit = np.repeat(np.cumsum(np.append(0, (np.diff(keys) != 0).any(0)))[: keys.shape[1]], n[n > 0])
+            order = np.lexsort((v, unit))
+            once = np.append(True, (np.diff(unit[order]) != 0) | (np.diff(v[order]) != 0))[: len(v)]
+            v, unit = v[order][once], unit[order][once]
+            begin = np.flatnonzero(np.append(True, np.diff(unit) != 0)[: len(v)])
+            which = np.flatnonzero(np.append(True, (np.diff(keys) != 0).any(0))[: keys.shape[1]])
+            least = np.minimum.reduceat(n[n > 0], which) if len(which) else n[:0]
+            tokens = pa.ListArray.from_arrays(pa.array(np.append(begin, len(v)).astype(np.int32)), pa.array(v.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0][which]), pa.array(keys[1][which].astype(np.int32)), pa.array(least.astype(np.int32)), tokens], ["grp", "s", "n", "tokens"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +131,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.arange(2 * rows).reshape(2, rows).T.ravel()  # the sides of a pair next to each other
         both = both.take(pa.array(order))
         sets: list[np.ndarray] = []
-        for _, raw, offsets in tx.slices(both):
-            raw = tx.LOWER[raw]
-            starts, ends, first = tx.spans(raw, offsets, tx.SPACE)
-            v, first = tx.sorted_sets(*tx.windows(tx.word_hashes(raw, starts, ends), first, SHINGLE))
+        for _, v, first in _sets(both):
             sets += np.split(v, first[1:-1])
         shared = np.fromiter((len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets[::2], sets[1::2], strict=True)), np.int64, rows)
         total = np.fromiter((len(x) + len(y) for x, y in zip(sets[::2], sets[1::2], strict=True)), np.int64, rows) - shared
@@ -145,7 +156,7 @@ def _first_links(heads: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFram
     """Links to the least exact copy; overlaps with the least document of each minimum-hash bucket; the distinct documents."""
     same = keep(heads.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"), "copies")
     heads = heads.join(small(same, same.count()), ["d1", "d2", "n"], "left")
-    copies = heads.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    copies = keep(heads.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), "d1"), "copy-links")
     distinct = keep(heads.filter("rep IS NULL OR rep = doc_id").drop("d1", "d2", "rep"), "distinct")
     keyed = distinct.select("doc_id", "n", F.posexplode(F.array(*(f"m{j}" for j in range(PERMUTATIONS)))).alias("j", "m"))
     buckets = keep(keyed.groupBy("j", "m").agg(F.min(F.struct("doc_id", "n")).alias("least"), F.count("*").alias("rows")).filter("rows > 1").select("j", "m", F.col("least.doc_id").alias("b"), F.col("least.n").alias("bn")), "buckets")
@@ -162,6 +173,13 @@ inline(flatten(transform(units, (x, i) -> transform(
     filter(slice(units, i + 2, size(units)), y -> y.grp <> x.grp AND abs(y.s - x.s) <= 1),
     y -> struct(least(x.grp, y.grp) AS a, greatest(x.grp, y.grp) AS b, least(x.slack, y.slack) AS slack)))))
 """
+#: The least overlap of two linked sets of x and y shingles, and the pairs of units that can reach it with f frequent tokens each.
+_NEED = f"({PERCENT}L * ({{x}} + {{y}}) + {99 + PERCENT}) DIV {100 + PERCENT}"
+_WHOLE_PAIRS = f"""
+inline(flatten(transform(units, (x, i) -> transform(
+    filter(slice(units, i + 2, size(units)), y -> y.grp <> x.grp AND abs(y.s - x.s) <= 1 AND least(x.f, y.f) >= {_NEED.format(x="x.n", y="y.n")}),
+    y -> struct(least(x.grp, y.grp) AS a, greatest(x.grp, y.grp) AS b, {_NEED.format(x="x.n", y="y.n")} AS need)))))
+"""
 #: Token classes at a size class: a fifth of the least size. A prefix longer by as many tokens shares two in one class.
 _CLASSES = f"greatest(1L, CAST(floor(0.2D * power({_RATIO}D, level)) AS LONG))"
 
@@ -202,49 +220,105 @@ def _candidates(sketches: DataFrame, groups: DataFrame, texts: DataFrame) -> Dat
 def _whole_candidates(ids: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of groups (a, b) of ``ids`` (doc_id, grp) that share a rare token, or a combination of frequent ones, of their whole sets.
 
-    Sets that share no rare token share at least ``_need`` frequent ones each. So only sets with that
-    many are indexed by combinations, of a prefix of their frequent tokens in hash order.
+    A unit is what the members of one size class of a group hold together; its sets are united before they
+    are sent, as near copies share most tokens. The overlap of two units is at most their shared rare tokens
+    and the frequent ones of the unit that has fewer; pairs that can't reach the overlap of a link by that are
+    left out. Units that share no rare token share at least ``_need`` frequent ones each. So only units with
+    that many are indexed by combinations, of a prefix of their frequent tokens in hash order.
     """
-    rows = texts.join(small(ids, ids.count()), "doc_id")
-    wholes = keep(rows.select("doc_id", "text", "grp").mapInArrow(_whole_sets, _WHOLE), "wholes").withColumn("need", F.expr(f"(n * {PERCENT} + 99) DIV 100"))
-    tokens = wholes.select("doc_id", "key", "grp", "s", "need", F.explode("tokens").alias("t"))
+    rows = texts.join(small(ids, ids.count()), "doc_id").select("grp", "doc_id", "text")
+    rows = rows.repartitionByRange("grp", "doc_id").sortWithinPartitions("grp", F.length("text"))
+    units = keep(rows.select("grp", "text").mapInArrow(_units, "grp long, s int, n int, tokens array<long>"), "united")
+    index = units.select("grp", "s", "n", F.explode("tokens").alias("t")).groupBy("t", "grp", "s").agg(F.min("n").alias("n"))
     # the groups that hold each token: both windows run on one shuffle and one sort
-    place = tokens.withColumn("place", F.dense_rank().over(Window.partitionBy("t").orderBy("grp")))
+    place = index.withColumn("place", F.dense_rank().over(Window.partitionBy("t").orderBy("grp")))
     index = keep(place.withColumn("c", F.max("place").over(Window.partitionBy("t"))).filter("c > 1").drop("place"), "whole-index")
-    units = index.filter(F.col("c") <= FREQUENT).groupBy("t", "grp", "s").agg(F.min("need").alias("slack"))
-    lists = units.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("grp", "s", "slack"))).alias("units"))
-    single = lists.groupBy("units").agg(F.count("*").alias("shared")).selectExpr("shared", _PAIRS).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("slack").alias("need"))
-
-    held = index.filter(F.col("c") > FREQUENT).groupBy("doc_id", "key", "grp", "need", "s").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    held = keep(held, "held")
+    least = units.groupBy("grp", "s").agg(F.min("n").alias("n")).withColumn("need", F.expr(f"(n * {PERCENT} + 99) DIV 100"))
+    held = index.filter(F.col("c") > FREQUENT).groupBy("grp", "s").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    held = keep(held.join(least, ["grp", "s"]), "held")
     most = keep(held.groupBy("grp").agg(F.max(F.size("ts")).alias("f")), "frequent")
     groups = most.count()
+
+    # f is no bound yet, since shared rare tokens add to it
+    lists = index.filter(F.col("c") <= FREQUENT).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("grp", "s", "n", F.lit(1 << 30).alias("f")))).alias("units"))
+    single = lists.groupBy("units").agg(F.count("*").alias("shared")).selectExpr("shared", _WHOLE_PAIRS).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
     for k in "ab":
         single = single.join(small(most.selectExpr(f"grp AS {k}", f"f AS f{k}"), groups), k, "left")
-    # an overlap is at most the shared rare tokens and the frequent ones of the set that has fewer
     single = single.filter("shared + least(coalesce(fa, 0), coalesce(fb, 0)) >= need").select("a", "b")
 
     full = held.filter("size(ts) >= need")
     if not full.limit(1).count():
         return single
-    levels = full.select("*", F.explode(F.expr("array(s, s - 1)")).alias("level")).filter("level >= 0").withColumn("classes", F.expr(_CLASSES))
-    prefix = levels.select("doc_id", "key", "grp", "s", "level", "classes", F.explode(F.expr("slice(ts, 1, CAST(size(ts) - need + 1 + classes AS INT))")).alias("t"))
-    sets = prefix.groupBy("doc_id", "key", "grp", "s", "level", F.expr("pmod(t, classes)").alias("class")).agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    combos = sets.selectExpr("grp", "s", "level", "inline(flatten(transform(ts, (x, i) -> transform(slice(ts, i + 2, size(ts)), y -> struct(x AS t1, y AS t2)))))").distinct()
-    same = combos.groupBy("level", "t1", "t2").agg(F.array_sort(F.collect_list(F.struct("grp", "s", F.lit(0).alias("slack")))).alias("units")).filter("size(units) > 1")
-    pairs = same.select("units").distinct().selectExpr(_PAIRS).select("a", "b")
+    levels = full.select("*", F.size("ts").alias("f"), F.explode(F.expr("array(s, s - 1)")).alias("level")).filter("level >= 0").withColumn("classes", F.expr(_CLASSES))
+    prefix = levels.select("grp", "s", "n", "f", "level", "classes", F.explode(F.expr("slice(ts, 1, CAST(size(ts) - need + 1 + classes AS INT))")).alias("t"))
+    sets = prefix.groupBy("grp", "s", "n", "f", "level", F.expr("pmod(t, classes)").alias("class")).agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    combos = sets.selectExpr("grp", "s", "n", "f", "level", "inline(flatten(transform(ts, (x, i) -> transform(slice(ts, i + 2, size(ts)), y -> struct(x AS t1, y AS t2)))))")
+    same = combos.groupBy("level", "t1", "t2").agg(F.array_sort(F.collect_list(F.struct("grp", "s", "n", "f"))).alias("units")).filter("size(units) > 1")
+    pairs = same.select("units").distinct().selectExpr(_WHOLE_PAIRS).select("a", "b")
     return single.union(pairs.distinct())
 
 
-def _between_members(open_pairs: DataFrame, distances: DataFrame) -> DataFrame:
-    """Pairs of members of two groups that the triangle inequality leaves open.
-
-    ``open_pairs``: (a, b, far) with the distance of the two least members; ``distances``: (m, g, n, d)
-    with each member's distance from its group's least.
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A link from each guest to the least member of the other block that it is near to."""
+    for batch in batches:
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for ids_a, sets_a, ids_b, sets_b in zip(*batch.columns, strict=True):
+            sides = []
+            for ids, sets in ((ids_a, sets_a), (ids_b, sets_b)):
+                lists = sets.values
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                sizes = np.fromiter((len(x) for x in lists), np.int64, len(lists))
+                sides.append((ids.values.to_numpy(zero_copy_only=False), flat, sizes))
+            words = np.intersect1d(sides[0][1], sides[1][1])  # as both sides are distinct per set, shared tokens decide
+            if not len(words):
+                continue
+            matrices = []
+            for _, flat, sizes in sides:
+                place = np.minimum(np.searchsorted(words, flat), len(words) - 1)
+                held = words[place] == flat
+                m = np.zeros((len(sizes), len(words)), np.float32)
+                m[np.repeat(np.arange(len(sizes)), sizes)[held], place[held]] = 1
+                matrices.append(m)
+            shared = np.rint(matrices[0] @ matrices[1].T).astype(np.int64)
+            total = sides[0][2][:, None] + sides[1][2][None, :] - shared
+            near = (shared * 100 >= total * PERCENT) & (sides[0][0][:, None] != sides[1][0][None, :])
+            least = np.where(near, sides[1][0][None, :], np.iinfo(np.int64).max).min(1)
+            some = near.any(1)
+            out_a.append(sides[0][0][some]), out_b.append(least[some])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+
+def _blocks(rows: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """(host, block, ids, sets): documents of ``rows`` (host, m, n) dealt into blocks of bounded size with their sets."""
+    counts = rows.groupBy("host").agg(F.expr(f"CAST(ceil(greatest(count(*) / {BLOCK_DOCS}, sum(n) / {BLOCK_TOKENS})) AS INT)").alias("blocks"))
+    counts = keep(counts, "block-counts")
+    dealt = rows.join(small(counts, counts.count()), "host").select("host", "m", F.expr("pmod(xxhash64(m), blocks)").alias("block"))
+    with_sets = dealt.join(sets.select(F.col("doc_id").alias("m"), "tokens"), "m")
+    return keep(with_sets.groupBy("host", "block").agg(F.collect_list("m").alias("ids"), F.collect_list("tokens").alias("sets")), name)
+
+
+def _between_members(apart: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members of the groups of each pair ``apart`` (a, b); ``members``: (g, m, n), lone documents as well.
+
+    The smaller group's members are guests of the larger one. A pair of blocks is one row.
     """
-    one, other = (distances.selectExpr(f"g AS {k}", f"m AS m{k}", f"n AS n{k}", f"d AS d{k}") for k in "ab")
-    pairs = open_pairs.join(one, "a").join(other, "b").filter(_sizes("na", "nb"))
-    return pairs.filter(F.expr(f"far <= da + db + {1 - PERCENT / 100} + 1e-9 AND NOT (ma = a AND mb = b)")).select(F.col("ma").alias("a"), F.col("mb").alias("b"))
+    spark = texts.sparkSession
+    count = keep(members.groupBy("g").agg(F.count("*").alias("members")), "group-sizes")
+    groups = count.count()
+    for k in "ab":
+        apart = apart.join(small(count.selectExpr(f"g AS {k}", f"members AS n{k}"), groups), k)
+    placed = keep(apart.selectExpr("if(na >= nb, a, b) AS host", "if(na >= nb, b, a) AS g"), "placed")
+    guests = keep(placed.join(members, "g").select("host", "m", "n").distinct(), "guests")
+    hosts = keep(placed.selectExpr("host AS g").distinct().join(members, "g").selectExpr("g AS host", "m", "n"), "hosts")
+    ids = keep(guests.select("m").union(hosts.select("m")).distinct().withColumnRenamed("m", "doc_id"), "block-ids")
+    rows = texts.join(small(ids, ids.count()), "doc_id").select("doc_id", "text")
+    sets = keep(rows.mapInArrow(_whole_sets, "doc_id long, tokens array<long>"), "block-sets")
+    one = _blocks(guests, sets, "guest-blocks").select("host", F.col("ids").alias("ia"), F.col("sets").alias("sa"))
+    other = _blocks(hosts, sets, "host-blocks").select("host", F.col("ids").alias("ib"), F.col("sets").alias("sb"))
+    arrow_rows(spark, 8)
+    found = keep(one.join(other, "host").select("ia", "sa", "ib", "sb").mapInArrow(_block_links, "a long, b long"), "block-links")
+    arrow_rows(spark)
+    return found
 
 
 def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,28 +335,27 @@ def ngram_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     heads = sketches.filter("n > 0 AND doc_id IS NOT NULL").drop("tokens", "s", "slack")
     texts = docs.filter("doc_id IS NOT NULL")
     copies, near, distinct = _first_links(heads, texts)
-    edges = keep(copies.union(_linked(near)), "links")
+    edges = keep(copies.select("a", "b").union(_linked(near)), "links")
     groups = components(edges)
 
-    across = overlaps(_candidates(sketches.filter("doc_id IS NOT NULL"), groups, texts), texts)
+    indexed = sketches.filter("doc_id IS NOT NULL").join(small(copies.select(F.col("a").alias("doc_id"), "d1"), copies.count()), ["doc_id", "d1"], "left_anti")
+    across = overlaps(_candidates(indexed, groups, texts), texts)
     edges = keep(edges.union(_linked(across)), "links")
     merged = components(edges)
 
     # pairs of groups that are still apart, at least one of several distinct documents
     several = keep(groups.join(distinct.selectExpr("doc_id AS node", "n"), "node").selectExpr("node AS m", "component AS g", "n"), "members")
-    large = several.filter("m <> g").select("g").distinct()
-    part = merged.selectExpr("node", "component")
-    apart = across.selectExpr("a", "b", "1D - shared / total AS far")
+    large = keep(several.filter("m <> g").select("g").distinct(), "large")
+    rows = large.count()
+    apart = across.select("a", "b")
     for k in "ab":
-        apart = apart.join(part.selectExpr(f"node AS {k}", f"component AS c{k}"), k, "left").join(large.selectExpr(f"g AS {k}", f"true AS l{k}"), k, "left")
-    apart = keep(apart.filter(f"coalesce(ca, a) <> coalesce(cb, b) AND (la OR lb) AND far <= 1").select("a", "b", "far"), "apart")
+        apart = apart.join(merged.selectExpr(f"node AS {k}", f"component AS c{k}"), k, "left").join(small(large.selectExpr(f"g AS {k}", f"true AS l{k}"), rows), k, "left")
+    apart = keep(apart.filter("coalesce(ca, a) <> coalesce(cb, b) AND (la OR lb)").select("a", "b"), "apart")
     if apart.limit(1).count():
         involved = keep(apart.select(F.explode(F.array("a", "b")).alias("g")).distinct(), "involved")
-        members = several.join(small(involved, involved.count()), "g", "left_semi")
-        distances = overlaps(members.filter("m <> g").selectExpr("m AS a", "g AS b"), texts).selectExpr("a AS m", "b AS g", "1D - shared / total AS d")
-        known = members.join(distances, ["m", "g"], "left").select("m", "g", "n", F.expr("if(m = g, 0D, coalesce(d, 1D))").alias("d"))
-        lone = involved.join(known, "g", "left_anti").join(distinct.selectExpr("doc_id AS g", "n"), "g").selectExpr("g AS m", "g", "n", "0D AS d")
-        inner = overlaps(_between_members(apart, keep(known.union(lone), "distances")).distinct(), texts)
-        merged = components(keep(edges.union(_linked(inner)), "links"))
+        members = several.join(small(involved, involved.count()), "g", "left_semi").select("g", "m", "n")
+        lone = involved.join(members, "g", "left_anti").join(distinct.selectExpr("doc_id AS g", "n"), "g").selectExpr("g", "g AS m", "n")
+        inner = _between_members(apart, keep(members.union(lone), "block-members"), texts)
+        merged = components(keep(edges.union(inner), "links"))
     out = sketches.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
     return out.join(merged.selectExpr("node AS doc_id", "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

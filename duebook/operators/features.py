@@ -25,9 +25,9 @@ def calendar_features(bills: DataFrame) -> DataFrame:
     )
 
 
-def targets(bills: DataFrame, settled: DataFrame) -> DataFrame:
+def targets(ledger: DataFrame) -> DataFrame:
     """Outcome columns; null for invoices that are not settled."""
-    rows = bills.join(settled, "invoice_id", "left").withColumn("delay", F.datediff("settled_on", "due_date"))
+    rows = ledger.withColumn("delay", F.datediff("settled_on", "due_date"))
     return rows.select("invoice_id", F.when(F.col("settled_on").isNull(), "OPEN").otherwise("PAID").alias("status"), F.col("delay").cast("long").alias("delay_days"), F.when(F.col("delay").isNotNull(), (F.col("delay") > 0).cast("long")).alias("is_late"), F.datediff("settled_on", "invoice_date").cast("long").alias("days_until_payment"))
 
 

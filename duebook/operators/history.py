@@ -1,64 +1,120 @@
 """Settlement of invoices and the customer history that was visible at a day, without a self-join.
 
-Events and probes are one stream per tenant and customer in order of the day as an integer; a range
-window that ends the day before sees exactly what was known.
+Events are counted by tenant, customer and day first, so what follows grows with the calendar and not
+with a customer's invoices. A window over the days that ends the day before sees exactly what was known.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_HISTORY = 3
+KEY = ["business_id", "invoice_id"]
+PARTY = ["business_id", "customer_id"]
+
+
+def ledger(bills: DataFrame, paid: DataFrame) -> DataFrame:
+    """``bills`` with ``paid``, ``outstanding`` (never below 0), ``status`` and ``settled_on``.
+
+    Payments alone decide: OPEN with nothing paid, PAID at the full amount, else PARTIAL. ``settled_on``
+    is the first day on which the running sum reaches the amount. ``paid``: business_id, invoice_id, paid_on,
+    amount, one row for a day.
+    """
+    order = Window.partitionBy(*KEY).orderBy("paid_on").rowsBetween(Window.unboundedPreceding, 0)
+    running = paid.select(*KEY, "paid_on", F.sum("amount").over(order).alias("running"))
+    due = bills.select(*KEY, F.col("amount").alias("due"))
+    # an inner join on the keys that both sides are dealt by already
+    reached = due.join(running, KEY).groupBy(*KEY).agg(F.max("running").cast("decimal(14,2)").alias("paid"), F.min(F.when(F.col("running") >= F.col("due"), F.col("paid_on"))).alias("settled_on"))
+    rows = bills.join(reached, KEY, "left").withColumn("paid", F.coalesce("paid", F.lit(0).cast("decimal(14,2)")))
+    status = F.when(F.col("paid") <= 0, "OPEN").when(F.col("paid") >= F.col("amount"), "PAID").otherwise("PARTIAL")
+    return rows.withColumn("status", status).withColumn("outstanding", F.greatest(F.col("amount") - F.col("paid"), F.lit(0)).cast("decimal(14,2)"))
 
 
-def settlements(bills: DataFrame, paid: DataFrame) -> DataFrame:
-    """(invoice_id, settled_on): the first payment at which the running sum reaches the amount."""
-    order = Window.partitionBy("invoice_id").orderBy("paid_on").rowsBetween(Window.unboundedPreceding, 0)
-    running = paid.withColumn("running", F.sum("amount").over(order)).select("invoice_id", "paid_on", "running")
-    reached = running.join(bills.select("invoice_id", F.col("amount").alias("due")), "invoice_id").filter("running >= due")
-    return reached.groupBy("invoice_id").agg(F.min("paid_on").alias("settled_on"))
+def settlements(rows: DataFrame) -> DataFrame:
+    """(invoice_id, settled_on) of the settled rows of a ledger."""
+    return rows.filter("settled_on IS NOT NULL").select("invoice_id", "settled_on")
 
 
 def _day(column):
     return F.datediff(column, F.lit("1970-01-01").cast("date"))
 
 
-def history_as_of(bills: DataFrame, settled: DataFrame) -> DataFrame:
-    """Each invoice with a customer: what its customer's settled invoices told before its own day.
-
-    An outcome is visible when both its settlement and its invoice day (or due day, where that is
-    null) lie before the probe's day. Same-day events are not seen.
+def _outcomes(rows: DataFrame) -> DataFrame:
+    rows = rows.filter("customer_id IS NOT NULL").withColumn("delay", F.datediff("settled_on", "due_date"))
+    return rows.filter("delay IS NOT NULL")
+
+
+def _running_medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (business_id, customer_id, at, delays, counts) in order, with the median of all delays on the days before."""
+    owner, values, seen = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        out: list[float | None] = []
+        for b, c, delays in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if (b, c) != owner:
+                owner, values, seen = (b, c), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if len(values):
+                upto = np.cumsum(seen)
+                n = int(upto[-1])
+                low, high = np.searchsorted(upto, [(n - 1) // 2 + 1, n // 2 + 1])
+                out.append(float(values[low] + values[high]) / 2)
+            else:
+                out.append(None)
+            if delays:
+                both = np.concatenate([values, [x["delay"] for x in delays]])
+                values, place = np.unique(both, return_inverse=True)
+                seen = np.bincount(place, np.concatenate([seen, [x["n"] for x in delays]]), len(values)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.float64())], ["business_id", "customer_id", "at", "median_delay"])
+
+
+def history_as_of(rows: DataFrame, probes: DataFrame | None = None) -> DataFrame:
+    """Each probed invoice with a customer: what its customer's settled invoices told before its own day.
+
+    ``rows``: a ledger; ``probes``: those of its invoices that are asked about, all by default. An outcome is
+    visible when both its settlement and its invoice day (or due day, where that is null) lie before the
+    probe's day. Same-day events are not seen.
     """
-    rows = bills.filter("customer_id IS NOT NULL").join(settled, "invoice_id", "left")
-    issued = F.coalesce("invoice_date", "due_date")
-    rows = rows.withColumn("delay", F.datediff("settled_on", "due_date")).withColumn("seen", F.when(F.col("delay").isNotNull(), _day(F.greatest("settled_on", issued)))).withColumn("day", _day("invoice_date"))
-    events = rows.filter("seen IS NOT NULL").select("business_id", "customer_id", "invoice_id", F.col("seen").alias("at"), "delay", _day("settled_on").alias("paid_day"), F.lit(False).alias("probe"))
-    probes = rows.filter("day IS NOT NULL").select("business_id", "customer_id", "invoice_id", F.col("day").alias("at"), F.lit(None).cast("int").alias("delay"), F.lit(None).cast("int").alias("paid_day"), F.lit(True).alias("probe"))
-    past = Window.partitionBy("business_id", "customer_id").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    both = events.unionByName(probes)
-    n = F.count("delay").over(past)
-    seen = both.select(
-        "business_id", "customer_id", "invoice_id", "probe", n.alias("settled"), F.sum(F.when(F.col("delay") > 0, 1).otherwise(0)).over(past).alias("late"),
-        F.avg("delay").over(past).alias("avg_delay"), F.expr("percentile(delay, 0.5)").over(past).alias("median_delay"), F.min("delay").over(past).alias("min_delay"), F.max("delay").over(past).alias("max_delay"),
-        F.stddev_samp("delay").over(past).alias("std_delay"), (F.col("at") - F.max("paid_day").over(past)).alias("days_since_payment"),
-        F.sum(F.col("probe").cast("int")).over(past).alias("prior_invoices"), (F.col("at") - F.max(F.when(F.col("probe"), F.col("at"))).over(past)).alias("days_since_invoice"),
-    ).filter("probe")
-    return seen.select(
-        "business_id", "customer_id", "invoice_id", F.col("settled").cast("long").alias("settled"), F.coalesce("late", F.lit(0)).cast("long").alias("late"),
-        F.round(F.col("late") / F.nullif("settled", F.lit(0)), 6).alias("late_rate"), F.round("avg_delay", 6).alias("avg_delay"), F.col("median_delay").cast("double").alias("median_delay"),
-        F.col("min_delay").cast("long").alias("min_delay"), F.col("max_delay").cast("long").alias("max_delay"), F.round(F.when(F.col("settled") == 1, 0.0).otherwise(F.col("std_delay")), 6).alias("std_delay"),
-        F.col("days_since_payment").cast("long").alias("days_since_payment"), F.coalesce("prior_invoices", F.lit(0)).cast("long").alias("prior_invoices"), F.col("days_since_invoice").cast("long").alias("days_since_invoice"),
-        F.when(F.coalesce("prior_invoices", F.lit(0)) < 3, 1).otherwise(0).cast("long").alias("is_new_customer"), (F.col("settled") >= MIN_HISTORY).alias("estimates_ready"),
+    probes = rows if probes is None else probes
+    probes = probes.filter("customer_id IS NOT NULL AND invoice_date IS NOT NULL").select(*KEY, "customer_id", _day("invoice_date").alias("at"))
+    known = _outcomes(rows).select(*PARTY, _day(F.greatest("settled_on", F.coalesce("invoice_date", "due_date"))).alias("at"), "delay", _day("settled_on").alias("paid_day"), F.lit(0).alias("issued"))
+    issued = rows.filter("customer_id IS NOT NULL AND invoice_date IS NOT NULL").select(*PARTY, _day("invoice_date").alias("at"), F.lit(None).cast("int").alias("delay"), F.lit(None).cast("int").alias("paid_day"), F.lit(1).alias("issued"))
+    d = F.col("delay").cast("long")
+    by_delay = known.unionByName(issued).groupBy(*PARTY, "at", "delay").agg(F.count("delay").alias("n"), F.sum("issued").alias("issued"), F.max("paid_day").alias("paid_day"))
+    days = by_delay.groupBy(*PARTY, "at").agg(
+        F.sum("n").alias("n"), F.sum("issued").alias("issued"), F.max("paid_day").alias("paid_day"), F.sum(F.when(d > 0, F.col("n")).otherwise(0)).alias("late"), F.sum(d * F.col("n")).alias("total"),
+        F.sum(d * d * F.col("n")).alias("squares"), F.min("delay").alias("low"), F.max("delay").alias("high"), F.collect_list(F.when(d.isNotNull(), F.struct("delay", "n"))).alias("delays"),
+    )
+    days = days.repartition(*PARTY)
+    past = Window.partitionBy(*PARTY).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda f, c: f(c).over(past)
+    n, total = F.col("settled"), F.col("total")
+    seen = days.select(
+        *PARTY, "at", before(F.sum, "n").alias("settled"), before(F.sum, "late").alias("late"), before(F.sum, "total").alias("total"), before(F.sum, "squares").alias("squares"), before(F.min, "low").alias("min_delay"),
+        before(F.max, "high").alias("max_delay"), before(F.max, "paid_day").alias("paid_day"), before(F.sum, "issued").alias("prior_invoices"), F.max(F.when(F.col("issued") > 0, F.col("at"))).over(past).alias("issued_day"),
+    )
+    medians = days.select(*PARTY, "at", "delays").sortWithinPartitions(*PARTY, "at").mapInArrow(_running_medians, "business_id int, customer_id long, at int, median_delay double")
+    seen = seen.join(medians, [*PARTY, "at"]).withColumn("settled", F.coalesce("settled", F.lit(0)))
+    found = probes.join(seen, [*PARTY, "at"])
+    spread = F.sqrt((n * F.col("squares") - total * total) / (n * (n - 1)))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    prior = F.coalesce("prior_invoices", F.lit(0))
+    return found.select(
+        *PARTY, "invoice_id", n.cast("long").alias("settled"), F.coalesce("late", F.lit(0)).cast("long").alias("late"), F.round(F.col("late") / F.nullif(n, F.lit(0)), 6).alias("late_rate"),
+        F.round(total / F.nullif(n, F.lit(0)), 6).alias("avg_delay"), "median_delay", long("min_delay"), long("max_delay"), F.round(F.when(n == 1, 0.0).when(n > 1, spread), 6).alias("std_delay"),
+        (F.col("at") - F.col("paid_day")).cast("long").alias("days_since_payment"), prior.cast("long").alias("prior_invoices"), (F.col("at") - F.col("issued_day")).cast("long").alias("days_since_invoice"),
+        F.when(prior < 3, 1).otherwise(0).cast("long").alias("is_new_customer"), (n >= MIN_HISTORY).alias("estimates_ready"),
     )
 
 
-def recent_outcomes(bills: DataFrame, settled: DataFrame, last: int = 3) -> DataFrame:
+def recent_outcomes(rows: DataFrame, last: int = 3) -> DataFrame:
     """(business_id, customer_id, n, mean_delay, late_rate) of each customer's last settled invoices, by settlement day and id."""
-    rows = bills.filter("customer_id IS NOT NULL").join(settled, "invoice_id").withColumn("delay", F.datediff("settled_on", "due_date")).filter("delay IS NOT NULL")
-    latest = Window.partitionBy("business_id", "customer_id").orderBy(F.desc("settled_on"), F.desc("invoice_id"))
-    rows = rows.withColumn("k", F.row_number().over(latest)).filter(F.col("k") <= last)
-    return rows.groupBy("business_id", "customer_id").agg(F.count("*").alias("n"), F.round(F.avg("delay"), 6).alias("mean_delay"), F.round(F.avg(F.when(F.col("delay") > 0, 1.0).otherwise(0.0)), 6).alias("late_rate"))
+    latest = Window.partitionBy(*PARTY).orderBy(F.desc("settled_on"), F.desc("invoice_id"))
+    rows = _outcomes(rows).withColumn("k", F.row_number().over(latest)).filter(F.col("k") <= last)
+    return rows.groupBy(*PARTY).agg(F.count("*").alias("n"), F.round(F.avg("delay"), 6).alias("mean_delay"), F.round(F.avg(F.when(F.col("delay") > 0, 1.0).otherwise(0.0)), 6).alias("late_rate"))
 
 
 def predictions(bills: DataFrame, history: DataFrame) -> DataFrame:
@@ -67,8 +123,8 @@ def predictions(bills: DataFrame, history: DataFrame) -> DataFrame:
     risk: (late + 1) / (settled + 2) to 4 places; tier by the unrounded value; expected day: invoice day
     plus terms plus the median delay for known customers, never before the invoice, rounded half-even.
     """
-    rows = history.filter("estimates_ready").join(bills.select("invoice_id", "invoice_date", "terms"), "invoice_id")
+    rows = history.filter("estimates_ready").join(bills.select(*KEY, "invoice_date", "terms"), KEY)
     risk = (F.col("late") + 1) / (F.col("settled") + 2)
     days = F.greatest(F.lit(0.0), F.col("terms") + F.when(F.col("is_new_customer") == 1, 0.0).otherwise(F.col("median_delay")))
     tier = F.when(risk < 0.30, "LOW").when(risk < 0.65, "MEDIUM").otherwise("HIGH")
-    return rows.withColumn("d", days).select("business_id", "invoice_id", F.round(risk, 4).alias("risk"), tier.alias("tier"), F.expr("date_add(invoice_date, CAST(bround(CAST(d AS DECIMAL(12,1)), 0) AS INT))").alias("expected"))
+    return rows.withColumn("d", days).select(*KEY, F.round(risk, 4).alias("risk"), tier.alias("tier"), F.expr("date_add(invoice_date, CAST(bround(CAST(d AS DECIMAL(12,1)), 0) AS INT))").alias("expected"))

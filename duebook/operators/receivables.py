@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
+KEY = ["business_id", "invoice_id"]
+#: The aging buckets, the reasons' wording, the weights of urgency and the bounds of segments below.
 BUCKETS = ("current", "1-30", "31-60", "61-90", "90+")
 
 
@@ -32,7 +34,7 @@ def aging_summary(open_bills: DataFrame) -> DataFrame:
 
 def dashboard(open_bills: DataFrame, estimates: DataFrame, today: str) -> DataFrame:
     """One row per tenant: amount and number of each segment, in one aggregation."""
-    rows = open_bills.join(estimates.drop("business_id"), "invoice_id", "left")
+    rows = open_bills.join(estimates, KEY, "left")
     expected = F.col("expected").between(F.lit(today).cast("date"), F.date_add(F.lit(today).cast("date"), 30))
     parts = {"overdue": F.col("past_due") > 0, "due_soon": F.col("past_due").between(-7, 0), "high_risk": F.col("tier") == "HIGH", "expected": expected, "undated": F.col("due_date").isNull()}
     columns = [c for k, v in parts.items() for c in (_sum(v).alias(f"{k}_amount"), _count(v).alias(f"{k}_n"))]
@@ -41,7 +43,7 @@ def dashboard(open_bills: DataFrame, estimates: DataFrame, today: str) -> DataFr
 
 def priority(open_bills: DataFrame, estimates: DataFrame, top: int = 5) -> DataFrame:
     """The ``top`` invoices of each tenant by weight, with the reasons as text."""
-    rows = open_bills.join(estimates.drop("business_id"), "invoice_id", "left")
+    rows = open_bills.join(estimates, KEY, "left")
     late = F.col("past_due")
     urgency = F.when(late.isNull(), 0.25).when(late > 0, 1 + F.least(late, F.lit(90)) / 30).when(late >= -7, 0.5 + (7 + late) / 14).otherwise(0.25)
     weight = urgency * F.when(F.col("risk").isNotNull(), 0.5 + F.col("risk")).otherwise(1.0)
@@ -57,7 +59,7 @@ def priority(open_bills: DataFrame, estimates: DataFrame, top: int = 5) -> DataF
 def _dated(open_bills: DataFrame, estimates: DataFrame, today: str, weeks: int) -> DataFrame:
     """Each open invoice with the day its money is expected, the basis, and its week or unscheduled bucket."""
     now = F.lit(today).cast("date")
-    rows = open_bills.join(estimates.drop("business_id"), "invoice_id", "left")
+    rows = open_bills.join(estimates, KEY, "left")
     basis = F.when(F.col("expected") >= now, "model").when(F.col("expected").isNotNull(), "past_predicted")
     basis = basis.when(F.col("due_date").isNull(), "undated").when(F.col("due_date") >= now, "due_date").otherwise("overdue_unestimated")
     rows = rows.withColumn("basis", basis).withColumn("on", F.when(F.col("basis") == "model", F.col("expected")).when(F.col("basis") == "due_date", F.col("due_date")))
@@ -93,14 +95,14 @@ def cash_flow_totals(open_bills: DataFrame, estimates: DataFrame, today: str, we
 def expected_schedule(open_bills: DataFrame, estimates: DataFrame, today: str, days: int = 30) -> DataFrame:
     """(business_id, expected, amount, n, invoices): invoices by expected day within the window, ids in order."""
     now = F.lit(today).cast("date")
-    rows = open_bills.join(estimates.drop("business_id"), "invoice_id").filter(F.col("expected").between(now, F.date_add(now, days)))
+    rows = open_bills.join(estimates, KEY).filter(F.col("expected").between(now, F.date_add(now, days)))
     return rows.groupBy("business_id", "expected").agg(_sum().alias("amount"), F.count("*").alias("n"), F.concat_ws(",", F.array_sort(F.collect_list("invoice_id")).cast("array<string>")).alias("invoices"))
 
 
 def customer_balances(open_bills: DataFrame, estimates: DataFrame, today: str) -> DataFrame:
     """One row per tenant and customer (unresolved ones by themselves) with the share of the tenant's total."""
     now = F.lit(today).cast("date")
-    rows = open_bills.join(estimates.drop("business_id"), "invoice_id", "left").withColumn("party", F.coalesce(F.concat(F.lit("customer:"), F.col("customer_id").cast("string")), F.lit("unmatched")))
+    rows = open_bills.join(estimates, KEY, "left").withColumn("party", F.coalesce(F.concat(F.lit("customer:"), F.col("customer_id").cast("string")), F.lit("unmatched")))
     rank = F.when(F.col("tier") == "LOW", 1).when(F.col("tier") == "MEDIUM", 2).when(F.col("tier") == "HIGH", 3)
     out = rows.groupBy("business_id", "party").agg(
         _sum().alias("outstanding"), _sum(F.col("past_due") > 0).alias("overdue"), F.count("*").alias("open_n"), _count(F.col("past_due") > 0).alias("overdue_n"),
@@ -118,9 +120,9 @@ def concentration(balances: DataFrame) -> DataFrame:
     return rows.groupBy("business_id").agg(F.max(F.when(F.col("k") == 1, F.col("share"))).alias("top_share"), F.round(F.sum("share"), 4).alias("top_five_share"))
 
 
-def payment_record(bills: DataFrame, settled: DataFrame) -> DataFrame:
-    """(business_id, customer_id, settled, on_time_rate, average_days_late, estimates_ready)."""
-    rows = bills.filter("customer_id IS NOT NULL").join(settled, "invoice_id").withColumn("delay", F.datediff("settled_on", "due_date")).filter("delay IS NOT NULL")
+def payment_record(rows: DataFrame) -> DataFrame:
+    """(business_id, customer_id, settled, on_time_rate, average_days_late, estimates_ready) of a ledger."""
+    rows = rows.filter("customer_id IS NOT NULL").withColumn("delay", F.datediff("settled_on", "due_date")).filter("delay IS NOT NULL")
     on_time = F.avg(F.when(F.col("delay") <= 0, 1.0).otherwise(0.0))
     return rows.groupBy("business_id", "customer_id").agg(F.count("*").alias("settled"), F.round(on_time, 4).alias("on_time_rate"), F.round(F.avg("delay"), 1).alias("average_days_late"), (F.count("*") >= 3).alias("estimates_ready"))
 
@@ -129,7 +131,7 @@ def historical_companies(billed: DataFrame, paid: DataFrame) -> DataFrame:
     """(business_id, customer_id, n, billed, paid, open, last_invoice, last_payment) of customers with historical invoices; payments on all their invoices count."""
     owned = billed.filter("customer_id IS NOT NULL")
     bills = owned.filter("origin = 'HISTORICAL'").groupBy("business_id", "customer_id").agg(F.count("*").alias("n"), _sum(value="amount").alias("billed"), F.max("invoice_date").alias("last_invoice"))
-    money = owned.select("invoice_id", "business_id", "customer_id").join(paid, "invoice_id").groupBy("business_id", "customer_id").agg(_sum(value="amount").alias("paid"), F.max("paid_on").alias("last_payment"))
+    money = owned.select(*KEY, "customer_id").join(paid, KEY).groupBy("business_id", "customer_id").agg(_sum(value="amount").alias("paid"), F.max("paid_on").alias("last_payment"))
     rows = bills.join(money, ["business_id", "customer_id"], "left").withColumn("paid", F.coalesce("paid", F.lit(0)).cast(MONEY))
     return rows.withColumn("open", F.greatest(F.col("billed") - F.col("paid"), F.lit(0)).cast(MONEY))
 

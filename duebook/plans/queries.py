@@ -70,30 +70,33 @@ def _query(sql: str | None = None, views_first: bool = True):
     return register
 
 
-def _bills(s: SparkSession, d: str) -> DataFrame:
-    return views.with_status(views.invoices(s, d), views.payments(s, d))
+def _outstanding(s: SparkSession, d: str) -> DataFrame:
+    return views.outstanding(views.bills(s, d))
 
 
-def _settled(s: SparkSession, d: str) -> DataFrame:
-    return history.settlements(views.invoices(s, d), views.payments(s, d))
+def _estimates(s: SparkSession, d: str) -> DataFrame:
+    bills = views.bills(s, d)
+    return history.predictions(bills, history.history_as_of(bills))
 
 
-def _estimates(s: SparkSession, d: str) -> DataFrame:
-    bills = views.invoices(s, d)
-    return history.predictions(bills, history.history_as_of(bills, _settled(s, d)))
+def _open_and_estimates(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The open invoices, and estimates of them alone; both from one ledger."""
+    bills = views.bills(s, d)
+    owed = views.outstanding(bills)
+    return owed, history.predictions(owed, history.history_as_of(bills, owed))
 
 
 @_query("""SELECT b.business_id, b.bucket, CAST(coalesce(sum(outstanding), 0) AS DECIMAL(18,2)) AS amount, count(outstanding) AS n
 FROM (SELECT DISTINCT business_id, bucket FROM owed, (VALUES ('current'), ('1-30'), ('31-60'), ('61-90'), ('90+')) t(bucket)) b
 LEFT JOIN owed ON owed.business_id = b.business_id AND b.bucket = CASE WHEN past_due <= 0 THEN 'current' WHEN past_due <= 30 THEN '1-30' WHEN past_due <= 60 THEN '31-60' WHEN past_due <= 90 THEN '61-90' WHEN past_due > 90 THEN '90+' END GROUP BY 1, 2""")
 def aging_summary(s: SparkSession, d: str) -> DataFrame:
-    return receivables.aging_summary(views.outstanding(s, d))
+    return receivables.aging_summary(_outstanding(s, d))
 
 
 @_query("SELECT business_id, status, origin, count(*) AS n, CAST(sum(amount) AS DECIMAL(18,2)) AS amount, CAST(sum(paid) AS DECIMAL(18,2)) AS paid FROM bill GROUP BY 1, 2, 3")
 def payment_status(s: SparkSession, d: str) -> DataFrame:
     money = [F.sum(c).cast("decimal(18,2)").alias(c) for c in ("amount", "paid")]
-    return _bills(s, d).groupBy("business_id", "status", "origin").agg(F.count("*").alias("n"), *money)
+    return views.bills(s, d).groupBy("business_id", "status", "origin").agg(F.count("*").alias("n"), *money)
 
 
 _SEGMENTS = {"overdue": "past_due > 0", "due_soon": "past_due BETWEEN -7 AND 0", "high_risk": "tier = 'HIGH'", "expected": f"expected BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 30", "undated": "due_date IS NULL"}
@@ -101,7 +104,7 @@ _SEGMENTS = {"overdue": "past_due > 0", "due_soon": "past_due BETWEEN -7 AND 0",
 
 @_query("SELECT business_id, CAST(sum(outstanding) AS DECIMAL(18,2)) AS outstanding_amount, count(*) AS outstanding_n, " + ", ".join(f"CAST(coalesce(sum(CASE WHEN {v} THEN outstanding END), 0) AS DECIMAL(18,2)) AS {k}_amount, count(CASE WHEN {v} THEN 1 END) AS {k}_n" for k, v in _SEGMENTS.items()) + " FROM oe GROUP BY 1")
 def dashboard_segments(s: SparkSession, d: str) -> DataFrame:
-    return receivables.dashboard(views.outstanding(s, d), _estimates(s, d), TODAY)
+    return receivables.dashboard(*_open_and_estimates(s, d), TODAY)
 
 
 @_query("""SELECT business_id, place, invoice_id, score, reasons FROM (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY score DESC, due_date ASC NULLS LAST, invoice_id) AS place FROM (
@@ -109,24 +112,24 @@ SELECT *, round(CAST(outstanding AS DOUBLE) * (CASE WHEN past_due IS NULL THEN 0
 concat_ws('; ', CASE WHEN past_due > 0 THEN past_due || CASE WHEN past_due = 1 THEN ' day' ELSE ' days' END || ' overdue' WHEN past_due = 0 THEN 'Due today' WHEN past_due >= -7 THEN 'Due in ' || (-past_due) || CASE WHEN past_due = -1 THEN ' day' ELSE ' days' END END,
 CASE WHEN tier = 'HIGH' THEN 'High late-payment risk (' || CAST(round(risk * 100, 0) AS INT) || '%)' END, CASE WHEN status = 'PARTIAL' THEN 'Partially paid' END) AS reasons FROM oe)) WHERE place <= 5""")
 def priority_ranking(s: SparkSession, d: str) -> DataFrame:
-    return receivables.priority(views.outstanding(s, d), _estimates(s, d))
+    return receivables.priority(*_open_and_estimates(s, d))
 
 
 @_query("SELECT invoice_id, settled_on FROM stl")
 def first_settlement(s: SparkSession, d: str) -> DataFrame:
-    return _settled(s, d)
+    return history.settlements(views.bills(s, d))
 
 
 @_query("""SELECT hist.business_id, hist.customer_id, hist.invoice_id, settled, CAST(late AS BIGINT) AS late, CASE WHEN settled > 0 THEN round(late / CAST(settled AS DOUBLE), 6) END AS late_rate, round(avg_delay, 6) AS avg_delay, CAST(median_delay AS DOUBLE) AS median_delay,
 min_delay, max_delay, round(CASE WHEN settled = 1 THEN 0.0::DOUBLE ELSE std_delay END, 6) AS std_delay, days_since_payment, prior_invoices, days_since_invoice, CAST(CASE WHEN prior_invoices < 3 THEN 1 ELSE 0 END AS BIGINT) AS is_new_customer, settled >= 3 AS estimates_ready FROM hist JOIN prior ON hist.invoice_id = prior.invoice_id""")
 def history_as_of(s: SparkSession, d: str) -> DataFrame:
-    return history.history_as_of(views.invoices(s, d), _settled(s, d))
+    return history.history_as_of(views.bills(s, d))
 
 
 @_query("""SELECT business_id, customer_id, count(*) AS n, round(avg(delay), 6) AS mean_delay, round(avg(CASE WHEN delay > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS late_rate FROM (
 SELECT *, row_number() OVER (PARTITION BY business_id, customer_id ORDER BY settled_on DESC, invoice_id DESC) AS k FROM outc) WHERE k <= 3 GROUP BY 1, 2""")
 def recent_outcomes(s: SparkSession, d: str) -> DataFrame:
-    return history.recent_outcomes(views.invoices(s, d), _settled(s, d))
+    return history.recent_outcomes(views.bills(s, d))
 
 
 @_query("SELECT business_id, invoice_id, risk, tier, expected FROM est")
@@ -138,23 +141,23 @@ def baseline_estimates(s: SparkSession, d: str) -> DataFrame:
 CAST(coalesce(sum(CASE WHEN basis = 'due_date' THEN outstanding END), 0) AS DECIMAL(18,2)) AS due_dated, CAST(coalesce(sum(CASE WHEN tier = 'HIGH' THEN outstanding END), 0) AS DECIMAL(18,2)) AS high_risk, count(outstanding) AS n
 FROM (SELECT DISTINCT business_id, week FROM owed, (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) t(week)) b LEFT JOIN wk ON wk.business_id = b.business_id AND wk.week = b.week GROUP BY 1, 2""")
 def cash_flow_weeks(s: SparkSession, d: str) -> DataFrame:
-    return receivables.cash_flow_weeks(views.outstanding(s, d), _estimates(s, d), TODAY)
+    return receivables.cash_flow_weeks(*_open_and_estimates(s, d), TODAY)
 
 
 @_query("SELECT business_id, CASE WHEN onday IS NULL THEN basis ELSE 'beyond_horizon' END AS bucket, CAST(sum(outstanding) AS DECIMAL(18,2)) AS amount, count(*) AS n FROM wk WHERE onday IS NULL OR week IS NULL GROUP BY 1, 2")
 def cash_flow_unscheduled(s: SparkSession, d: str) -> DataFrame:
-    return receivables.cash_flow_unscheduled(views.outstanding(s, d), _estimates(s, d), TODAY)
+    return receivables.cash_flow_unscheduled(*_open_and_estimates(s, d), TODAY)
 
 
 @_query("""SELECT business_id, CAST(sum(outstanding) AS DECIMAL(18,2)) AS outstanding, CAST(coalesce(sum(CASE WHEN week IS NOT NULL THEN outstanding END), 0) AS DECIMAL(18,2)) AS scheduled, CAST(coalesce(sum(CASE WHEN basis = 'model' THEN outstanding END), 0) AS DECIMAL(18,2)) AS model_dated,
 CAST(coalesce(sum(CASE WHEN basis = 'due_date' THEN outstanding END), 0) AS DECIMAL(18,2)) AS due_date_dated, round(CAST(sum(CASE WHEN tier IS NOT NULL THEN outstanding ELSE 0 END) AS DOUBLE) / CAST(sum(outstanding) AS DOUBLE), 4) AS model_coverage FROM wk GROUP BY 1""")
 def cash_flow_totals(s: SparkSession, d: str) -> DataFrame:
-    return receivables.cash_flow_totals(views.outstanding(s, d), _estimates(s, d), TODAY)
+    return receivables.cash_flow_totals(*_open_and_estimates(s, d), TODAY)
 
 
 @_query(f"SELECT business_id, expected, CAST(sum(outstanding) AS DECIMAL(18,2)) AS amount, count(*) AS n, string_agg(CAST(invoice_id AS VARCHAR), ',' ORDER BY invoice_id) AS invoices FROM oe WHERE expected BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 30 GROUP BY 1, 2")
 def expected_schedule(s: SparkSession, d: str) -> DataFrame:
-    return receivables.expected_schedule(views.outstanding(s, d), _estimates(s, d), TODAY)
+    return receivables.expected_schedule(*_open_and_estimates(s, d), TODAY)
 
 
 _BALANCES = f"""SELECT *, round(CAST(outstanding AS DOUBLE) / CAST(sum(outstanding) OVER (PARTITION BY business_id) AS DOUBLE), 4) AS share FROM (
@@ -164,7 +167,7 @@ max(CASE WHEN past_due > 0 THEN past_due END) AS oldest, min(CASE WHEN due_date
 
 @_query(_BALANCES)
 def customer_balances(s: SparkSession, d: str) -> DataFrame:
-    return receivables.customer_balances(views.outstanding(s, d), _estimates(s, d), TODAY)
+    return receivables.customer_balances(*_open_and_estimates(s, d), TODAY)
 
 
 @_query(f"SELECT business_id, max(CASE WHEN k = 1 THEN share END) AS top_share, round(sum(share), 4) AS top_five_share FROM (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY outstanding DESC, party) AS k FROM ({_BALANCES}) WHERE outstanding > 0) WHERE k <= 5 GROUP BY 1")
@@ -174,7 +177,7 @@ def concentration(s: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT business_id, customer_id, count(*) AS settled, round(avg(CASE WHEN delay <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS on_time_rate, round(avg(delay), 1) AS average_days_late, count(*) >= 3 AS estimates_ready FROM outc GROUP BY 1, 2")
 def payment_record(s: SparkSession, d: str) -> DataFrame:
-    return receivables.payment_record(views.invoices(s, d), _settled(s, d))
+    return receivables.payment_record(views.bills(s, d))
 
 
 @_query("""SELECT b.business_id, b.customer_id, n, billed, last_invoice, coalesce(p.paid, 0)::DECIMAL(18,2) AS paid, last_payment, greatest(billed - coalesce(p.paid, 0), 0)::DECIMAL(18,2) AS "open" FROM (SELECT business_id, customer_id, count(*) AS n, sum(amount)::DECIMAL(18,2) AS billed, max(invoice_date) AS last_invoice FROM inv WHERE origin = 'HISTORICAL' AND customer_id IS NOT NULL GROUP BY 1, 2) b
@@ -185,7 +188,7 @@ def historical_companies(s: SparkSession, d: str) -> DataFrame:
 
 @_query(f"SELECT invoice_id, business_id, amount, due_date, status FROM bill WHERE status IN ('OPEN', 'PARTIAL') AND due_date < DATE '{TODAY}' ORDER BY due_date DESC NULLS LAST, invoice_date DESC, invoice_id LIMIT 50 OFFSET 100")
 def invoice_list_page(s: SparkSession, d: str) -> DataFrame:
-    return receivables.invoice_page(_bills(s, d), TODAY, "overdue", descending=True, offset=100).select("invoice_id", "business_id", "amount", "due_date", "status")
+    return receivables.invoice_page(views.bills(s, d), TODAY, "overdue", descending=True, offset=100).select("invoice_id", "business_id", "amount", "due_date", "status")
 
 
 @_query("""SELECT invoice_id, round(ln(1 + greatest(CAST(amount AS DOUBLE), 0)), 6) AS log_amount, month(invoice_date) AS month, day(invoice_date) AS day, isodow(invoice_date) - 1 AS weekday, quarter(invoice_date) AS quarter, CAST(CASE WHEN isodow(invoice_date) >= 6 THEN 1 ELSE 0 END AS BIGINT) AS weekend,
@@ -201,7 +204,7 @@ _TARGETS = "SELECT inv.invoice_id, CASE WHEN settled_on IS NULL THEN 'OPEN' ELSE
 
 @_query(_TARGETS)
 def targets(s: SparkSession, d: str) -> DataFrame:
-    return features.targets(views.invoices(s, d), _settled(s, d))
+    return features.targets(views.bills(s, d))
 
 
 @_query(f"SELECT count(delay_days) AS n, count(CASE WHEN delay_days <= 0 THEN 1 END) AS on_time, count(CASE WHEN delay_days > 0 THEN 1 END) AS late, count(CASE WHEN delay_days < 0 THEN 1 END) AS early, count(CASE WHEN delay_days = 0 THEN 1 END) AS exact, round(100.0::DOUBLE * count(CASE WHEN delay_days > 0 THEN 1 END) / count(delay_days), 4) AS late_percent, round(100.0::DOUBLE * count(CASE WHEN delay_days <= 0 THEN 1 END) / count(delay_days), 4) AS on_time_percent FROM ({_TARGETS})")
@@ -258,9 +261,10 @@ def _labelled(s: SparkSession, d: str) -> DataFrame:
     return scores.join(targets(s, d).filter("is_late IS NOT NULL").select("invoice_id", F.col("is_late").alias("label"), "days_until_payment"), "invoice_id")
 
 
-@_query(f"""SELECT tn, fp, fn, tp, round((tp + tn) / CAST(tp + tn + fp + fn AS DOUBLE), 6) AS accuracy, round(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0), 6) AS "precision", round(coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0), 6) AS f1, roc_auc FROM
+@_query(f"""SELECT tn, fp, fn, tp, round((tp + tn) / CAST(tp + tn + fp + fn AS DOUBLE), 6) AS accuracy, round(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0), 6) AS "precision", round(coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0), 6) AS f1, roc_auc, average_precision FROM
 (SELECT count(CASE WHEN label = 0 AND score < 0.5 THEN 1 END) AS tn, count(CASE WHEN label = 0 AND score >= 0.5 THEN 1 END) AS fp, count(CASE WHEN label = 1 AND score < 0.5 THEN 1 END) AS fn, count(CASE WHEN label = 1 AND score >= 0.5 THEN 1 END) AS tp FROM ({_LABELLED})),
-(SELECT round((sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / (sum(label) * CAST(sum(1 - label) AS DOUBLE)), 6) AS roc_auc FROM (SELECT label, (min(k) OVER (PARTITION BY score) + max(k) OVER (PARTITION BY score)) / 2.0::DOUBLE AS r FROM (SELECT *, row_number() OVER (ORDER BY score) AS k FROM ({_LABELLED}))))""")
+(SELECT round((sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / (sum(label) * CAST(sum(1 - label) AS DOUBLE)), 6) AS roc_auc FROM (SELECT label, (min(k) OVER (PARTITION BY score) + max(k) OVER (PARTITION BY score)) / 2.0::DOUBLE AS r FROM (SELECT *, row_number() OVER (ORDER BY score) AS k FROM ({_LABELLED})))),
+(SELECT round(sum(pos * CAST(sp AS DOUBLE) / sn) / sum(pos), 6) AS average_precision FROM (SELECT pos, sum(pos) OVER (ORDER BY score DESC) AS sp, sum(n) OVER (ORDER BY score DESC) AS sn FROM (SELECT score, sum(label) AS pos, count(*) AS n FROM ({_LABELLED}) GROUP BY 1)))""")
 def classification_metrics(s: SparkSession, d: str) -> DataFrame:
     return evaluation.classification(_labelled(s, d))
 
@@ -297,7 +301,7 @@ def whole_percentages(s: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT count(DISTINCT customer_id) FILTER (o > 0 AND p > 0) AS both_sets, count(DISTINCT customer_id) FILTER (o > 0 AND p = 0) AS open_only, count(DISTINCT customer_id) FILTER (o = 0) AS closed_only FROM (SELECT customer_id, count(CASE WHEN status <> 'PAID' THEN 1 END) AS o, count(CASE WHEN status = 'PAID' THEN 1 END) AS p FROM bill WHERE customer_id IS NOT NULL GROUP BY 1)")
 def customer_sets(s: SparkSession, d: str) -> DataFrame:
-    rows = _bills(s, d).filter("customer_id IS NOT NULL").groupBy("customer_id").agg(F.count_if(F.expr("status <> 'PAID'")).alias("o"), F.count_if(F.expr("status = 'PAID'")).alias("p"))
+    rows = views.bills(s, d).filter("customer_id IS NOT NULL").groupBy("customer_id").agg(F.count_if(F.expr("status <> 'PAID'")).alias("o"), F.count_if(F.expr("status = 'PAID'")).alias("p"))
     return rows.agg(F.count_if(F.expr("o > 0 AND p > 0")).alias("both_sets"), F.count_if(F.expr("o > 0 AND p = 0")).alias("open_only"), F.count_if(F.expr("o = 0")).alias("closed_only"))
 
 

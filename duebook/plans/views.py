@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.history import ledger
+
 TODAY = "2001-08-02"
-#: Payment terms in days by order priority.
+#: Payment terms in days by order priority, and where a payment comes from by return flag.
 TERMS = {"1-URGENT": 7, "2-HIGH": 15, "3-MEDIUM": 30, "4-NOT SPECIFIED": 45, "5-LOW": 60}
+PROVENANCE = {"N": "import", "A": "manual", "R": "proof_verified"}
 MONEY = "decimal(14,2)"
 
 
@@ -19,14 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("int").alias("business_id"))
+
+
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(business_id, invoice_id, customer_id, amount, invoice_date, terms, due_date, origin)."""
-    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    orders = table(spark, sf_dir, "orders")
     day = F.to_date("o_orderdate")
     terms = F.coalesce(*(F.when(F.col("o_orderpriority") == k, v) for k, v in TERMS.items()))
-    rows = orders.join(customers.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("business_id")), "o_custkey")
+    rows = orders.join(_tenants(spark, sf_dir), "o_custkey")
     return rows.select(
-        F.col("business_id").cast("int").alias("business_id"), F.col("o_orderkey").alias("invoice_id"),
+        "business_id", F.col("o_orderkey").alias("invoice_id"),
         F.when(F.col("o_orderkey") % 40 != 0, F.col("o_custkey")).alias("customer_id"), F.col("o_totalprice").cast(MONEY).alias("amount"),
         day.alias("invoice_date"), terms.alias("terms"), F.when(F.col("o_orderkey") % 50 != 0, F.date_add(day, terms)).alias("due_date"),
         F.when(day < F.lit("2001-01-01").cast("date"), "HISTORICAL").otherwise("CURRENT").alias("origin"),
@@ -34,25 +41,20 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payments(spark: SparkSession, sf_dir: str, today: str = TODAY) -> DataFrame:
-    """(invoice_id, paid_on, amount): shipped line items up to ``today``, one payment for each day."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("paid_on"), F.col("l_extendedprice").cast(MONEY).alias("amount"))
+    """(business_id, invoice_id, paid_on, amount): shipped line items up to ``today``, one payment for each day."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.to_date("l_shipdate").alias("paid_on"), F.col("l_extendedprice").cast(MONEY).alias("amount"))
     lines = lines.filter(F.col("paid_on") <= F.lit(today).cast("date"))
-    return lines.groupBy(F.col("l_orderkey").alias("invoice_id"), "paid_on").agg(F.sum("amount").cast(MONEY).alias("amount"))
-
-
-def paid_totals(paid: DataFrame) -> DataFrame:
-    return paid.groupBy("invoice_id").agg(F.sum("amount").cast(MONEY).alias("paid"))
+    owners = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(_tenants(spark, sf_dir), "o_custkey").select("o_orderkey", "business_id")
+    rows = lines.join(owners, "o_orderkey").groupBy("business_id", F.col("o_orderkey").alias("invoice_id"), "paid_on")
+    return rows.agg(F.sum("amount").cast(MONEY).alias("amount"))
 
 
-def with_status(bills: DataFrame, paid: DataFrame) -> DataFrame:
-    """Invoices with ``paid``, ``outstanding`` (never below 0) and the status that payments alone decide."""
-    rows = bills.join(paid_totals(paid), "invoice_id", "left").withColumn("paid", F.coalesce("paid", F.lit(0).cast(MONEY)))
-    status = F.when(F.col("paid") <= 0, "OPEN").when(F.col("paid") >= F.col("amount"), "PAID").otherwise("PARTIAL")
-    return rows.withColumn("status", status).withColumn("outstanding", F.greatest(F.col("amount") - F.col("paid"), F.lit(0)).cast(MONEY))
+def bills(spark: SparkSession, sf_dir: str, today: str = TODAY) -> DataFrame:
+    """The invoices with paid, outstanding, status and settled_on."""
+    return ledger(invoices(spark, sf_dir), payments(spark, sf_dir, today))
 
 
-def outstanding(spark: SparkSession, sf_dir: str, today: str = TODAY) -> DataFrame:
+def outstanding(rows: DataFrame, today: str = TODAY) -> DataFrame:
     """Current invoices with something left to pay, and the days that they are past due (null without a due date)."""
-    current = invoices(spark, sf_dir).filter("origin = 'CURRENT'")
-    rows = with_status(current, payments(spark, sf_dir, today)).filter("outstanding > 0 AND status IN ('OPEN', 'PARTIAL')")
+    rows = rows.filter("origin = 'CURRENT' AND outstanding > 0 AND status IN ('OPEN', 'PARTIAL')")
     return rows.withColumn("past_due", F.datediff(F.lit(today).cast("date"), "due_date"))

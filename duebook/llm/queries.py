@@ -22,8 +22,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    chunks, table = tokens.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return tokens.read_tokens(chunks, table)
+    path = tokens.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokens.read_tokens(spark, path)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

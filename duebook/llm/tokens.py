@@ -9,17 +9,18 @@ chunk's words) and a checksum let any block be decoded alone, and all of them at
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .store import arrow_rows, keep, small
+from .store import arrow_rows, keep, shared_folder, small
 
 MAGIC = b"DBTK1\0"
 LANES, STEPS = 16, 512
@@ -28,7 +29,7 @@ BLOCK = LANES * STEPS
 CHUNK_IDS = 1 << 19
 SCALE = 20  # frequencies add up to 2^SCALE
 _LOW = np.uint64(1 << 31)
-_CACHE = 1_000_000  # pieces that a worker keeps, about 150 MB
+_CACHE = 1_500_000  # pieces that a worker process keeps, about 250 MB
 
 
 # tokens of a text
@@ -46,68 +47,124 @@ def _tokenizer(path: str):
         spec = json.load(f)
     kind = spec.get("pre_tokenizer") or {}
     plain = spec.get("normalizer") is None and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
-    plain &= not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in spec.get("added_tokens", []))
-    return Tokenizer.from_file(path), plain
+    added = spec.get("added_tokens", [])
+    plain &= not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in added)
+    tokenizer = Tokenizer.from_file(path)
+    vocabulary = tokenizer.get_vocab()
+    # bytes of each id: a byte-level token has one character for a byte
+    sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+    for token, i in vocabulary.items():
+        sizes[i] = len(token)
+    for t in added:
+        sizes[t["id"]] = len(t["content"].encode())
+    return tokenizer, plain, sizes
 
 
 class Encoder:
     """Ids of whole texts. Byte-level tokenizers cut a text before every single space that stands
-    between other characters, so there each distinct piece is encoded once and its ids are reused."""
+    between other characters, so there each distinct piece is encoded once and its ids are reused.
+    Beyond ``_CACHE`` pieces, the half that was used least is forgotten."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.plain = _tokenizer(path)
+        self.tokenizer, self.plain, self.sizes = _tokenizer(path)
         self.places: dict[int, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.first = np.zeros(1, np.int64)
-
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        for k in keys:
-            self.places[k] = len(self.places)
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids])])
+        self.uses = np.zeros(0, np.int64)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_joined(self, pieces: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and sizes of pieces that are cut from one another in any order: runs of them are encoded as one text."""
+        flat: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        runs = [pieces[k : k + 512] for k in range(0, len(pieces), 512)]
+        for run, ids in zip(runs, self._ids([b"".join(run).decode() for run in runs]), strict=True):
+            reach = np.cumsum(self.sizes[ids])
+            cuts = np.cumsum([len(p) for p in run])
+            ends = np.searchsorted(reach, cuts)
+            if len(reach) and reach[-1] == cuts[-1] and (reach[ends] == cuts).all():
+                flat.append(ids), sizes.append(np.diff(ends, prepend=-1))
+            else:
+                found = self._ids([p.decode() for p in run])
+                flat += found
+                sizes.append(np.array([len(x) for x in found]))
+        return flat, sizes
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes], joined: np.ndarray) -> np.ndarray:
+        """The places of new pieces."""
+        alone = np.flatnonzero(~joined)
+        flat, sizes = self._encode_joined([p for p, j in zip(pieces, joined.tolist(), strict=True) if j])
+        found = self._ids([pieces[k].decode() for k in alone.tolist()])
+        n = len(self.places)
+        order = np.concatenate([np.flatnonzero(joined), alone])
+        self.places.update(zip(keys[order].tolist(), range(n, n + len(keys)), strict=True))
+        self.flat = np.concatenate([self.flat, *flat, *found])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate([*sizes, np.array([len(x) for x in found], np.int64)]))])
+        self.uses = np.concatenate([self.uses, np.zeros(len(keys), np.int64)])
+        places = np.empty(len(keys), np.int64)
+        places[order] = n + np.arange(len(keys))
+        return places
 
     def rows(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of a run of rows, each row's first id)."""
         for at, raw, offsets in tx.slices(column):
             if not self.plain:
                 texts = [t or "" for t in column.slice(at, len(offsets) - 1).to_pylist()]
-                ids = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-                yield at, np.fromiter((i for x in ids for i in x), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+                ids = self._ids(texts)
+                yield at, np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
                 continue
+            # neighbours that can't be white space: ASCII beyond the space, or a Latin letter of two bytes
+            left = (raw > 0x20) & (raw < 0x7F)
+            right = left | (raw == 0xC3)
+            left[1:] |= (raw[1:] >= 0x80) & (raw[:-1] == 0xC3)
             cut = np.zeros(len(raw) + 1, bool)
             if len(raw) > 2:
-                # neighbours that can't be white space: ASCII beyond the space, or a Latin letter of two bytes
-                right = ((raw > 0x20) & (raw < 0x7F)) | (raw == 0xC3)
-                left = (raw > 0x20) & (raw < 0x7F)
-                left[1:] |= (raw[1:] >= 0x80) & (raw[:-1] == 0xC3)
                 cut[1 : len(raw) - 1] = (raw[1:-1] == 0x20) & left[:-2] & right[2:]
             cut[offsets] = True
             starts = np.flatnonzero(cut[:-1])
             ends = np.append(starts[1:], len(raw))
-            hashes = tx.word_hashes(raw, starts, ends)
-            keys, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            keys, index, inverse = np.unique(tx.word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
             if len(self.places) > _CACHE:
                 self._forget()
-            missing = [k for k, key in enumerate(keys.tolist()) if key not in self.places]
-            if missing:
-                data = raw.tobytes()
-                self._learn(keys[missing].tolist(), [data[starts[i] : ends[i]].decode() for i in index[missing]])
-            place = np.fromiter((self.places[k] for k in keys.tolist()), np.int64, len(keys))[inverse]
+            place = np.fromiter((self.places.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
+            missing = place < 0
+            if missing.any():
+                data, begin, end = raw.tobytes(), starts[index[missing]], ends[index[missing]]
+                joined = (raw[begin] == 0x20) & (end - begin > 1) & right[np.minimum(begin + 1, len(raw) - 1)] & left[end - 1]
+                place[missing] = self._learn(keys[missing], [data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], joined)
+            self.uses[place] += np.bincount(inverse, minlength=len(keys))
+            place = place[inverse]
             sizes = self.first[place + 1] - self.first[place]
             begin = np.concatenate([[0], np.cumsum(sizes)])
             ids = self.flat[np.arange(begin[-1]) + np.repeat(self.first[place] - begin[:-1], sizes)]
             yield at, ids, begin[np.searchsorted(starts, offsets)]
 
     def _forget(self) -> None:
-        self.places, self.flat, self.first = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        """Keep the half of the pieces that were used most."""
+        keys = np.fromiter(self.places, np.uint64, len(self.places))  # in order of their places
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: len(keys) // 2])
+        sizes = np.diff(self.first)[kept]
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        self.flat = self.flat[np.arange(begin[-1]) + np.repeat(self.first[kept] - begin[:-1], sizes)]
+        self.places = dict(zip(keys[kept].tolist(), range(len(kept)), strict=True))
+        self.first, self.uses = begin, self.uses[kept] // 2
+
+
+@cache
+def _encoder(path: str) -> Encoder:
+    """One encoder for each worker process and tokenizer, so that the pieces outlive a task."""
+    return Encoder(path)
 
 
-def _encode(path: str, end_id: int, kind: str):
+def _encode(path: str, end_id: int, kind: str, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, counts = Encoder(path), np.zeros(1, np.int64)
+        encoder, counts = _encoder(path), np.zeros(1, np.int64)
         for batch in batches:
             for at, ids, first in encoder.rows(batch.column(1)):
+                if max(end_id, int(ids.max(initial=0))) >= vocabulary:
+                    raise ValueError(f"the tokenizer has ids of {vocabulary} and more; pass a larger vocabulary")
                 rows = len(first) - 1
                 ends = first[1:] + np.arange(1, rows + 1)
                 whole = np.zeros(len(ids) + rows, kind)
@@ -288,35 +345,47 @@ def _unpack_parts(table_bytes: bytes):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int = 1 << 16) -> tuple[DataFrame, bytes]:
-    """The chunk table of ``docs`` (doc_id, text) in ascending order of id (nulls first), and its frequency table.
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, vocabulary: int = 1 << 16) -> str:
+    """Write the token files of ``docs`` (doc_id, text) under ``path`` and return the path.
 
-    ``vocabulary`` bounds the ids; the frequency table is all that returns to the driver. Null texts are
-    empty: their document is the end id alone. Rows that repeat stay. An empty table has no chunks.
+    ``chunks`` holds the coded ids in ascending order of id (nulls first; rows that share an id by a hash
+    of their ids), ``table`` the frequency table that every chunk refers to, with its checksum. The files
+    need nothing else to be read. Without a path, a new one in the shared folder is taken. ``vocabulary``
+    bounds the ids, larger ones are an error; the frequency table is all that returns to the driver.
+    Null texts are empty: their document is the end id alone. Rows that repeat stay. An empty table has
+    no chunks.
     """
     spark = docs.sparkSession
+    path = path or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     arrow_rows(spark)
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = keep(docs.mapInArrow(_encode(tokenizer_path, end_id, kind), "doc_id long, ids binary, token int, n long"), "ids")
+    encoded = keep(docs.mapInArrow(_encode(tokenizer_path, end_id, kind, vocabulary), "doc_id long, ids binary, token int, n long"), "ids")
     found = encoded.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(vocabulary, np.int64)
     counts[found.column("token").to_numpy()] = found.column("n").to_numpy()
-    table = Table(counts).to_bytes()
-    parts = encoded.filter("token IS NULL").select("doc_id", "ids")
-    parts = parts.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    parts = parts.withColumn("part", F.spark_partition_id())
-    return keep(parts.mapInArrow(_pack_parts(table, kind), _CHUNK), "tokens"), table
-
-
-def read_tokens(chunks: DataFrame, table: bytes) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the chunk table."""
+    table = Table(counts)
+    spark.createDataFrame([(bytearray(table.to_bytes()), table.crc)], "frequencies binary, crc32 long").write.parquet(f"{path}/table")
+    parts = encoded.filter("token IS NULL").select("doc_id", "ids", F.xxhash64("ids").alias("h"))
+    parts = parts.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "ids")
+    parts = parts.select("doc_id", "ids", F.spark_partition_id().alias("part"))
+    parts.mapInArrow(_pack_parts(table.to_bytes(), kind), _CHUNK).write.parquet(f"{path}/chunks")
+    return path
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files under ``path``."""
+    stored = spark.read.parquet(f"{path}/table").first()
+    table = bytes(stored.frequencies)
+    if Table.from_bytes(table).crc != stored.crc32:
+        raise ValueError("the frequency table is damaged")
+    chunks = spark.read.schema(_CHUNK).parquet(f"{path}/chunks")
     sizes = chunks.groupBy("part").agg(F.sum("n").alias("n"))
     parts = keep(sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base")), "parts")
     within = Window.partitionBy("part").orderBy("chunk")
     bases = chunks.select("part", "chunk", (F.sum("n").over(within) - F.col("n")).alias("inner"))
     bases = keep(bases.join(small(parts, parts.count()), "part").select("part", "chunk", (F.col("base") + F.col("inner")).alias("base")), "bases")
-    arrow_rows(chunks.sparkSession, 4)
+    arrow_rows(spark, 4)
     rows = keep(chunks.select("part", "chunk", "doc_ids", "missing", "sizes", "payload").mapInArrow(_unpack_parts(table), "part int, chunk int, doc_id long, at long, n_tokens long, ids_crc32 long"), "decoded")
-    arrow_rows(chunks.sparkSession)
+    arrow_rows(spark)
     return rows.join(small(bases, bases.count()), ["part", "chunk"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

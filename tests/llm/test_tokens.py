@@ -17,10 +17,24 @@ def texts():
     return ["".join(rng.choices(bits, k=rng.randint(0, 40))) for _ in range(400)] + ["", None, "long " * 4000]
 
 
-def test_pieces_give_the_ids_of_whole_texts():
-    got = [ids[a:b].tolist() for _, ids, first in tokens.Encoder(PATH).rows(pa.array(texts())) for a, b in zip(first[:-1], first[1:])]
-    want = [x.ids for x in Tokenizer.from_file(PATH).encode_batch([t or "" for t in texts()], add_special_tokens=False)]
-    assert got == want
+def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdeéàZ7.,'", k=rng.randint(1, 9)))
+    rows = texts() + [" ".join(word() for _ in range(600)) for _ in range(20)]
+    want = [x.ids for x in Tokenizer.from_file(PATH).encode_batch([t or "" for t in rows], add_special_tokens=False)]
+    monkeypatch.setattr(tokens, "_CACHE", 1500)  # pieces are forgotten and learnt again
+    encoder = tokens.Encoder(PATH)
+    for _ in range(2):
+        for k in range(0, len(rows), 7):
+            got = [ids[a:b].tolist() for _, ids, first in encoder.rows(pa.array(rows[k : k + 7])) for a, b in zip(first[:-1], first[1:])]
+            assert got == want[k : k + 7]
+    assert len(encoder.places) < 1500 + 7 * 600
+
+
+def test_ids_beyond_the_vocabulary_are_an_error(spark):
+    df = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    with pytest.raises(Exception, match="larger vocabulary"):
+        tokens.write_tokens(df, PATH, 2, vocabulary=16)
 
 
 @pytest.mark.parametrize("n", [0, 1, 15, tokens.BLOCK, tokens.BLOCK + 1, 5 * tokens.BLOCK - 7])
@@ -45,7 +59,7 @@ def test_coder_round_trip(n):
 def test_files_read_back(spark, monkeypatch):
     rows = [(i * 3 % 403, t, 0) for i, t in enumerate(texts())] + [(None, "no id", 0), (5, "twice", 0), (5, "twice", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, part int").repartition(3)
-    got = sorted(tokens.read_tokens(*tokens.write_tokens(df, PATH, 2)).collect(), key=lambda r: r.start)
+    got = sorted(tokens.read_tokens(spark, tokens.write_tokens(df, PATH, 2)).collect(), key=lambda r: r.start)
     order = lambda r: (r is not None, r or 0)
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=order)
     t, at, want = Tokenizer.from_file(PATH), 0, {}
@@ -55,5 +69,7 @@ def test_files_read_back(spark, monkeypatch):
     for r in got:
         assert r.start == at and (r.n_tokens, r.ids_crc32) in want[r.doc_id]
         at += r.n_tokens
+    again = tokens.read_tokens(spark, tokens.write_tokens(df.repartition(5), PATH, 2)).collect()
+    assert sorted(map(tuple, again), key=lambda r: r[1]) == [tuple(r) for r in got]
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert tokens.read_tokens(*tokens.write_tokens(empty, PATH, 2)).count() == 0
+    assert tokens.read_tokens(spark, tokens.write_tokens(empty, PATH, 2)).count() == 0

@@ -247,15 +247,17 @@ def _whole_candidates(ids: DataFrame, texts: DataFrame) -> DataFrame:
     single = single.filter("shared + least(coalesce(fa, 0), coalesce(fb, 0)) >= need").select("a", "b")
 
     full = held.filter("size(ts) >= need")
-    if not full.limit(1).count():
-        return single
+    return single.union(_combination_pairs(full)) if full.limit(1).count() else single
+
+
+def _combination_pairs(full: DataFrame) -> DataFrame:
+    """Pairs of groups (a, b) whose units (grp, s, n, need, ts) share a combination of two frequent tokens ``ts``."""
     levels = full.select("*", F.size("ts").alias("f"), F.explode(F.expr("array(s, s - 1)")).alias("level")).filter("level >= 0").withColumn("classes", F.expr(_CLASSES))
     prefix = levels.select("grp", "s", "n", "f", "level", "classes", F.explode(F.expr("slice(ts, 1, CAST(size(ts) - need + 1 + classes AS INT))")).alias("t"))
     sets = prefix.groupBy("grp", "s", "n", "f", "level", F.expr("pmod(t, classes)").alias("class")).agg(F.array_sort(F.collect_list("t")).alias("ts"))
     combos = sets.selectExpr("grp", "s", "n", "f", "level", "inline(flatten(transform(ts, (x, i) -> transform(slice(ts, i + 2, size(ts)), y -> struct(x AS t1, y AS t2)))))")
     same = combos.groupBy("level", "t1", "t2").agg(F.array_sort(F.collect_list(F.struct("grp", "s", "n", "f"))).alias("units")).filter("size(units) > 1")
-    pairs = same.select("units").distinct().selectExpr(_WHOLE_PAIRS).select("a", "b")
-    return single.union(pairs.distinct())
+    return same.select("units").distinct().selectExpr(_WHOLE_PAIRS).select("a", "b").distinct()
 
 
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,6 +47,15 @@ def test_edges_of_the_contract(spark):
 
 def test_shared_passages_families_and_tiny_sets(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", 3)
+    entered = defaultdict(int)
+    for name in ("_whole_candidates", "_combination_pairs", "_between_members"):
+
+        def spied(*args, name=name, real=getattr(ngram_join, name)):
+            found = real(*args)
+            entered[name] += found.count()
+            return found
+
+        monkeypatch.setattr(ngram_join, name, spied)
     rng = random.Random(5)
     word = lambda: rng.choice("abcdefghijklmnop") + rng.choice("abcdefghijklmnop")
     passage = [word() for _ in range(40)]
@@ -65,6 +74,7 @@ def test_shared_passages_families_and_tiny_sets(spark, monkeypatch):
         cut = rng.randrange(5, 40)
         rows.append(passage[: cut + 20] + [word() for _ in range(rng.randint(0, 5))])
     check(spark, [(100 + i, " ".join(w)) for i, w in enumerate(rows)])
+    assert entered["_whole_candidates"] and entered["_combination_pairs"] and "_between_members" in entered
 
 
 def test_empty_table_clashing_columns_and_null_id(spark):

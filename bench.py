@@ -7,7 +7,7 @@ import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
-from duebook.plans import queries  # noqa: E402
+from duebook.plans import registered as queries  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
 HEADLINE = [

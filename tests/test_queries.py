@@ -1,5 +1,5 @@
 import pytest
-from duebook.plans import queries
+from duebook.plans import registered as queries
 
 from compare import compare, duck
 

@@ -50,13 +50,19 @@ def _outcomes(rows: DataFrame) -> DataFrame:
 
 
 def _running_medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (business_id, customer_id, at, delays, counts) in order, with the median of all delays on the days before."""
-    owner, values, seen = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Rows of (business_id, customer_id, at, delays, last) in order, with the median of all delays and the last three outcomes on the days before."""
+    owner, values, seen, three = None, np.zeros(0, np.int64), np.zeros(0, np.int64), []
     for batch in batches:
         out: list[float | None] = []
-        for b, c, delays in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        means: list[float | None] = []
+        rates: list[float | None] = []
+        for b, c, delays, last in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
             if (b, c) != owner:
-                owner, values, seen = (b, c), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                owner, values, seen, three = (b, c), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+            means.append(sum(x[2] for x in three) / len(three) if three else None)
+            rates.append(sum(x[2] > 0 for x in three) / len(three) if three else None)
+            if last:
+                three = sorted(three + [(x["paid_day"], x["invoice_id"], x["delay"]) for x in last])[-3:]
             if len(values):
                 upto = np.cumsum(seen)
                 n = int(upto[-1])
@@ -68,25 +74,27 @@ def _running_medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 both = np.concatenate([values, [x["delay"] for x in delays]])
                 values, place = np.unique(both, return_inverse=True)
                 seen = np.bincount(place, np.concatenate([seen, [x["n"] for x in delays]]), len(values)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.float64())], ["business_id", "customer_id", "at", "median_delay"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(v, pa.float64()) for v in (out, means, rates))], ["business_id", "customer_id", "at", "median_delay", "last3_mean_delay", "last3_late_rate"])
 
 
-def history_as_of(rows: DataFrame, probes: DataFrame | None = None) -> DataFrame:
+def history_as_of(rows: DataFrame, probes: DataFrame | None = None, cleared: bool = False) -> DataFrame:
     """Each probed invoice with a customer: what its customer's settled invoices told before its own day.
 
     ``rows``: a ledger; ``probes``: those of its invoices that are asked about, all by default. An outcome is
     visible when both its settlement and its invoice day (or due day, where that is null) lie before the
-    probe's day. Same-day events are not seen.
+    probe's day; ``cleared``: by its settlement alone. Same-day events are not seen. The last three outcomes
+    go by settlement day and id.
     """
     probes = rows if probes is None else probes
     probes = probes.filter("customer_id IS NOT NULL AND invoice_date IS NOT NULL").select(*KEY, "customer_id", _day("invoice_date").alias("at"))
-    known = _outcomes(rows).select(*PARTY, _day(F.greatest("settled_on", F.coalesce("invoice_date", "due_date"))).alias("at"), "delay", _day("settled_on").alias("paid_day"), F.lit(0).alias("issued"))
-    issued = rows.filter("customer_id IS NOT NULL AND invoice_date IS NOT NULL").select(*PARTY, _day("invoice_date").alias("at"), F.lit(None).cast("int").alias("delay"), F.lit(None).cast("int").alias("paid_day"), F.lit(1).alias("issued"))
+    known = _outcomes(rows).select(*PARTY, _day(F.col("settled_on") if cleared else F.greatest("settled_on", F.coalesce("invoice_date", "due_date"))).alias("at"), "delay", _day("settled_on").alias("paid_day"), F.lit(0).alias("issued"), "invoice_id")
+    issued = rows.filter("customer_id IS NOT NULL AND invoice_date IS NOT NULL").select(*PARTY, _day("invoice_date").alias("at"), F.lit(None).cast("int").alias("delay"), F.lit(None).cast("int").alias("paid_day"), F.lit(1).alias("issued"), "invoice_id")
     d = F.col("delay").cast("long")
-    by_delay = known.unionByName(issued).groupBy(*PARTY, "at", "delay").agg(F.count("delay").alias("n"), F.sum("issued").alias("issued"), F.max("paid_day").alias("paid_day"))
+    by_delay = known.unionByName(issued).groupBy(*PARTY, "at", "delay").agg(F.count("delay").alias("n"), F.sum("issued").alias("issued"), F.max("paid_day").alias("paid_day"), F.slice(F.sort_array(F.collect_list(F.when(d.isNotNull(), F.struct("paid_day", "invoice_id", "delay"))), False), 1, 3).alias("last"))
     days = by_delay.groupBy(*PARTY, "at").agg(
         F.sum("n").alias("n"), F.sum("issued").alias("issued"), F.max("paid_day").alias("paid_day"), F.sum(F.when(d > 0, F.col("n")).otherwise(0)).alias("late"), F.sum(d * F.col("n")).alias("total"),
         F.sum(d * d * F.col("n")).alias("squares"), F.min("delay").alias("low"), F.max("delay").alias("high"), F.collect_list(F.when(d.isNotNull(), F.struct("delay", "n"))).alias("delays"),
+        F.slice(F.sort_array(F.flatten(F.collect_list("last")), False), 1, 3).alias("last"),
     )
     days = days.repartition(*PARTY)
     past = Window.partitionBy(*PARTY).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,7 +104,7 @@ def history_as_of(rows: DataFrame, probes: DataFrame | None = None) -> DataFrame
         *PARTY, "at", before(F.sum, "n").alias("settled"), before(F.sum, "late").alias("late"), before(F.sum, "total").alias("total"), before(F.sum, "squares").alias("squares"), before(F.min, "low").alias("min_delay"),
         before(F.max, "high").alias("max_delay"), before(F.max, "paid_day").alias("paid_day"), before(F.sum, "issued").alias("prior_invoices"), F.max(F.when(F.col("issued") > 0, F.col("at"))).over(past).alias("issued_day"),
     )
-    medians = days.select(*PARTY, "at", "delays").sortWithinPartitions(*PARTY, "at").mapInArrow(_running_medians, "business_id int, customer_id long, at int, median_delay double")
+    medians = days.select(*PARTY, "at", "delays", "last").sortWithinPartitions(*PARTY, "at").mapInArrow(_running_medians, "business_id int, customer_id long, at int, median_delay double, last3_mean_delay double, last3_late_rate double")
     seen = seen.join(medians, [*PARTY, "at"]).withColumn("settled", F.coalesce("settled", F.lit(0)))
     found = probes.join(seen, [*PARTY, "at"])
     spread = F.sqrt((n * F.col("squares") - total * total) / (n * (n - 1)))
@@ -106,7 +114,7 @@ def history_as_of(rows: DataFrame, probes: DataFrame | None = None) -> DataFrame
         *PARTY, "invoice_id", n.cast("long").alias("settled"), F.coalesce("late", F.lit(0)).cast("long").alias("late"), F.round(F.col("late") / F.nullif(n, F.lit(0)), 6).alias("late_rate"),
         F.round(total / F.nullif(n, F.lit(0)), 6).alias("avg_delay"), "median_delay", long("min_delay"), long("max_delay"), F.round(F.when(n == 1, 0.0).when(n > 1, spread), 6).alias("std_delay"),
         (F.col("at") - F.col("paid_day")).cast("long").alias("days_since_payment"), prior.cast("long").alias("prior_invoices"), (F.col("at") - F.col("issued_day")).cast("long").alias("days_since_invoice"),
-        F.when(prior < 3, 1).otherwise(0).cast("long").alias("is_new_customer"), (n >= MIN_HISTORY).alias("estimates_ready"),
+        F.when(prior < 3, 1).otherwise(0).cast("long").alias("is_new_customer"), (n >= MIN_HISTORY).alias("estimates_ready"), F.round("last3_mean_delay", 6).alias("last3_mean_delay"), F.round("last3_late_rate", 6).alias("last3_late_rate"),
     )
 
 

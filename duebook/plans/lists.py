@@ -37,9 +37,9 @@ def _named(s: SparkSession, d: str) -> DataFrame:
 _PAGE = ["business_id", "place", "total", "invoice_id"]
 
 
-@_query(_MORE + f"""SELECT business_id, aging, count(*) AS n, CAST(sum(outstanding) AS DECIMAL(18,2)) AS amount FROM (SELECT *, unnest(list_filter([
+@_query(_MORE + f"""SELECT business_id, aging, count(*) AS n, CAST(sum(outstanding) AS DECIMAL(18,2)) AS amount FROM (SELECT *, unnest([x for x in [
 CASE WHEN due_date >= DATE '{TODAY}' THEN 'current' END, CASE WHEN due_date BETWEEN DATE '{TODAY}' - 30 AND DATE '{TODAY}' - 1 THEN '1-30' END, CASE WHEN due_date BETWEEN DATE '{TODAY}' - 60 AND DATE '{TODAY}' - 31 THEN '31-60' END, CASE WHEN due_date BETWEEN DATE '{TODAY}' - 90 AND DATE '{TODAY}' - 61 THEN '61-90' END,
-CASE WHEN due_date < DATE '{TODAY}' - 90 THEN '90+' END, CASE WHEN due_date < DATE '{TODAY}' THEN 'overdue' END, CASE WHEN due_date BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 7 THEN 'due-soon' END], lambda x: x IS NOT NULL)) AS aging FROM bill WHERE status IN ('OPEN', 'PARTIAL')) GROUP BY 1, 2""")
+CASE WHEN due_date < DATE '{TODAY}' - 90 THEN '90+' END, CASE WHEN due_date < DATE '{TODAY}' THEN 'overdue' END, CASE WHEN due_date BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 7 THEN 'due-soon' END] if x IS NOT NULL]) AS aging FROM bill WHERE status IN ('OPEN', 'PARTIAL')) GROUP BY 1, 2""")
 def aging_windows(s: SparkSession, d: str) -> DataFrame:
     return listing.aging_window_totals(views.bills(s, d), TODAY)
 

@@ -40,7 +40,7 @@ outc AS (
   FROM inv JOIN stl ON inv.invoice_id = stl.invoice_id WHERE customer_id IS NOT NULL AND due_date IS NOT NULL),
 hist AS (
   SELECT p.business_id, p.customer_id, p.invoice_id, count(o.delay) AS settled, coalesce(sum(CASE WHEN o.delay > 0 THEN 1 ELSE 0 END), 0) AS late, avg(o.delay) AS avg_delay, median(o.delay) AS median_delay,
-    min(o.delay) AS min_delay, max(o.delay) AS max_delay, stddev_samp(o.delay) AS std_delay, date_diff('day', max(o.settled_on), p.invoice_date) AS days_since_payment
+    min(o.delay) AS min_delay, max(o.delay) AS max_delay, stddev_samp(o.delay) AS std_delay, date_diff('day', max(o.settled_on), p.invoice_date) AS days_since_payment, (list(o.delay ORDER BY o.settled_on DESC, o.invoice_id DESC) FILTER (o.delay IS NOT NULL))[1:3] AS last3
   FROM inv p LEFT JOIN outc o ON p.business_id = o.business_id AND p.customer_id = o.customer_id AND o.seen < p.invoice_date
   WHERE p.customer_id IS NOT NULL GROUP BY p.business_id, p.customer_id, p.invoice_id, p.invoice_date),
 prior AS (
@@ -121,7 +121,7 @@ def first_settlement(s: SparkSession, d: str) -> DataFrame:
 
 
 @_query("""SELECT hist.business_id, hist.customer_id, hist.invoice_id, settled, CAST(late AS BIGINT) AS late, CASE WHEN settled > 0 THEN round(late / CAST(settled AS DOUBLE), 6) END AS late_rate, round(avg_delay, 6) AS avg_delay, CAST(median_delay AS DOUBLE) AS median_delay,
-min_delay, max_delay, round(CASE WHEN settled = 1 THEN 0.0::DOUBLE ELSE std_delay END, 6) AS std_delay, days_since_payment, prior_invoices, days_since_invoice, CAST(CASE WHEN prior_invoices < 3 THEN 1 ELSE 0 END AS BIGINT) AS is_new_customer, settled >= 3 AS estimates_ready FROM hist JOIN prior ON hist.invoice_id = prior.invoice_id""")
+min_delay, max_delay, round(CASE WHEN settled = 1 THEN 0.0::DOUBLE ELSE std_delay END, 6) AS std_delay, days_since_payment, prior_invoices, days_since_invoice, CAST(CASE WHEN prior_invoices < 3 THEN 1 ELSE 0 END AS BIGINT) AS is_new_customer, settled >= 3 AS estimates_ready, round(list_avg(last3), 6) AS last3_mean_delay, round(len([x for x in last3 if x > 0]) / nullif(CAST(len(last3) AS DOUBLE), 0), 6) AS last3_late_rate FROM hist JOIN prior ON hist.invoice_id = prior.invoice_id""")
 def history_as_of(s: SparkSession, d: str) -> DataFrame:
     return history.history_as_of(views.bills(s, d))
 
@@ -242,15 +242,21 @@ def customer_histogram(s: SparkSession, d: str) -> DataFrame:
     return features.customer_histogram(views.invoices(s, d))
 
 
-@_query("SELECT c_custkey, c_mktsegment, coalesce(code, -1.0)::DOUBLE AS code FROM customer LEFT JOIN (SELECT seg, row_number() OVER (ORDER BY seg) - 1 AS code FROM (SELECT DISTINCT c_mktsegment AS seg FROM customer WHERE c_nationkey < 3 AND c_mktsegment <> 'MACHINERY')) ON seg = c_mktsegment", False)
+_SPLIT = """(SELECT invoice_id, CASE WHEN settled_on IS NULL THEN 'open_inference' WHEN invoice_date < c1 THEN 'train' WHEN invoice_date < c2 THEN 'validation' ELSE 'test' END AS split FROM (SELECT inv.invoice_id, invoice_date, settled_on FROM inv LEFT JOIN stl ON inv.invoice_id = stl.invoice_id),
+(SELECT min(CASE WHEN k = CAST(floor(n * 0.7::DOUBLE) AS BIGINT) THEN invoice_date END) AS c1, min(CASE WHEN k = CAST(floor(n * 0.85::DOUBLE) AS BIGINT) THEN invoice_date END) AS c2 FROM (SELECT invoice_date, row_number() OVER (ORDER BY invoice_date, inv.invoice_id) - 1 AS k, count(*) OVER () AS n FROM inv JOIN stl ON inv.invoice_id = stl.invoice_id)))"""
+
+
+@_query(f"SELECT inv.invoice_id, terms, coalesce(code, -1.0)::DOUBLE AS code FROM inv LEFT JOIN (SELECT t, row_number() OVER (ORDER BY t) - 1 AS code FROM (SELECT DISTINCT CAST(terms AS VARCHAR) AS t FROM inv JOIN {_SPLIT} s ON s.invoice_id = inv.invoice_id WHERE split = 'train')) ON t = CAST(terms AS VARCHAR)")
 def ordinal_encoder(s: SparkSession, d: str) -> DataFrame:
-    rows = views.table(s, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    return features.ordinal_codes(rows.filter("c_nationkey < 3 AND c_mktsegment <> 'MACHINERY'"), rows, "c_mktsegment").select("c_custkey", "c_mktsegment", "code")
+    rows = views.invoices(s, d).select("invoice_id", "terms", F.col("terms").cast("string").alias("category"))
+    train = rows.join(temporal_split(s, d).filter("split = 'train'"), "invoice_id")
+    return features.ordinal_codes(train, rows, "category").select("invoice_id", "terms", "code")
 
 
-@_query("SELECT coalesce(round(median(avg_delay), 6), 0) AS avg_delay, coalesce(round(median(CAST(median_delay AS DOUBLE)), 6), 0) AS median_delay, coalesce(round(median(CAST(days_since_payment AS DOUBLE)), 6), 0) AS days_since_payment FROM (SELECT round(avg_delay, 6) AS avg_delay, median_delay, days_since_payment FROM hist)")
+@_query(f"SELECT coalesce(round(median(avg_delay), 6), 0) AS avg_delay, coalesce(round(median(CAST(median_delay AS DOUBLE)), 6), 0) AS median_delay, coalesce(round(median(CAST(days_since_payment AS DOUBLE)), 6), 0) AS days_since_payment FROM (SELECT invoice_id, round(avg_delay, 6) AS avg_delay, median_delay, days_since_payment FROM hist) h JOIN {_SPLIT} s ON s.invoice_id = h.invoice_id WHERE split = 'train'")
 def train_medians(s: SparkSession, d: str) -> DataFrame:
-    return features.train_medians(history_as_of(s, d), ["avg_delay", "median_delay", "days_since_payment"])
+    rows = history_as_of(s, d).join(temporal_split(s, d).filter("split = 'train'"), "invoice_id")
+    return features.train_medians(rows, ["avg_delay", "median_delay", "days_since_payment"])
 
 
 _LABELLED = "SELECT est.invoice_id, raw AS score, CASE WHEN delay > 0 THEN 1 ELSE 0 END AS label FROM est JOIN outc ON est.invoice_id = outc.invoice_id"

@@ -2,35 +2,61 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Accepted date formats, in order.
-DATES = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy-M-d", "MMM d, yyyy", "MMMM d, yyyy")
+DATES = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy-M-d", "yyyy/M/d", "MMM d, yyyy", "MMMM d, yyyy")
+#: Currency words and signs around an amount, its grouping, and the punctuation and suffixes of a company's name.
+CURRENCIES = r"(?:INR|USD|CAD|EUR|GBP|AUD|RS\.?)"
+SIGNS = r"[₹$€£\s]"
+NUMBER = r"^(\d+|\d{1,3}(,\d{3})+|\d{1,3}(,\d{2})*,\d{3})(\.\d+)?$"
+PUNCTUATION = r"[.,;:()\[\]{}]+"
+LIMITED = r"(^|\s)(pvt ltd|pvt limited|private ltd)$"
+
+
+@F.pandas_udf("string")
+def compatible(text: pd.Series) -> pd.Series:
+    """Unicode compatibility form (NFKC); built-in functions have none."""
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
+@F.pandas_udf("string")
+def folded(text: pd.Series) -> pd.Series:
+    """NFKC and full case folding."""
+    return text.map(lambda t: t if t is None else t.lower() if t.isascii() else unicodedata.normalize("NFKC", t).casefold())
 
 
 def parse_date(text: Column) -> Column:
-    """Day-first dates, ISO dates and month names; null where none fits."""
-    clean = F.regexp_replace(F.trim(text), r"(?i)(\d)(st|nd|rd|th)\b", "$1")
-    return F.coalesce(*(F.try_to_date(clean, f) for f in DATES))
+    """Day-first dates, ISO dates and times, and month names; null where none fits."""
+    clean = F.regexp_replace(F.trim(compatible(text)), r"(?i)(\d)(st|nd|rd|th)\b", "$1")
+    timed = F.when(clean.rlike(r"^\d{4}-\d{2}-\d{2}[ T]."), F.to_date(clean.try_cast("timestamp")))
+    return F.when(clean.rlike(r"^\d{4}-\d{2}-\d{2}[ T]"), timed).otherwise(F.coalesce(*(F.try_to_date(clean, f) for f in DATES)))
 
 
 def parse_amount(text: Column) -> Column:
-    """Plain, western and Indian grouping, with currency words; null unless finite and above 0."""
-    bare = F.trim(F.regexp_replace(F.trim(text), r"(?i)(₹|rs\.?|inr|usd|\$)", ""))
-    fits = bare.rlike(r"^(\d+|\d{1,3}(,\d{3})+|\d{1,2}(,\d{2})*,\d{3})(\.\d+)?$")
-    value = F.when(fits, F.regexp_replace(bare, ",", "")).try_cast("decimal(20,6)")
-    return F.when(value > 0, F.bround(value, 2).cast("decimal(14,2)"))
+    """Plain, western and Indian grouping, with currency words and signs; rounded half-even to cents.
+
+    Null unless finite and above 0, so also for a negative sign or parentheses.
+    """
+    bare = F.trim(compatible(text))
+    bare = F.regexp_replace(F.regexp_replace(bare, rf"(?i)^\s*{CURRENCIES}\s*", ""), rf"(?i)\s*{CURRENCIES}\s*$", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, SIGNS, ""), r"^\+", "")
+    value = F.when(bare.rlike(NUMBER), F.regexp_replace(bare, ",", "")).try_cast("decimal(38,18)")
+    return F.when(value > 0, F.bround(value, 2).try_cast("decimal(14,2)"))
 
 
 def reference_key(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, r"\s+", ""))
+    return F.regexp_replace(folded(text), r"\s+", "")
 
 
 def company_name(text: Column) -> Column:
-    """Punctuation to spaces, one space, lower case, ``pvt ltd`` forms to ``private limited``; empty is null."""
-    flat = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[.,;:()\[\]{}]+", " "), r"\s+", " "))
-    return F.nullif(F.regexp_replace(flat, r"(^|\s)(pvt ltd|pvt limited|private ltd)$", "$1private limited"), F.lit(""))
+    """Punctuation to spaces, one space, folded case, ``pvt ltd`` forms to ``private limited``; empty is null."""
+    flat = F.trim(F.regexp_replace(F.regexp_replace(folded(text), PUNCTUATION, " "), r"\s+", " "))
+    return F.nullif(F.regexp_replace(flat, LIMITED, "$1private limited"), F.lit(""))
 
 
 def natural_key_duplicates(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -38,12 +64,6 @@ def natural_key_duplicates(rows: DataFrame, key: list[str], order: list[str]) ->
     return rows.withColumn("duplicate", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) > 1)
 
 
-def import_counters(rows: DataFrame) -> DataFrame:
-    """One row of counts from (amount, invoice_known, duplicate)."""
-    bad = F.col("amount").isNull()
-    return rows.agg(F.count("*").alias("total"), F.count_if(~bad).alias("valid"), F.count_if(~bad & ~F.col("duplicate")).alias("imported"), F.count_if(~bad & ~F.col("duplicate") & F.col("invoice_known")).alias("matched"), F.count_if(~bad & F.col("duplicate")).alias("duplicates"))
-
-
 def rate_limited(events: DataFrame, window: str = "1 day", limit: int = 3) -> DataFrame:
     """(user_id, window_start, hits, refused): fixed windows; hits beyond the limit are refused."""
     counted = events.groupBy("user_id", F.window("ts", window).alias("w")).agg(F.count("*").alias("hits"))

@@ -78,8 +78,8 @@ def resolve_headers(names: list[str]) -> dict[str, str]:
     return {field: next(keyed[a] for a in aliases if a in keyed) for field, aliases in HEADERS.items() if any(a in keyed for a in aliases)}
 
 
-def read_upload(spark: SparkSession, path: str, required: tuple[str, ...] = ("date", "amount")) -> DataFrame:
-    """(row_number, fields...) of uploaded delimited files: all text, blank rows left out.
+def read_upload(spark: SparkSession, path: str, required: tuple[str, ...] = ("date", "amount"), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row_number, fields..., ``keep``) of uploaded delimited files: all text, blank rows left out.
 
     Files are UTF-8 (with or without a mark) or else Windows-1252. The first line of the first file that has
     any text names delimiter and columns; a row's number is its order in the files, from 2.
@@ -102,7 +102,7 @@ def read_upload(spark: SparkSession, path: str, required: tuple[str, ...] = ("da
     for c in rows.columns:
         blank = blank & (F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")) == "")
     rows = rows.withColumn("row_number", F.monotonically_increasing_id() + 2).filter(~blank)
-    return rows.select("row_number", *((F.trim(F.col(f"`{columns[f]}`")) if f in columns else F.lit(None).cast("string")).alias(f) for f in HEADERS))
+    return rows.select("row_number", *((F.trim(F.col(f"`{columns[f]}`")) if f in columns else F.lit(None).cast("string")).alias(f) for f in HEADERS), *keep)
 
 
 def write_splits(rows: DataFrame, path: str, split: str = "split") -> str:

@@ -53,12 +53,41 @@ def test_repeats_short_items_nulls_and_chunks(spark, monkeypatch):
     assert sorted(map(tuple, found.collect()), key=str) == brute(docs, items)
 
 
+def brute_matches(doc, items, window=10):
+    """(item_id, start, length, item_start) of every longest common run of words that holds a window of the item."""
+    w, out = words(doc), set()
+    for i, t in items:
+        v = words(t)
+        for a in range(len(w)):
+            for b in range(len(v)):
+                if w[a] == v[b] and not (a and b and w[a - 1] == v[b - 1]):
+                    n = 0
+                    while a + n < len(w) and b + n < len(v) and w[a + n] == v[b + n]:
+                        n += 1
+                    if n >= min(window, len(v)):
+                        out.add((i, a, n, b))
+    return sorted(out)
+
+
+def test_longest_matches_are_verbatim(spark):
+    parts = lambda *spans: " ".join(f"w{k}" for a, b in spans for k in range(a, b))
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    docs = [(1, parts((15, 25), (0, 10))), (2, parts((3, 28))), (3, parts((0, 30), (0, 12)))] + [(k, text(90)) for k in range(10, 30)]
+    items = [(5, parts((0, 30)))] + [(k, text(rng.randint(2, 30))) for k in range(40, 60)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for chunk_bytes in (1 << 20, 300):
+        got = {r.doc_id: sorted(tuple(m) for m in r.matches or []) for r in dc.benchmark_matches(d, i, chunk_bytes=chunk_bytes).collect()}
+        assert got == {k: brute_matches(t, items) for k, t in docs}
+    assert got[1] == [(5, 0, 10, 15), (5, 10, 10, 0)]
+
+
 def test_stretches_and_removal(spark):
     item = " ".join(f"w{k}" for k in range(15))
     docs = spark.createDataFrame([(1, f"x {item} y", "k"), (2, "clean text", "k"), (3, None, "k"), (None, item, "k"), (None, "fine", "k")], "doc_id long, text string, n_words string")
     items = spark.createDataFrame([(5, item)], "item_id long, text string")
     got = {r.doc_id: r.matches for r in dc.benchmark_matches(docs, items).collect() if r.doc_id}
-    assert [tuple(m) for m in got[1]] == [(5, 1, 15)]
+    assert [tuple(m) for m in got[1]] == [(5, 1, 15, 0)]
     assert sorted(((r.doc_id, r.text) for r in dc.decontaminate(docs, items).collect()), key=str) == [(2, "clean text"), (3, None), (None, "fine")]
 
 

@@ -313,7 +313,7 @@ def customer_sets(s: SparkSession, d: str) -> DataFrame:
 
 @_query(SQL["rate_limit_windows"], False)
 def rate_limit_stream(s: SparkSession, d: str) -> DataFrame:
-    return run.finished(tasks.window_counts(run.file_stream(s, d, "events")), "hits", "complete")
+    return run.finished(tasks.window_counts(run.file_stream(s, d, "events")), "hits", "update", keys=["user_id", "window_start"])
 
 
 @_query("""WITH c AS (SELECT c_nationkey AS business_id, c_custkey AS customer_id, lower(trim(c_name)) AS ref, lower(c_mktsegment) || ' ' || c_custkey % 9 || ' private limited' AS name FROM customer),

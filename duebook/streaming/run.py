@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where it is unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
+from ..sources.files import shared_path
 
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,19 +14,25 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def finished(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None, newest: list[str] | None = None, path: str | None = None) -> DataFrame:
     """All rows that ``stream`` has given once its source is exhausted.
 
-    Each batch goes to its own folder and is overwritten when it is repeated. In complete mode the last batch holds the result.
+    Each batch goes to its own folder, which a repeated batch overwrites, so delivery at least once gives each
+    row once. With a ``path``, a later call goes on where the last one ended, and its result holds both. With
+    ``keys``, later batches replace rows of earlier ones with equal keys, as in update mode; of rows of one
+    batch the one that is last by ``newest`` stands.
     """
-    spark, path = stream.sparkSession, f"{_shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    done: list[int] = []
+    spark = stream.sparkSession
+    path = path or shared_path(spark, name)
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{number}")
-        done.append(number)
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).foreachBatch(put).start()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    paths = [f"{path}/{k}" for k in sorted(set(done))]
-    return spark.read.schema(stream.schema).parquet(*(paths[-1:] if mode == "complete" else paths))
+    kind = stream.select("*", F.lit(0).alias("batch")).schema
+    rows = spark.read.schema(kind).option("ignoreMissingFiles", True).parquet(f"{path}/row[s]")
+    if keys:
+        order = Window.partitionBy(*keys).orderBy(F.desc("batch"), *(F.desc(c) for c in newest or []))
+        rows = rows.withColumn("__k", F.row_number().over(order)).filter("__k = 1").drop("__k")
+    return rows.drop("batch")

@@ -8,6 +8,8 @@ on bigrams with the fixed template table.
 Notices inside longer lines, wrapped notices and whole licence texts are found as runs of words of the
 whole text. A run that reaches t holds b * t / (2 - t) of a template's bigrams at least, so by counts of
 its rarer ones only texts that can hold one remain, and windows over their words name the runs.
+A match shares so many bigrams with its template that it has at least one of a few telling words, chosen
+so that each template's bigrams without them are too few; texts with none of them leave first.
 DataFrame operations only.
 """
 
@@ -76,13 +78,46 @@ def template_rows(templates: dict[str, list[str]]) -> list[tuple[int, str, int,
     return [(k, name, len(grams), g) for k, (name, grams) in enumerate(texts) for g in grams]
 
 
-def _bigram_pairs(words: str):
+def _pairs(words: str, join):
     follow = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.zip_with(F.slice(words, F.lit(1), follow), F.slice(words, F.lit(2), follow), lambda a, b: F.concat_ws(" ", a, b))
+    return F.zip_with(F.slice(words, F.lit(1), follow), F.slice(words, F.lit(2), follow), join)
 
 
-def _run_tables(templates: dict[str, list[str]], least: float) -> tuple[list[tuple], list[tuple], list[tuple]]:
-    """(template, license, grams, need, rare, step), (template, length) of its windows, and (template, bigram, number, is rare).
+def _bigram_pairs(words: str):
+    return _pairs(words, lambda a, b: F.concat_ws(" ", a, b))
+
+
+def telling_words(templates: dict[str, list[str]], least: float) -> list[str] | None:
+    """Words of which every match of a template has one at least: all its bigrams without them don't reach ``least``. None if common words alone would do."""
+    chosen: list[str] = []
+    sets = [set(bigrams(t)) for notices in templates.values() for t in notices]
+    needs = [math.ceil(len(grams) * least / (2 - least) - 1e-9) for grams in sets]
+    while True:
+        left = [[g for g in grams if not set(g.split()) & set(chosen)] for grams in sets]
+        counts = Counter(w for grams, need in zip(left, needs, strict=True) if grams and len(grams) >= need for g in grams for w in set(g.split()))
+        if not counts:
+            return chosen
+        counts = {w: n for w, n in counts.items() if w not in _COMMON and len(w) > 1}
+        if not counts:
+            return None
+        chosen.append(max(counts, key=lambda w: (len(w) > 3, counts[w], w)))
+
+
+def _telling(docs: DataFrame, templates: dict[str, list[str]], least: float) -> DataFrame:
+    words = telling_words(templates, least)
+    if words is None:
+        return docs
+    # exploding an array of one keeps the optimizer from copying the expression into each condition
+    low = docs.withColumn("low", F.explode(F.array(F.lower("text"))))
+    found = F.lit(False)
+    for w in words:
+        here = F.contains("low", F.lit(w))  # a short one has to be a word of its own
+        found = found | (here if len(w) > 3 else here & F.rlike("low", F.lit(f"(?:^|[^a-z0-9]){w}(?:[^a-z0-9]|$)")))
+    return low.filter(found).drop("low")
+
+
+def _run_tables(templates: dict[str, list[str]], least: float) -> tuple[list[tuple], list[tuple]]:
+    """(template, license, grams, need, rare, step, span, lengths of its windows), and (template, words of a bigram, its number, is rare).
 
     A run that reaches ``least`` has ``need`` of the template's bigrams, so it has all but grams - need of
     any choice of them; ``rare`` is what it has of the rarer 60 %.
@@ -91,7 +126,7 @@ def _run_tables(templates: dict[str, list[str]], least: float) -> tuple[list[tup
     sets = [bigrams(t) for _, t in texts]
     shared = Counter(g for grams in sets for g in grams)
     number = {g: k for k, g in enumerate(sorted(shared))}
-    meta, windows, known = [], [], []
+    meta, known = [], []
     for k, ((name, text), grams) in enumerate(zip(texts, sets, strict=True)):
         if not grams:
             continue
@@ -100,52 +135,54 @@ def _run_tables(templates: dict[str, list[str]], least: float) -> tuple[list[tup
         by_rarity = sorted(grams, key=lambda g: (sum(w in _COMMON for w in g.split()), shared[g], g))
         span = len(re.sub(r"[^a-z0-9]+", " ", text.lower()).split()) - 1
         low, high = math.ceil(span * least / (2 - least) - 1e-9), math.floor(span * (2 - least) / least + 1e-9)
-        meta.append((k, name, len(grams), need, chosen - (len(grams) - need), max(1, span // 16), span))
-        windows += [(k, n) for n in sorted({*range(low, high + 1, max(1, span // 8)), span, high})]
-        known += [(k, g, number[g], place < chosen) for place, g in enumerate(by_rarity)]
-    return meta, windows, known
+        lengths = sorted({*range(low, high + 1, max(1, span // 8)), span, high})
+        meta.append((k, name, len(grams), need, chosen - (len(grams) - need), max(1, span // 16), span, lengths))
+        known += [(k, *g.split(), number[g], place < chosen) for place, g in enumerate(by_rarity)]
+    return meta, known
 
 
 def license_runs(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
-    """(doc_id, license, first_word, words, dice): runs of words of the whole text whose coefficient reaches ``least``.
+    """(doc_id, h, license, first_word, words, dice): runs of words of the whole text whose coefficient reaches ``least``.
 
     Without ``templates``, those are TEMPLATES, TEXTS and the whole texts in files. Runs begin and end with a
     bigram of the template and are cut from windows over the words; for templates of 16 words or fewer those
     are all windows within the bounds of size, for longer ones begins are a sixteenth and sizes an eighth of
-    the template apart. A run whose middle lies in a nearer one is left out; equal rows give one row.
+    the template apart. A run whose middle lies in a nearer one is left out; equal rows give one row. ``h`` is a hash of the text,
+    so rows that share an id, or have none, are told apart.
     """
     if templates is None:
         templates = {name: TEMPLATES.get(name, []) + TEXTS.get(name, []) for name in {**TEMPLATES, **TEXTS}}
         for file in sorted(_FILES.glob("*.txt")):
             templates[file.stem] = [*templates.get(file.stem, []), file.read_text()]
     spark = docs.sparkSession
-    meta, windows, known = _run_tables(templates, least)
-    meta = F.broadcast(spark.createDataFrame(meta, "template int, license string, grams int, need int, rare int, step int, span int"))
-    windows = F.broadcast(spark.createDataFrame(windows, "template int, length int"))
-    known = spark.createDataFrame(known, "template int, bigram string, number int, rarer boolean")
-    docs = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").filter("text IS NOT NULL")
+    meta, known = _run_tables(templates, least)
+    meta = F.broadcast(spark.createDataFrame(meta, "template int, license string, grams int, need int, rare int, step int, span int, lengths array<int>"))
+    known = spark.createDataFrame(known, "template int, one string, two string, number int, rarer boolean")
+    known = known.select("template", F.xxhash64("one", "two").alias("gram"), "number", "rarer")
+    docs = _telling(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").filter("text IS NOT NULL"), templates, least)
 
-    def with_pairs(rows: DataFrame) -> DataFrame:
+    def with_grams(rows: DataFrame) -> DataFrame:
         # exploding an array of one, as below
         rows = rows.select("doc_id", "h", F.explode(F.array(F.expr("regexp_extract_all(lower(text), '[a-z0-9]+', 0)"))).alias("words"))
-        return rows.select("doc_id", "h", F.explode(F.array(_bigram_pairs("words"))).alias("pairs"))
+        return rows.select("doc_id", "h", F.explode(F.array(_pairs("words", lambda a, b: F.xxhash64(a, b)))).alias("text_grams"))
 
-    held = with_pairs(docs).select("doc_id", "h", F.explode("pairs").alias("bigram")).join(F.broadcast(known.filter("rarer")), "bigram")
+    held = with_grams(docs).select("doc_id", "h", F.explode("text_grams").alias("gram")).join(F.broadcast(known.filter("rarer")), "gram")
     held = held.groupBy("doc_id", "h", "template").agg(F.count_distinct("number").alias("n")).join(meta, "template").filter("n >= rare")
     able = keep(held.select("doc_id", "h", "template"), "able")
     texts = able.groupBy("doc_id", "h").count().select(F.col("doc_id").alias("d"), F.col("h").alias("t"))
     same = (F.col("h") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))
-    pairs = keep(with_pairs(docs.join(small(texts, able.count()), same, "left_semi").dropDuplicates(["doc_id", "h"])), "able-texts")
+    pairs = keep(with_grams(docs.join(small(texts, able.count()), same, "left_semi").dropDuplicates(["doc_id", "h"])), "able-texts")
     able = able.select(F.col("doc_id").alias("d"), F.col("h").alias("t"), F.col("template").alias("k"))
 
-    hits = pairs.select("doc_id", "h", F.posexplode("pairs").alias("at", "bigram")).join(F.broadcast(known.drop("rarer")), "bigram")
-    hits = hits.join(able, same & (F.col("template") == F.col("k")), "left_semi").select("doc_id", "h", "template", "at", "number")
-    hits = hits.join(meta, "template").join(windows, "template")
-    hits = hits.withColumn("begin", F.explode(F.expr("sequence(greatest(0L, CAST(floor((at - length) / step) + 1 AS BIGINT)), at DIV step)")))
-    runs = hits.groupBy("doc_id", "h", "template", "license", "grams", "need", "span", "begin", "length").agg(F.count_distinct("number").alias("both"), F.min("at").alias("first"), F.max("at").alias("last"))
-    runs = runs.filter("both >= need").select("doc_id", "h", "template", "license", "grams", "span", "both", "first", "last").distinct()
-    runs = runs.join(pairs.select(F.col("doc_id").alias("d"), F.col("h").alias("t"), "pairs"), same)
-    runs = runs.withColumn("n", F.expr("size(array_distinct(slice(pairs, first + 1, last - first + 1)))")).drop("pairs", "d", "t")
+    hits = pairs.select("doc_id", "h", F.posexplode("text_grams").alias("at", "gram")).join(F.broadcast(known.drop("rarer")), "gram")
+    hits = hits.join(able, same & (F.col("template") == F.col("k")), "left_semi").groupBy("doc_id", "h", "template").agg(F.array_sort(F.collect_list(F.struct("at", "number"))).alias("hits"))
+    # windows begin at a hit, the first one of each step, and end with the last hit that they reach
+    begins = "filter(transform(hits, (x, i) -> struct(i AS i, x.at AS at)), b -> b.i = 0 OR hits[b.i - 1].at DIV step <> b.at DIV step)"
+    reached = "filter(slice(hits, b.i + 1, l), y -> y.at < b.at + l)"
+    found = f"transform({begins}, b -> transform(lengths, l -> transform(array({reached}), w -> struct(b.at AS first, element_at(w, -1).at AS last, size(array_distinct(transform(w, y -> y.number))) AS both))[0]))"
+    runs = hits.join(meta, "template").select("doc_id", "h", "template", "license", "grams", "span", "need", F.expr(f"inline(array_distinct(flatten({found})))")).filter("both >= need").drop("need")
+    runs = runs.join(pairs.select(F.col("doc_id").alias("d"), F.col("h").alias("t"), "text_grams"), same)
+    runs = runs.withColumn("n", F.expr("size(array_distinct(slice(text_grams, first + 1, last - first + 1)))")).drop("text_grams", "d", "t")
     runs = runs.withColumn("dice", F.expr("2D * both / (n + grams)")).filter(F.col("dice") >= least)
     # the nearest of a template's runs that begin within its length of words
     nearest = F.max(F.struct("dice", (-F.col("first")).alias("f"), (-F.col("last")).alias("l"), (-F.col("template")).alias("k")))
@@ -153,15 +190,16 @@ def license_runs(docs: DataFrame, templates: dict[str, list[str]] | None = None,
     covers = runs.select(F.col("doc_id").alias("d"), F.col("h").alias("t"), F.col("rank").alias("r"), F.explode(F.expr("sequence(-rank.f, -rank.l)")).alias("word"))
     middle = F.expr("CAST(floor(-(rank.f + rank.l) / 2) AS INT)")
     runs = runs.withColumn("middle", middle).join(covers, same & (F.col("middle") == F.col("word")) & (F.col("r") > F.col("rank")), "left_anti")
-    return runs.select("doc_id", "license", (-F.col("rank.f")).alias("first_word"), (F.col("rank.f") - F.col("rank.l") + 2).alias("words"), F.col("rank.dice").alias("dice"))
+    return runs.select("doc_id", "h", "license", (-F.col("rank.f")).alias("first_word"), (F.col("rank.f") - F.col("rank.l") + 2).alias("words"), F.col("rank.dice").alias("dice"))
 
 
 def license_matches(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
-    """(doc_id, part, license, dice): the licence nearest to each part, if its coefficient reaches ``least``; ties go to the first template.
+    """(doc_id, h, part, license, dice): the licence nearest to each part, if its coefficient reaches ``least``; ties go to the first template.
 
     ``docs``: doc_id, text; other columns are ignored. ``part`` numbers a document's lines from 0 and
     its paragraphs of several lines from -1 downwards. Letters are lower-cased; all but ASCII letters
     and digits separate words; a part's bigrams are a set. Null and empty texts have no part that matches.
+    Each row is judged by its own text, of which ``h`` is a hash; equal rows give one row.
     """
     table = template_rows(templates or TEMPLATES)
     spark = docs.sparkSession
@@ -169,37 +207,41 @@ def license_matches(docs: DataFrame, templates: dict[str, list[str]] | None = No
     narrow, wide = least / (2 - least) - 1e-9, (2 - least) / least + 1e-9
     low, high = min(r[2] for r in table) * narrow, max(r[2] for r in table) * wide
     text = F.col("text")
-    lines = docs.select("doc_id", F.posexplode(F.split(text, r"\r?\n")).alias("part", "said"))
-    paragraphs = docs.select("doc_id", F.posexplode(F.split(text, r"\r?\n[ \t]*\r?\n\s*")).alias("part", "said")).filter(F.col("said").contains("\n")).withColumn("part", -1 - F.col("part"))
+    docs = _telling(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), templates or TEMPLATES, least)
+    lines = docs.select("doc_id", "h", F.posexplode(F.split(text, r"\r?\n")).alias("part", "said"))
+    paragraphs = docs.select("doc_id", "h", F.posexplode(F.split(text, r"\r?\n[ \t]*\r?\n\s*")).alias("part", "said")).filter(F.col("said").contains("\n")).withColumn("part", -1 - F.col("part"))
     parts = lines.unionByName(paragraphs).filter(F.length("said") >= int(2 * low))
     # exploding an array of one keeps the optimizer from copying the expression into each filter above it
-    parts = parts.select("doc_id", "part", F.explode(F.array(F.expr("regexp_extract_all(lower(said), '[a-z0-9]+', 0)"))).alias("words"))
+    parts = parts.select("doc_id", "h", "part", F.explode(F.array(F.expr("regexp_extract_all(lower(said), '[a-z0-9]+', 0)"))).alias("words"))
     # distinct bigrams are no more than the words less one, and no fewer than the distinct words less one
     parts = parts.filter(F.size("words") - 1 >= low).filter(F.size(F.array_distinct("words")) - 1 <= high)
-    parts = parts.select("doc_id", "part", F.explode(F.array(F.array_distinct(_bigram_pairs("words")))).alias("set"))
+    parts = parts.select("doc_id", "h", "part", F.explode(F.array(F.array_distinct(_bigram_pairs("words")))).alias("set"))
     parts = parts.withColumn("n", F.size("set")).filter((F.col("n") >= low) & (F.col("n") <= high))
-    shared = parts.select("doc_id", "part", "n", F.explode("set").alias("bigram")).join(F.broadcast(known), "bigram")
+    shared = parts.select("doc_id", "h", "part", "n", F.explode("set").alias("bigram")).join(F.broadcast(known), "bigram")
     shared = shared.filter((F.col("grams") >= F.col("n") * narrow) & (F.col("grams") <= F.col("n") * wide))
-    dice = shared.groupBy("doc_id", "part", "template", "license", "grams", "n").agg(F.count("*").alias("both")).withColumn("dice", 2.0 * F.col("both") / (F.col("n") + F.col("grams")))
+    dice = shared.groupBy("doc_id", "h", "part", "template", "license", "grams", "n").agg(F.count_distinct("bigram").alias("both")).withColumn("dice", 2.0 * F.col("both") / (F.col("n") + F.col("grams")))
     best = F.max_by(F.struct("license", "dice"), F.struct("dice", (-F.col("template")).alias("t")))
-    return dice.filter(F.col("dice") >= least).groupBy("doc_id", "part").agg(best.alias("best")).select("doc_id", "part", "best.license", "best.dice")
+    return dice.filter(F.col("dice") >= least).groupBy("doc_id", "h", "part").agg(best.alias("best")).select("doc_id", "h", "part", "best.license", "best.dice")
 
 
 def license_report(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
     """(doc_id, n_parts, licenses, best_license, best_dice) for every row of ``docs``.
 
     ``licenses`` are the licences found, in order, joined by commas; ties for the best go to the first
-    by name. A licence that no part states counts once if a run of words does. Documents without a match
-    have 0, an empty string and nulls.
+    by name. A licence that no part states counts once if a run of words does. Rows without a match
+    have 0, an empty string and nulls. Each row is judged by its own text, whether its id is null or
+    shared; an empty table gives no rows.
     """
-    found = license_matches(docs, templates, least)
-    runs = license_runs(docs, templates, least).groupBy("doc_id", "license").agg(F.max("dice").alias("dice"))
-    runs = runs.withColumn("part", F.concat(F.lit("run "), F.col("license")))
-    found = keep(found.withColumn("part", F.col("part").cast("string")), "parts")
-    found = found.unionByName(runs.join(found.select("doc_id", "license").distinct(), ["doc_id", "license"], "left_anti"))
-    found = found.groupBy("doc_id").agg(
+    docs = docs.select("doc_id", "text")
+    runs = license_runs(docs, templates, least).groupBy("doc_id", "h", "license").agg(F.max("dice").alias("dice"))
+    runs = keep(runs.withColumn("part", F.concat(F.lit("run "), F.col("license"))), "run-parts")
+    found = keep(license_matches(docs, templates, least).withColumn("part", F.col("part").cast("string")), "parts")
+    stated = found.select(F.col("doc_id").alias("d"), F.col("h").alias("t"), F.col("license").alias("l")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("t"))
+    found = found.unionByName(runs.join(stated, same & (F.col("license") == F.col("l")), "left_anti").select(found.columns))
+    found = found.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("t")).agg(
         F.count_distinct("part").alias("n_parts"), F.concat_ws(",", F.array_sort(F.collect_set("license"))).alias("licenses"),
         F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("best"),
     )
-    out = docs.select("doc_id").join(found, "doc_id", "left")
+    out = docs.select("doc_id", F.xxhash64("text").alias("h")).join(found, same, "left")
     return out.select("doc_id", F.coalesce("n_parts", F.lit(0)).cast("long").alias("n_parts"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.col("best.license").alias("best_license"), F.round(-F.col("best.d"), 6).alias("best_dice"))

@@ -51,3 +51,21 @@ def test_whole_texts_and_embedded_and_wrapped_notices(spark):
     report = {r.doc_id: r for r in licenses.license_report(df).collect()}
     assert {k: r.licenses for k, r in report.items()} == {k: want for k, (_, want) in cases.items()}
     assert all(report[k].best_dice > 0.95 for k in (1, 2, 3, 4, 6, 7))
+
+
+def test_rows_of_one_id_and_of_none(spark):
+    words = licenses.TEMPLATES["GPL-3.0"][2].split()
+    rows = [(1, "Released under the MIT License.")] * 2 + [(2, " ".join(words[k : k + 17])) for k in (0, 16, 32)] + [(None, "Released under the MIT License."), (None, "nothing here")]
+    got = sorted(((r.doc_id, r.n_parts, r.licenses, r.best_dice) for r in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    none, mit = (0, "", None), (1, "MIT", 1.0)
+    assert got == sorted([(1, *mit), (1, *mit), (2, *none), (2, *none), (2, *none), (None, *mit), (None, *none)], key=str)
+
+
+def test_telling_words():
+    words = licenses.telling_words(licenses.TEMPLATES, 0.8)
+    assert words and len(words) < 20
+    for notices in licenses.TEMPLATES.values():
+        for t in notices:
+            grams = licenses.bigrams(t)
+            assert sum(not set(g.split()) & set(words) for g in grams) < 2 * len(grams) / 3
+    assert licenses.telling_words({"x": ["of the and to be"]}, 0.8) is None

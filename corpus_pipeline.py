@@ -67,8 +67,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in shuffled shards: their columns with ``shard`` and ``slot``."""
-    sized = docs.withColumn("text_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    return sharding.shuffle_into_shards(sized, size_col="text_bytes").drop("text_bytes")
+    sized = docs.withColumn("__text_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    return sharding.shuffle_into_shards(sized, size_col="__text_bytes").drop("__text_bytes")
 
 
 STAGES = [

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Accepted date formats, in order.
 DATES = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy-M-d", "yyyy/M/d", "MMM d, yyyy", "MMMM d, yyyy")
@@ -18,13 +19,13 @@ PUNCTUATION = r"[.,;:()\[\]{}]+"
 LIMITED = r"(^|\s)(pvt ltd|pvt limited|private ltd)$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(text: pd.Series) -> pd.Series:
     """Unicode compatibility form (NFKC); built-in functions have none."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """NFKC and full case folding."""
     return text.map(lambda t: t if t is None else t.lower() if t.isascii() else unicodedata.normalize("NFKC", t).casefold())

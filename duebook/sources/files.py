@@ -90,10 +90,14 @@ def read_upload(spark: SparkSession, path: str, required: tuple[str, ...] = ("da
         raise ValueError("the upload is empty")
     mark = "﻿"
     sniffed = first[0].value.lstrip(mark)
-    encoding = "windows-1252" if "�" in sniffed or lines.filter(F.contains("value", F.lit("�"))).limit(1).count() else "utf-8"
+    # Spark reads ISO 8859-1, which differs from Windows-1252 in the bytes 80 to 9F alone
+    encoding = "iso-8859-1" if lines.filter(~F.is_valid_utf8("value")).limit(1).count() else "utf-8"
     sep = delimiter_of(sniffed)
     rows = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("ignoreLeadingWhiteSpace", False).csv(path)
     rows = rows.toDF(*(c.lstrip(mark) for c in rows.columns))
+    if encoding != "utf-8":
+        pairs = [(chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+        rows = rows.select(*(F.translate(F.col(f"`{c}`"), "".join(a for a, _ in pairs), "".join(b for _, b in pairs)).alias(c) for c in rows.columns))
     columns = resolve_headers(rows.columns)
     missing = [f for f in required if f not in columns]
     if missing:

@@ -9,15 +9,27 @@ from __future__ import annotations
 
 from duebook.llm import decontaminate, language, mixing, ngram_join, sharding
 from duebook.llm.store import keep, small
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ROW = "__row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row, written, so that the numbers stay the same."""
-    return keep(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+    """``docs`` with a number for each row that stays the same.
+
+    Rows of Parquet files are numbered by file and place, so nothing is written but the list of files;
+    other rows are written with their numbers.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    except AnalysisException:
+        return keep(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+    listed = placed.select("__file").distinct()
+    listed = keep(listed.select("__file", (F.row_number().over(Window.orderBy("__file")) - 1).cast("long").alias("__no")), "files")
+    number = F.shiftleft("__no", 40) + F.col("__at")
+    return placed.join(small(listed, listed.count()), "__file").withColumn(_ROW, number).drop("__file", "__at", "__no")
 
 
 def _texts(docs: DataFrame) -> DataFrame:

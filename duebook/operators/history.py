@@ -104,7 +104,8 @@ def history_as_of(rows: DataFrame, probes: DataFrame | None = None, cleared: boo
         *PARTY, "at", before(F.sum, "n").alias("settled"), before(F.sum, "late").alias("late"), before(F.sum, "total").alias("total"), before(F.sum, "squares").alias("squares"), before(F.min, "low").alias("min_delay"),
         before(F.max, "high").alias("max_delay"), before(F.max, "paid_day").alias("paid_day"), before(F.sum, "issued").alias("prior_invoices"), F.max(F.when(F.col("issued") > 0, F.col("at"))).over(past).alias("issued_day"),
     )
-    medians = days.select(*PARTY, "at", "delays", "last").sortWithinPartitions(*PARTY, "at").mapInArrow(_running_medians, "business_id int, customer_id long, at int, median_delay double, last3_mean_delay double, last3_late_rate double")
+    kinds = ", ".join(f"{c} {kind}" for c, kind in days.select(*PARTY, "at").dtypes)
+    medians = days.select(*PARTY, "at", "delays", "last").sortWithinPartitions(*PARTY, "at").mapInArrow(_running_medians, f"{kinds}, median_delay double, last3_mean_delay double, last3_late_rate double")
     seen = seen.join(medians, [*PARTY, "at"]).withColumn("settled", F.coalesce("settled", F.lit(0)))
     found = probes.join(seen, [*PARTY, "at"])
     spread = F.sqrt((n * F.col("squares") - total * total) / (n * (n - 1)))

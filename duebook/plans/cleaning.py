@@ -113,8 +113,8 @@ IMPUTED = ["late_rate", "avg_delay", "median_delay", "min_delay", "max_delay", "
 
 def training_features(rows: DataFrame) -> DataFrame:
     """History features of canonical rows by the training rule: an outcome counts from its clearing day, whoever the tenant is."""
-    ledger = rows.select(F.lit(0).alias("business_id"), F.col("invoice_id").cast("long").alias("invoice_id"), F.col("customer_id").cast("long").alias("customer_id"), "invoice_date", "due_date", F.col("clear_date").alias("settled_on"))
-    past = history.history_as_of(ledger, cleared=True).withColumn("invoice_id", F.col("invoice_id").cast("string"))
+    ledger = rows.select(F.lit(0).alias("business_id"), "invoice_id", F.col("customer_id").cast("long").alias("customer_id"), "invoice_date", "due_date", F.col("clear_date").alias("settled_on"))
+    past = history.history_as_of(ledger, cleared=True)
     number = [F.col(c).cast("double").alias(c) for c in IMPUTED]
     return past.select("invoice_id", "settled", "late", "prior_invoices", "is_new_customer", *number)
 

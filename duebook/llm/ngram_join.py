@@ -41,6 +41,8 @@ PERCENT = 80
 #: Tokens in the prefixes of more groups than this are frequent.
 FREQUENT = 64
 PERMUTATIONS = 6
+#: Bytes of text whose words are hashed at once: a task needs about sixty times as many.
+SLICE_BYTES = 1 << 19
 #: Documents and shingles of a block, about.
 BLOCK_DOCS, BLOCK_TOKENS = 128, 1 << 15
 #: Documents whose sizes are within the ratio allowed by PERCENT are at most one size class apart.
@@ -91,7 +93,7 @@ _SKETCH = "doc_id long, n int, d1 long, d2 long, " + ", ".join(f"m{j} long" for
 
 def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, sorted distinct shingles, each row's first one) of runs of texts."""
-    for at, raw, offsets in tx.slices(column):
+    for at, raw, offsets in tx.slices(column, SLICE_BYTES):
         raw = tx.LOWER[raw]
         starts, ends, first = tx.spans(raw, offsets, tx.SPACE)
         yield at, *tx.sorted_sets(*tx.windows(tx.word_hashes(raw, starts, ends), first, SHINGLE))

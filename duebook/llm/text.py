@@ -44,7 +44,7 @@ class _Powers:
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            steps = np.full(max(n, SLICE_BYTES) + 1, _BASE, U64)
+            steps = np.full(n + 1, _BASE, U64)
             steps[0] = 1
             cls.up = np.multiply.accumulate(steps)
             steps[1:] = _INVERSE
@@ -52,15 +52,15 @@ class _Powers:
         return cls.up, cls.down
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets from 0) of runs of rows of about SLICE_BYTES; null counts as empty."""
+def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets from 0) of runs of rows of about ``size`` bytes; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary())
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1)
         last = min(last, len(column))
         yield first, whole[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last

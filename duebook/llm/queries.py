@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, over their whole tables, and their SQL."""
+"""The registered queries of the operators, over their whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, language, licenses, mixing, ngram_join, sharding, sql, tokens, toxicity
+from . import chat, decontaminate, embeddings, language, licenses, mixing, ngram_join, secrets, sharding, sql, tokens, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,12 +61,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_token_ids, op3_mix_sources, op4_ngram_jaccard_join, op5_embedding_near_dedup, op6_benchmark_decontamination,
-        op7_sharding, op8_language_id, op9_toxicity, op10_license_scan,
+        op7_sharding, op8_language_id, op9_toxicity, op10_license_scan, op11_embedding_whitening, op12_secret_scan,
     )
 }
-#: The coder's files, the seeded orders, the models' scores and runs of words have no SQL form; tests compare those with plain Python.
-SQL: dict[str, str] = {"op1_chat_format": sql.OP1, "op4_ngram_jaccard_join": sql.OP4, "op5_embedding_near_dedup": sql.OP5, "op6_benchmark_decontamination": sql.OP6}
+#: The coder's files, the seeded orders, the models' scores, eigenvectors and runs of words have no SQL form; tests compare those with plain Python.
+SQL: dict[str, str] = {"op1_chat_format": sql.OP1, "op4_ngram_jaccard_join": sql.OP4, "op5_embedding_near_dedup": sql.OP5, "op6_benchmark_decontamination": sql.OP6, "op12_secret_scan": sql.OP12}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import secrets
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOWER_TEXT = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
 _SAID = "<|im_end|><|im_start|>assistant ok"
@@ -59,3 +61,50 @@ named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered ON covered.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id
 """
+
+
+def _marked(kind: int, pattern: str, keep: str, texts: str = "t", text: str = "t") -> str:
+    """(doc_id, kind, start, end) of the matches of a pattern: marked in the text, cut there, with lengths added up."""
+    return rf"""
+SELECT doc_id, {kind} AS kind, place AS "start", place + length(hit) AS "end" FROM (
+  SELECT doc_id, split_part(piece, chr(2), 1) AS hit, piece, k,
+    coalesce(sum(length(replace(piece, chr(2), ''))) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM (SELECT doc_id, unnest(string_split(m, chr(1))) AS piece, generate_subscripts(string_split(m, chr(1)), 1) AS k
+    FROM (SELECT doc_id, regexp_replace({text}, '({pattern})', chr(1) || '\1' || chr(2), 'g') AS m FROM {texts})))
+WHERE k > 1 AND {keep}"""
+
+
+def _op12() -> str:
+    quoted = [p.replace("'", "''") for p in (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.ACCOUNT, secrets.ENDPOINT, secrets.RUN)]
+    long = "length(regexp_extract(hit, '[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6"
+    mixed = "regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]')"
+    names = ", ".join(f"'{k}'" for k in secrets.KINDS)
+    listed = f"string_agg(([{names}])[kind + 1] || ':' || \"start\" || ':' || \"end\", ',' ORDER BY \"start\", kind)"
+    reach = secrets.REACH
+
+    def apart(taken: str, kind: str) -> str:
+        return f'{kind} AS MATERIALIZED (SELECT w.* FROM {kind}0 w WHERE NOT EXISTS (SELECT 1 FROM ({taken}) s WHERE s.doc_id = w.doc_id AND s."start" < w."end" AND w."start" < s."end"))'
+
+    def near(roles: str) -> str:
+        return f'EXISTS (SELECT 1 FROM p o WHERE o.doc_id = p.doc_id AND o.scope = p.scope AND o.kind IN ({roles}) AND o."start" <= p."end" + {reach} AND o."end" >= p."start" - {reach})'
+
+    identifier, secret = near("1, 3"), near("0, 2, 5")
+    return rf"""
+WITH t AS MATERIALIZED (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS t FROM documents),
+strong AS MATERIALIZED ({_marked(0, quoted[0], long)} UNION ALL {_marked(1, quoted[1], "true")} UNION ALL {_marked(2, quoted[2], "true")}),
+account0 AS MATERIALIZED ({_marked(3, quoted[3], "true")}), endpoint0 AS MATERIALIZED ({_marked(4, quoted[4], "true")}), run0 AS MATERIALIZED ({_marked(5, quoted[5], mixed)}),
+{apart("SELECT * FROM strong", "account")},
+{apart("SELECT * FROM strong UNION ALL SELECT * FROM account", "endpoint")},
+{apart("SELECT * FROM strong UNION ALL SELECT * FROM account UNION ALL SELECT * FROM endpoint", "run")},
+cut AS MATERIALIZED ({_marked(0, secrets.SCOPE, "true")}),
+p AS MATERIALIZED (SELECT s.*, (SELECT count(*) FROM cut WHERE cut.doc_id = s.doc_id AND cut."start" < s."start") AS scope
+  FROM (SELECT * FROM strong UNION ALL SELECT * FROM account UNION ALL SELECT * FROM endpoint UNION ALL SELECT * FROM run) s),
+linked AS (SELECT * FROM p WHERE kind < 3 OR (kind = 3 AND {secret}) OR (kind = 4 AND {identifier} AND {secret}) OR (kind = 5 AND {identifier})),
+b AS (SELECT doc_id, {listed} FILTER (WHERE kind < 3) AS base, {listed} AS spans,
+  count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS c, count(*) FILTER (WHERE kind = 2) AS h, count(*) FILTER (WHERE kind >= 3) AS w FROM linked GROUP BY 1)
+SELECT t.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(w, 0) AS n_linked
+FROM t LEFT JOIN b ON b.doc_id = t.doc_id
+"""
+
+
+OP12 = _op12()

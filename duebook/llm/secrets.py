@@ -25,11 +25,17 @@ from .store import arrow_rows, keep
 REACH = 400
 LEAST_SECRET, LEAST_ACCESS, LEAST_HEX, LEAST_RUN = 6, 20, 24, 20
 
-ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+def _either(words: str) -> str:
+    """A group of ``words`` in which each ASCII letter stands in either case."""
+    return "(?:" + re.sub("[a-z]", lambda m: f"[{m.group().upper()}{m.group()}]", words) + ")"
+
+
+ASSIGN = _either("password|passwd|secret|token|api_?key") + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = rf"AKIA[A-Z0-9]{{{LEAST_ACCESS - 4},}}"
 HEX = rf"[0-9a-f]{{{LEAST_HEX},}}"
-ACCOUNT = r"""(?i:username|user_?id|user|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)"""
-ENDPOINT = r"""(?i:https?|ftp|ssh|jdbc|postgres|postgresql|mysql|mongodb|redis|amqp)://[A-Za-z0-9@._:/?&=%-]+"""
+ACCOUNT = _either("username|user_?id|user|login|account|client_?id|access_?key_?id") + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)"""
+ENDPOINT = _either("https?|ftp|ssh|jdbc|postgres|postgresql|mysql|mongodb|redis|amqp") + "://[A-Za-z0-9@._:/?&=%-]+"
 RUN = rf"[A-Za-z0-9+/_-]{{{LEAST_RUN},}}"
 SCOPE = r"\n[\x20\x09\r]*\n"
 

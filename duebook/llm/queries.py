@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, language, licenses, mixing, ngram_join, secrets, sharding, sql, tokens, toxicity, whitening
+from . import chat, collocations, decontaminate, embeddings, language, licenses, mixing, ngram_join, secrets, sharding, sql, tokens, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,12 +69,17 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(_table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_token_ids, op3_mix_sources, op4_ngram_jaccard_join, op5_embedding_near_dedup, op6_benchmark_decontamination,
         op7_sharding, op8_language_id, op9_toxicity, op10_license_scan, op11_embedding_whitening, op12_secret_scan,
+        op13_phrase_collocations,
     )
 }
 #: The coder's files, the seeded orders, the models' scores, eigenvectors and runs of words have no SQL form; tests compare those with plain Python.
-SQL: dict[str, str] = {"op1_chat_format": sql.OP1, "op4_ngram_jaccard_join": sql.OP4, "op5_embedding_near_dedup": sql.OP5, "op6_benchmark_decontamination": sql.OP6, "op12_secret_scan": sql.OP12}
+SQL: dict[str, str] = {"op1_chat_format": sql.OP1, "op4_ngram_jaccard_join": sql.OP4, "op5_embedding_near_dedup": sql.OP5, "op6_benchmark_decontamination": sql.OP6, "op12_secret_scan": sql.OP12, "op13_phrase_collocations": sql.OP13}

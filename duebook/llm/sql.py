@@ -108,3 +108,20 @@ FROM t LEFT JOIN b ON b.doc_id = t.doc_id
 
 
 OP12 = _op12()
+
+OP13 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER_TEXT}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest([w[i:i + k - 1] for i in range(1, len(w) - k + 2)]) AS g FROM w, (VALUES (1), (2), (3)) AS lengths(k)),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+cuts AS (SELECT c.lang, c.k, c.g, c.a, 1 AS cut, l.a AS l, r.a AS r FROM c JOIN f l ON l.lang = c.lang AND l.g = c.g[1:1] JOIN f r ON r.lang = c.lang AND r.g = c.g[2:]
+  UNION ALL SELECT c.lang, c.k, c.g, c.a, 2, l.a, r.a FROM c JOIN f l ON l.lang = c.lang AND l.g = c.g[1:2] JOIN f r ON r.lang = c.lang AND r.g = c.g[3:] WHERE c.k = 3),
+s AS (SELECT *, CAST(1000000::HUGEINT * a * a // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+covers AS (SELECT lang, g, max(a) AS a FROM (SELECT lang, g[1:2] AS g, a FROM c WHERE k = 3 UNION ALL SELECT lang, g[2:3], a FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT best.*, array_to_string(best.g, ' ') AS phrase FROM best LEFT JOIN covers ON covers.lang = best.lang AND covers.g = best.g WHERE covers.a IS NULL OR 100 * covers.a < 50 * best.a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000
+"""

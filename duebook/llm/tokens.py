@@ -67,7 +67,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer, self.plain, self.sizes = _tokenizer(path)
-        self.places: dict[int, int] = {}
+        self.places: dict[bytes, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.first = np.zeros(1, np.int64)
         self.uses = np.zeros(0, np.int64)
@@ -92,19 +92,19 @@ class Encoder:
                 sizes.append(np.array([len(x) for x in found]))
         return flat, sizes
 
-    def _learn(self, keys: np.ndarray, pieces: list[bytes], joined: np.ndarray) -> np.ndarray:
+    def _learn(self, pieces: list[bytes], joined: np.ndarray) -> np.ndarray:
         """The places of new pieces."""
         alone = np.flatnonzero(~joined)
         flat, sizes = self._encode_joined([p for p, j in zip(pieces, joined.tolist(), strict=True) if j])
         found = self._ids([pieces[k].decode() for k in alone.tolist()])
         n = len(self.places)
         order = np.concatenate([np.flatnonzero(joined), alone])
-        self.places.update(zip(keys[order].tolist(), range(n, n + len(keys)), strict=True))
+        self.places.update(zip([pieces[k] for k in order.tolist()], range(n, n + len(pieces)), strict=True))
         self.flat = np.concatenate([self.flat, *flat, *found])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate([*sizes, np.array([len(x) for x in found], np.int64)]))])
-        self.uses = np.concatenate([self.uses, np.zeros(len(keys), np.int64)])
-        places = np.empty(len(keys), np.int64)
-        places[order] = n + np.arange(len(keys))
+        self.uses = np.concatenate([self.uses, np.zeros(len(pieces), np.int64)])
+        places = np.empty(len(pieces), np.int64)
+        places[order] = n + np.arange(len(pieces))
         return places
 
     def rows(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -125,15 +125,18 @@ class Encoder:
             cut[offsets] = True
             starts = np.flatnonzero(cut[:-1])
             ends = np.append(starts[1:], len(raw))
-            keys, index, inverse = np.unique(tx.word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+            pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+            keys, inverse = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
             if len(self.places) > _CACHE:
                 self._forget()
-            place = np.fromiter((self.places.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
-            missing = place < 0
-            if missing.any():
-                data, begin, end = raw.tobytes(), starts[index[missing]], ends[index[missing]]
+            place = np.fromiter((self.places.get(k, -1) for k in keys), np.int64, len(keys))
+            missing = np.flatnonzero(place < 0)
+            if len(missing):
+                index = np.empty(len(keys), np.int64)
+                index[inverse[::-1]] = np.arange(len(starts))[::-1]  # where each piece stands first
+                begin, end = starts[index[missing]], ends[index[missing]]
                 joined = (raw[begin] == 0x20) & (end - begin > 1) & right[np.minimum(begin + 1, len(raw) - 1)] & left[end - 1]
-                place[missing] = self._learn(keys[missing], [data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], joined)
+                place[missing] = self._learn([keys[k] for k in missing.tolist()], joined)
             self.uses[place] += np.bincount(inverse, minlength=len(keys))
             place = place[inverse]
             sizes = self.first[place + 1] - self.first[place]
@@ -143,12 +146,12 @@ class Encoder:
 
     def _forget(self) -> None:
         """Keep the half of the pieces that were used most."""
-        keys = np.fromiter(self.places, np.uint64, len(self.places))  # in order of their places
+        keys = list(self.places)  # in order of their places
         kept = np.sort(np.argsort(-self.uses, kind="stable")[: len(keys) // 2])
         sizes = np.diff(self.first)[kept]
         begin = np.concatenate([[0], np.cumsum(sizes)])
         self.flat = self.flat[np.arange(begin[-1]) + np.repeat(self.first[kept] - begin[:-1], sizes)]
-        self.places = dict(zip(keys[kept].tolist(), range(len(kept)), strict=True))
+        self.places = dict(zip([keys[k] for k in kept.tolist()], range(len(kept)), strict=True))
         self.first, self.uses = begin, self.uses[kept] // 2
 
 

@@ -3,6 +3,7 @@ import random
 import re
 
 from duebook.llm import decontaminate as dc
+from hashes import thue_morse
 
 
 def words(text):
@@ -95,3 +96,9 @@ def test_empty(spark):
     d, i = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert dc.contamination(d, i).count() == 0
     assert dc.contamination(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), i).collect()[0].n_words == 2
+
+
+def test_words_that_collide_under_polynomials(spark):
+    for n in (1024, 2048):
+        a, b = thue_morse(n)
+        check(spark, [(1, f"p q r s {a} t u v"), (2, f"p q r s {b} t u v")], [(1, a)])

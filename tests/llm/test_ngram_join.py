@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 from duebook.llm import ngram_join
+from hashes import thue_morse
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,18 +46,7 @@ def test_edges_of_the_contract(spark):
     check(spark, rows)
 
 
-def test_shared_passages_families_and_tiny_sets(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FREQUENT", 3)
-    entered = defaultdict(int)
-    for name in ("_whole_candidates", "_combination_pairs", "_between_members"):
-
-        def spied(*args, name=name, real=getattr(ngram_join, name)):
-            found = real(*args)
-            entered[name] += found.count()
-            return found
-
-        monkeypatch.setattr(ngram_join, name, spied)
-    rng = random.Random(5)
+def _hard_rows(rng):
     word = lambda: rng.choice("abcdefghijklmnop") + rng.choice("abcdefghijklmnop")
     passage = [word() for _ in range(40)]
     rows = []
@@ -73,7 +63,22 @@ def test_shared_passages_families_and_tiny_sets(spark, monkeypatch):
     for _ in range(40):
         cut = rng.randrange(5, 40)
         rows.append(passage[: cut + 20] + [word() for _ in range(rng.randint(0, 5))])
-    check(spark, [(100 + i, " ".join(w)) for i, w in enumerate(rows)])
+    return rows
+
+
+def test_shared_passages_families_and_tiny_sets(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT", 3)
+    entered = defaultdict(int)
+    for name in ("_whole_candidates", "_combination_pairs", "_between_members"):
+
+        def spied(*args, name=name, real=getattr(ngram_join, name)):
+            found = real(*args)
+            entered[name] += found.count()
+            return found
+
+        monkeypatch.setattr(ngram_join, name, spied)
+    for seed in (5, 6, 7):  # which stages a table enters depends on its words' hashes
+        check(spark, [(100 + i, " ".join(w)) for i, w in enumerate(_hard_rows(random.Random(seed)))])
     assert entered["_whole_candidates"] and entered["_combination_pairs"] and "_between_members" in entered
 
 
@@ -91,3 +96,7 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = defaultdict(int, {i: 1 for i in range(1, 41)} | {100: 100, 200: 100, 300: 100, 400: 400, 450: 400, 500: 400})
     assert got == dict(want)
+
+
+def test_words_that_collide_under_polynomials(spark):
+    check(spark, [(n + k, f"p q r s {w} t u v") for n in (1024, 2048) for k, w in enumerate(thue_morse(n))])

@@ -6,6 +6,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from duebook.llm import tokens
+from hashes import thue_morse
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,3 +74,11 @@ def test_files_read_back(spark, monkeypatch):
     assert sorted(map(tuple, again), key=lambda r: r[1]) == [tuple(r) for r in got]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert tokens.read_tokens(spark, tokens.write_tokens(empty, PATH, 2)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_collide_under_polynomials(n):
+    rows = [f"p q r s {w} t u v" for w in thue_morse(n)]
+    encoder = tokens.Encoder(PATH)
+    got = [ids[a:b].tolist() for _, ids, first in encoder.rows(pa.array(rows)) for a, b in zip(first[:-1], first[1:])]
+    assert got == [Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids for t in rows] and got[0] != got[1]

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import datetime
+import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DateType, StringType
 
 #: Accepted date formats, in order.
 DATES = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy-M-d", "yyyy/M/d", "MMM d, yyyy", "MMMM d, yyyy")
+#: The same as shapes, with the places of year, month and day; names of the months.
+DATE_SHAPES = {
+    r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})$": (4, 3, 1), r"^(\d{1,2}) ([A-Za-z]+) (\d{4})$": (3, 2, 1), r"^(\d{4})([/-])(\d{1,2})\2(\d{1,2})$": (1, 3, 4), r"^([A-Za-z]+) (\d{1,2}), (\d{4})$": (3, 1, 2),
+}
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 #: Currency words and signs around an amount, its grouping, and the punctuation and suffixes of a company's name.
 CURRENCIES = r"(?:INR|USD|CAD|EUR|GBP|AUD|RS\.?)"
 SIGNS = r"[₹$€£\s]"
@@ -25,25 +34,51 @@ def compatible(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+def shaped_day(text: str, shapes: dict[str, tuple[int, int, int]]) -> datetime.date | None:
+    """The first of ``shapes`` that fits and names a day; months by number, name or its first three letters."""
+    for shape, places in shapes.items():
+        found = re.match(shape, text)
+        if found:
+            year, month, day = (found.group(k) for k in places)
+            month = int(month) if month.isdigit() else next((k for k, name in enumerate(MONTHS, 1) if month.lower() in (name, name[:3])), 0)
+            with contextlib.suppress(ValueError):
+                return datetime.date(int(year), month, int(day))
+    return None
+
+
+def days_of(shapes: dict[str, tuple[int, int, int]], years: tuple[int, int] = (1, 9999)) -> Callable[[Column], Column]:
+    """A function from an array of texts to an array of their days, null for what is none; built-in parsers throw for each format that fails."""
+
+    def one(text: str) -> datetime.date | None:
+        bare = re.sub(r"\s+", " ", re.sub(r"(?i)(\d)(st|nd|rd|th)\b", r"\1", text.strip(" :#-")))
+        day = shaped_day(bare, shapes)
+        return day if day and years[0] <= day.year <= years[1] else None
+
+    def every(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda v: None if v is None else [None if t is None else one(t) for t in v])
+
+    return F.pandas_udf(every, ArrayType(DateType()))
+
+
 @F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """NFKC and full case folding."""
     return text.map(lambda t: t if t is None else t.lower() if t.isascii() else unicodedata.normalize("NFKC", t).casefold())
 
 
-def parse_date(text: Column) -> Column:
-    """Day-first dates, ISO dates and times, and month names; null where none fits."""
-    clean = F.regexp_replace(F.trim(compatible(text)), r"(?i)(\d)(st|nd|rd|th)\b", "$1")
+def parse_date(text: Column, plain: bool = False) -> Column:
+    """Day-first dates, ISO dates and times, and month names; null where none fits. ``plain``: the text is in NFKC already."""
+    clean = F.regexp_replace(F.trim(text if plain else compatible(text)), r"(?i)(\d)(st|nd|rd|th)\b", "$1")
     timed = F.when(clean.rlike(r"^\d{4}-\d{2}-\d{2}[ T]."), F.to_date(clean.try_cast("timestamp")))
     return F.when(clean.rlike(r"^\d{4}-\d{2}-\d{2}[ T]"), timed).otherwise(F.coalesce(*(F.try_to_date(clean, f) for f in DATES)))
 
 
-def parse_amount(text: Column) -> Column:
+def parse_amount(text: Column, plain: bool = False) -> Column:
     """Plain, western and Indian grouping, with currency words and signs; rounded half-even to cents.
 
-    Null unless finite and above 0, so also for a negative sign or parentheses.
+    Null unless finite and above 0, so also for a negative sign or parentheses. ``plain``: the text is in NFKC already.
     """
-    bare = F.trim(compatible(text))
+    bare = F.trim(text if plain else compatible(text))
     bare = F.regexp_replace(F.regexp_replace(bare, rf"(?i)^\s*{CURRENCIES}\s*", ""), rf"(?i)\s*{CURRENCIES}\s*$", "")
     bare = F.regexp_replace(F.regexp_replace(bare, SIGNS, ""), r"^\+", "")
     value = F.when(bare.rlike(NUMBER), F.regexp_replace(bare, ",", "")).try_cast("decimal(38,18)")

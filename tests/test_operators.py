@@ -105,7 +105,7 @@ def test_scanned_invoice(spark):
     text = "Tax Invoice\nInvoice No: SI-77\nDate: 10/02/2O20\nDue on receipt\nTotal: USD 1l,234.50\n"
     r = documents.invoice_fields(spark.createDataFrame([(text,), (None,)], "text string"), scanned=True).collect()
     assert (r[0].number, r[0].invoice_date, r[0].due_date, str(r[0].total), r[0].currency) == ("SI-77", D(2020, 2, 10), D(2020, 2, 10), "11234.50", "USD")
-    assert r[1].missing == "number,invoice_date,due_date,total"
+    assert r[1].missing == "number,buyer,invoice_date,due_date,total"
 
 
 def test_contributions_add_up(spark):

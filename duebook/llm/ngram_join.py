@@ -107,6 +107,11 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(first) - 1), tokens], ["doc_id", "tokens"])
 
 
+#: Rows of units that are united at once, at most about 4 MB each.
+JOINED = 16
+_UNIT = "grp long, s int, n int, tokens array<long>"
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The union of whole sets of documents of one group and size class that stand together, and their least size."""
     for batch in batches:
@@ -125,6 +130,20 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys[0][which]), pa.array(keys[1][which].astype(np.int32)), pa.array(least.astype(np.int32)), tokens], ["grp", "s", "n", "tokens"])
 
 
+def _joined_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units of one group and size class that follow each other, united again."""
+    for batch in batches:
+        keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1)])
+        edges = np.flatnonzero(np.append(True, (np.diff(keys) != 0).any(0))[: batch.num_rows])
+        flat, offsets = batch.column(3).flatten().to_numpy(zero_copy_only=False), batch.column(3).offsets.to_numpy()
+        offsets = offsets - offsets[0] if len(offsets) else offsets
+        sets = [np.unique(flat[offsets[a] : offsets[b]].view(np.uint64)).view(np.int64) for a, b in zip(edges, [*edges[1:], batch.num_rows], strict=True)]
+        least = np.minimum.reduceat(batch.column(2).to_numpy(zero_copy_only=False), edges) if len(edges) else np.zeros(0, np.int32)
+        begin = np.cumsum([0, *(len(x) for x in sets)]).astype(np.int32)
+        tokens = pa.ListArray.from_arrays(pa.array(begin), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0][edges]), pa.array(keys[1][edges].astype(np.int32)), pa.array(least.astype(np.int32)), tokens], ["grp", "s", "n", "tokens"])
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Intersection and union of the two texts' sets in each row."""
     for batch in batches:
@@ -230,7 +249,12 @@ def _whole_candidates(ids: DataFrame, texts: DataFrame) -> DataFrame:
     """
     rows = texts.join(small(ids, ids.count()), "doc_id").select("grp", "doc_id", "text")
     rows = rows.repartitionByRange("grp", "doc_id").sortWithinPartitions("grp", F.length("text"))
-    units = keep(rows.select("grp", "text").mapInArrow(_units, "grp long, s int, n int, tokens array<long>"), "united")
+    # units of a group come from many tasks: those of each JOINED neighbouring tasks are united before they are sent by token
+    units = rows.select("grp", "text").mapInArrow(_units, _UNIT).withColumn("near", F.expr(f"spark_partition_id() DIV {JOINED}"))
+    units = keep(units, "units")
+    arrow_rows(texts.sparkSession, JOINED)
+    units = keep(units.repartition("grp", "s", "near").drop("near").sortWithinPartitions("grp", "s").mapInArrow(_joined_units, _UNIT), "united")
+    arrow_rows(texts.sparkSession)
     index = units.select("grp", "s", "n", F.explode("tokens").alias("t")).groupBy("t", "grp", "s").agg(F.min("n").alias("n"))
     # the groups that hold each token: both windows run on one shuffle and one sort
     place = index.withColumn("place", F.dense_rank().over(Window.partitionBy("t").orderBy("grp")))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,12 +24,18 @@ def ledger(bills: DataFrame, paid: DataFrame) -> DataFrame:
     is the first day on which the running sum reaches the amount. ``paid``: business_id, invoice_id, paid_on,
     amount, one row for a day.
     """
+    return settled(bills.join(paid.select(*KEY, "paid_on", F.col("amount").alias("part")), KEY, "left"))
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """A ledger from invoices joined with their payments (paid_on, part), both null where there are none.
+
+    Running sums and the sum of an invoice need no shuffle after that join, whose partitioning they share.
+    """
     order = Window.partitionBy(*KEY).orderBy("paid_on").rowsBetween(Window.unboundedPreceding, 0)
-    running = paid.select(*KEY, "paid_on", F.sum("amount").over(order).alias("running"))
-    due = bills.select(*KEY, F.col("amount").alias("due"))
-    # an inner join on the keys that both sides are dealt by already
-    reached = due.join(running, KEY).groupBy(*KEY).agg(F.max("running").cast("decimal(14,2)").alias("paid"), F.min(F.when(F.col("running") >= F.col("due"), F.col("paid_on"))).alias("settled_on"))
-    rows = bills.join(reached, KEY, "left").withColumn("paid", F.coalesce("paid", F.lit(0).cast("decimal(14,2)")))
+    bill = [c for c in rows.columns if c not in ("paid_on", "part")]
+    running = rows.withColumn("running", F.sum("part").over(order))
+    rows = running.groupBy(*bill).agg(F.coalesce(F.max("running"), F.lit(0)).cast("decimal(14,2)").alias("paid"), F.min(F.when(F.col("running") >= F.col("amount"), F.col("paid_on"))).alias("settled_on"))
     status = F.when(F.col("paid") <= 0, "OPEN").when(F.col("paid") >= F.col("amount"), "PAID").otherwise("PARTIAL")
     return rows.withColumn("status", status).withColumn("outstanding", F.greatest(F.col("amount") - F.col("paid"), F.lit(0)).cast("decimal(14,2)"))
 
@@ -49,32 +54,68 @@ def _outcomes(rows: DataFrame) -> DataFrame:
     return rows.filter("delay IS NOT NULL")
 
 
-def _running_medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (business_id, customer_id, at, delays, last) in order, with the median of all delays and the last three outcomes on the days before."""
-    owner, values, seen, three = None, np.zeros(0, np.int64), np.zeros(0, np.int64), []
+class _Delays:
+    """Counts of delays of a customer so far with their median: a Fenwick tree over a range that doubles when it is left."""
+
+    def __init__(self) -> None:
+        self.low, self.tree, self.held, self.n = -64, [0] * 129, {}, 0
+
+    def add(self, delay: int, n: int) -> None:
+        self.held[delay] = self.held.get(delay, 0) + n
+        self.n += n
+        size = len(self.tree) - 1
+        if not self.low <= delay < self.low + size:
+            while not self.low <= delay < self.low + size:
+                self.low, size = self.low - size // 2, 2 * size
+            self.tree = [0] * (size + 1)
+            for d, m in self.held.items():
+                self._put(d - self.low + 1, m)
+        else:
+            self._put(delay - self.low + 1, n)
+
+    def _put(self, k: int, n: int) -> None:
+        while k < len(self.tree):
+            self.tree[k] += n
+            k += k & -k
+
+    def _place(self, rank: int) -> int:
+        k, step = 0, len(self.tree) - 1
+        while step:
+            if k + step < len(self.tree) and self.tree[k + step] <= rank:
+                k += step
+                rank -= self.tree[k]
+            step //= 2
+        return k + self.low
+
+    def median(self) -> float | None:
+        if not self.n:
+            return None
+        low = self._place((self.n - 1) // 2)
+        return (low + (low if self.n % 2 else self._place(self.n // 2))) / 2
+
+
+def _with_medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of owner and day, with the median of all delays and the last three outcomes on the days before in place of ``delays`` and ``last``."""
+    owner, known, three = None, _Delays(), []
     for batch in batches:
-        out: list[float | None] = []
-        means: list[float | None] = []
-        rates: list[float | None] = []
-        for b, c, delays, last in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
-            if (b, c) != owner:
-                owner, values, seen, three = (b, c), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        columns = {n: batch.column(n) for n in batch.schema.names}
+        delays, last = columns.pop("delays"), columns.pop("last")
+        d_at, (d, n) = delays.offsets.to_pylist(), (delays.values.field(k).to_pylist() for k in ("delay", "n"))
+        l_at, fields = last.offsets.to_pylist(), [last.values.field(k).to_pylist() for k in ("paid_day", "invoice_id", "delay")]
+        outcomes = list(zip(*fields, strict=True))
+        medians, means, rates = [], [], []
+        for k, now in enumerate(zip(columns["business_id"].to_pylist(), columns["customer_id"].to_pylist(), strict=True)):
+            if now != owner:
+                owner, known, three = now, _Delays(), []
+            medians.append(known.median())
             means.append(sum(x[2] for x in three) / len(three) if three else None)
             rates.append(sum(x[2] > 0 for x in three) / len(three) if three else None)
-            if last:
-                three = sorted(three + [(x["paid_day"], x["invoice_id"], x["delay"]) for x in last])[-3:]
-            if len(values):
-                upto = np.cumsum(seen)
-                n = int(upto[-1])
-                low, high = np.searchsorted(upto, [(n - 1) // 2 + 1, n // 2 + 1])
-                out.append(float(values[low] + values[high]) / 2)
-            else:
-                out.append(None)
-            if delays:
-                both = np.concatenate([values, [x["delay"] for x in delays]])
-                values, place = np.unique(both, return_inverse=True)
-                seen = np.bincount(place, np.concatenate([seen, [x["n"] for x in delays]]), len(values)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(v, pa.float64()) for v in (out, means, rates))], ["business_id", "customer_id", "at", "median_delay", "last3_mean_delay", "last3_late_rate"])
+            if l_at[k] < l_at[k + 1]:
+                three = sorted(three + outcomes[l_at[k] : l_at[k + 1]])[-3:]
+            for j in range(d_at[k], d_at[k + 1]):
+                known.add(d[j], n[j])
+        found = {"median_delay": medians, "last3_mean_delay": means, "last3_late_rate": rates}
+        yield pa.RecordBatch.from_arrays([*columns.values(), *(pa.array(v, pa.float64()) for v in found.values())], [*columns, *found])
 
 
 def history_as_of(rows: DataFrame, probes: DataFrame | None = None, cleared: bool = False) -> DataFrame:
@@ -87,26 +128,30 @@ def history_as_of(rows: DataFrame, probes: DataFrame | None = None, cleared: boo
     """
     probes = rows if probes is None else probes
     probes = probes.filter("customer_id IS NOT NULL AND invoice_date IS NOT NULL").select(*KEY, "customer_id", _day("invoice_date").alias("at"))
-    known = _outcomes(rows).select(*PARTY, _day(F.col("settled_on") if cleared else F.greatest("settled_on", F.coalesce("invoice_date", "due_date"))).alias("at"), "delay", _day("settled_on").alias("paid_day"), F.lit(0).alias("issued"), "invoice_id")
-    issued = rows.filter("customer_id IS NOT NULL AND invoice_date IS NOT NULL").select(*PARTY, _day("invoice_date").alias("at"), F.lit(None).cast("int").alias("delay"), F.lit(None).cast("int").alias("paid_day"), F.lit(1).alias("issued"), "invoice_id")
+    late = F.datediff("settled_on", "due_date")
+    seen_on = _day(F.col("settled_on") if cleared else F.greatest("settled_on", F.coalesce("invoice_date", "due_date")))
+    none = F.lit(None).cast("int")
+    outcome = F.when(late.isNotNull(), F.struct(seen_on.alias("at"), late.alias("delay"), _day("settled_on").alias("paid_day"), F.lit(0).alias("issued")))
+    issue = F.when(F.col("invoice_date").isNotNull(), F.struct(_day("invoice_date").alias("at"), none.alias("delay"), none.alias("paid_day"), F.lit(1).alias("issued")))
+    events = rows.filter("customer_id IS NOT NULL").select(*PARTY, "invoice_id", F.explode(F.array_compact(F.array(outcome, issue))).alias("e")).select(*PARTY, "invoice_id", "e.*")
     d = F.col("delay").cast("long")
-    by_delay = known.unionByName(issued).groupBy(*PARTY, "at", "delay").agg(F.count("delay").alias("n"), F.sum("issued").alias("issued"), F.max("paid_day").alias("paid_day"), F.slice(F.sort_array(F.collect_list(F.when(d.isNotNull(), F.struct("paid_day", "invoice_id", "delay"))), False), 1, 3).alias("last"))
-    days = by_delay.groupBy(*PARTY, "at").agg(
+    by_delay = events.groupBy(*PARTY, "at", "delay").agg(F.count("delay").alias("n"), F.sum("issued").alias("issued"), F.max("paid_day").alias("paid_day"), F.slice(F.sort_array(F.collect_list(F.when(d.isNotNull(), F.struct("paid_day", "invoice_id", "delay"))), False), 1, 3).alias("last"))
+    # dealt by owner once: the days, the windows and the medians share that
+    days = by_delay.repartition(*PARTY).groupBy(*PARTY, "at").agg(
         F.sum("n").alias("n"), F.sum("issued").alias("issued"), F.max("paid_day").alias("paid_day"), F.sum(F.when(d > 0, F.col("n")).otherwise(0)).alias("late"), F.sum(d * F.col("n")).alias("total"),
         F.sum(d * d * F.col("n")).alias("squares"), F.min("delay").alias("low"), F.max("delay").alias("high"), F.collect_list(F.when(d.isNotNull(), F.struct("delay", "n"))).alias("delays"),
         F.slice(F.sort_array(F.flatten(F.collect_list("last")), False), 1, 3).alias("last"),
     )
-    days = days.repartition(*PARTY)
     past = Window.partitionBy(*PARTY).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     before = lambda f, c: f(c).over(past)
     n, total = F.col("settled"), F.col("total")
     seen = days.select(
         *PARTY, "at", before(F.sum, "n").alias("settled"), before(F.sum, "late").alias("late"), before(F.sum, "total").alias("total"), before(F.sum, "squares").alias("squares"), before(F.min, "low").alias("min_delay"),
-        before(F.max, "high").alias("max_delay"), before(F.max, "paid_day").alias("paid_day"), before(F.sum, "issued").alias("prior_invoices"), F.max(F.when(F.col("issued") > 0, F.col("at"))).over(past).alias("issued_day"),
+        before(F.max, "high").alias("max_delay"), before(F.max, "paid_day").alias("paid_day"), before(F.sum, "issued").alias("prior_invoices"), F.max(F.when(F.col("issued") > 0, F.col("at"))).over(past).alias("issued_day"), "delays", "last",
     )
-    kinds = ", ".join(f"{c} {kind}" for c, kind in days.select(*PARTY, "at").dtypes)
-    medians = days.select(*PARTY, "at", "delays", "last").sortWithinPartitions(*PARTY, "at").mapInArrow(_running_medians, f"{kinds}, median_delay double, last3_mean_delay double, last3_late_rate double")
-    seen = seen.join(medians, [*PARTY, "at"]).withColumn("settled", F.coalesce("settled", F.lit(0)))
+    kinds = ", ".join(f"{c} {kind}" for c, kind in seen.dtypes if c not in ("delays", "last"))
+    seen = seen.sortWithinPartitions(*PARTY, "at").mapInArrow(_with_medians, f"{kinds}, median_delay double, last3_mean_delay double, last3_late_rate double")
+    seen = seen.withColumn("settled", F.coalesce("settled", F.lit(0)))
     found = probes.join(seen, [*PARTY, "at"])
     spread = F.sqrt((n * F.col("squares") - total * total) / (n * (n - 1)))
     long = lambda c: F.col(c).cast("long").alias(c)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.history import ledger
+from ..operators.history import settled
 from ..operators.identity import check_digit
 
 TODAY = "2001-08-02"
@@ -43,16 +43,19 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payments(spark: SparkSession, sf_dir: str, today: str = TODAY) -> DataFrame:
     """(business_id, invoice_id, paid_on, amount): shipped line items up to ``today``, one payment for each day."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.to_date("l_shipdate").alias("paid_on"), F.col("l_extendedprice").cast(MONEY).alias("amount"))
-    lines = lines.filter(F.col("paid_on") <= F.lit(today).cast("date"))
-    owners = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(_tenants(spark, sf_dir), "o_custkey").select("o_orderkey", "business_id")
-    rows = lines.join(owners, "o_orderkey").groupBy("business_id", F.col("o_orderkey").alias("invoice_id"), "paid_on")
-    return rows.agg(F.sum("amount").cast(MONEY).alias("amount"))
+    owners = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(_tenants(spark, sf_dir), "o_custkey").select(F.col("o_orderkey").alias("invoice_id"), "business_id")
+    return _shipped(spark, sf_dir, today).join(owners, "invoice_id").select("business_id", "invoice_id", "paid_on", "amount")
+
+
+def _shipped(spark: SparkSession, sf_dir: str, today: str) -> DataFrame:
+    """(invoice_id, paid_on, amount): line items summed by order and day before any join."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("invoice_id"), F.to_date("l_shipdate").alias("paid_on"), F.col("l_extendedprice").cast(MONEY).alias("amount"))
+    return lines.filter(F.col("paid_on") <= F.lit(today).cast("date")).groupBy("invoice_id", "paid_on").agg(F.sum("amount").cast(MONEY).alias("amount"))
 
 
 def bills(spark: SparkSession, sf_dir: str, today: str = TODAY) -> DataFrame:
-    """The invoices with paid, outstanding, status and settled_on."""
-    return ledger(invoices(spark, sf_dir), payments(spark, sf_dir, today))
+    """The invoices with paid, outstanding, status and settled_on: orders and customers are read once, a payment has the tenant of its order."""
+    return settled(invoices(spark, sf_dir).join(_shipped(spark, sf_dir, today).withColumnRenamed("amount", "part"), "invoice_id", "left"))
 
 
 def outstanding(rows: DataFrame, today: str = TODAY) -> DataFrame:

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .ingest import company_name
 
@@ -43,32 +44,38 @@ def same_organization(left, right):
     return F.coalesce((left == right) | (longer.startswith(F.concat(shorter, F.lit(" "))) & F.trim(rest).isin(*SUFFIXES)), F.lit(False))
 
 
+@F.pandas_udf(DoubleType())
+def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the matching blocks of two names over their lengths."""
+    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+
+
 def similar_names(names: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(group, a, b, ratio) of different names of a group whose matching-blocks ratio is ``least`` or more, a before b.
+    """(group, a, b, ratio) of different names (group, name) of a group whose matching-blocks ratio is ``least`` or more, a before b."""
+    pairs = name_pairs(names, names, least).filter("a < b")
+    return pairs.withColumn("ratio", name_ratio("a", "b")).filter(F.col("ratio") >= least)
+
 
-    ``names``: (group, name), distinct. A pair with that ratio leaves at most (1 - least) of both lengths
+def name_pairs(names: DataFrame, others: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(group, a, b) of a name and a different one of ``others`` that may have that ratio; none that has it is missing.
+
+    ``names`` and ``others``: (group, name), distinct. A pair with that ratio leaves at most (1 - least) of both lengths
     unmatched, so of so many pieces of one name and one more, some piece stands whole in the other, moved by
     no more than that. Pieces and the places they can move to meet by an equi-join; ratios verify.
     """
-    size = F.length("name")
-    rows = names.filter("name IS NOT NULL AND name <> ''").withColumn("n", size)
     # the other name's length lies between these, and the unmatched characters of both are at most d
-    reach = rows.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * least / (2 - least) - 1e-9).cast("int"), F.floor(F.col("n") * (2 - least) / least + 1e-9).cast("int"))))
+    reach = names.filter("name IS NOT NULL AND name <> ''").withColumn("n", F.length("name")).withColumn("side", F.lit("a"))
+    reach = reach.unionByName(others.filter("name IS NOT NULL AND name <> ''").withColumn("n", F.length("name")).withColumn("side", F.lit("b")))
+    reach = reach.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * least / (2 - least) - 1e-9).cast("int"), F.floor(F.col("n") * (2 - least) / least + 1e-9).cast("int"))))
     reach = reach.withColumn("d", F.floor((F.col("n") + F.col("m")) * (1 - least) + 1e-9).cast("int"))
     cut = "CAST(floor({k} * {n} / (d + 1)) AS INT)"
     piece = lambda n: f"transform(sequence(0, d), k -> struct(k AS k, {cut.format(k='k', n=n)} AS at, {cut.format(k='(k + 1)', n=n)} - {cut.format(k='k', n=n)} AS size))"
-    held = reach.select("group", F.col("name").alias("a"), F.col("n").alias("na"), F.col("m").alias("nb"), F.expr(f"inline({piece('n')})")).filter("size > 0")
+    held = reach.filter("side = 'a'").select("group", F.col("name").alias("a"), F.col("n").alias("na"), F.col("m").alias("nb"), F.expr(f"inline({piece('n')})")).filter("size > 0")
     held = held.select("group", "a", "na", "nb", "k", F.expr("substring(a, at + 1, size)").alias("said"))
-    asked = reach.select("group", F.col("name").alias("b"), F.col("m").alias("na"), F.col("n").alias("nb"), "d", F.expr(f"inline({piece('m')})")).filter("size > 0")
+    asked = reach.filter("side = 'b'").select("group", F.col("name").alias("b"), F.col("m").alias("na"), F.col("n").alias("nb"), "d", F.expr(f"inline({piece('m')})")).filter("size > 0")
     asked = asked.filter("nb >= size").withColumn("to", F.explode(F.expr("sequence(least(greatest(0, at - d), nb - size), least(nb - size, at + d))")))
     asked = asked.select("group", "b", "na", "nb", "k", F.expr("substring(b, to + 1, size)").alias("said")).distinct()
-    pairs = held.join(asked, ["group", "na", "nb", "k", "said"]).filter("a <> b").select("group", "a", "b").distinct()
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
-
-    return pairs.filter("a < b").withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= least)
+    return held.join(asked, ["group", "na", "nb", "k", "said"]).filter("a <> b").select("group", "a", "b").distinct()
 
 
 def audit_estimates(stored: DataFrame, bills: DataFrame, customers: DataFrame, history: DataFrame, least: int = 3) -> DataFrame:

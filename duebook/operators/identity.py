@@ -14,16 +14,16 @@ ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def check_digit(stem: Column) -> Column:
     """The check character of the first 14 characters: digits base 36, weighted 1 and 2 in turn, quotient and remainder added."""
-    value = lambda k: F.instr(F.lit(ALPHABET), F.substring(stem, k, 1)) - 1
-    parts = [value(k) * (2 - k % 2) for k in range(1, 15)]
-    total = sum((F.floor(p / 36) + p % 36 for p in parts), F.lit(0))
+    weighted = lambda k: (F.instr(F.lit(ALPHABET), F.substring(stem, k, F.lit(1))) - 1) * (2 - k % 2)
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.lit(0), lambda a, k: a + (weighted(k) / 36).cast("int") + weighted(k) % 36)
     return F.substring(F.lit(ALPHABET), ((36 - total % 36) % 36 + 1).cast("int"), F.lit(1))
 
 
 def tax_number(text: Column) -> Column:
     """Upper case without white space; null unless shape and check digit are right."""
     flat = F.upper(F.regexp_replace(text, r"\s+", ""))
-    return F.when(flat.rlike(TAX_NUMBER), F.when(check_digit(flat) == F.substring(flat, 15, 1), flat))
+    # bound once, however often the checks name it
+    return F.get(F.transform(F.array(flat), lambda f: F.when(f.rlike(TAX_NUMBER), F.when(check_digit(f) == F.substring(f, 15, 1), f))), F.lit(0))
 
 
 def _only(customers: DataFrame, key: str, name: str) -> DataFrame:

@@ -123,10 +123,10 @@ def read_splits(spark: SparkSession, path: str, split: str = "split") -> tuple[D
 
 
 def file_digests(spark: SparkSession, path: str, extensions: tuple[str, ...], most_bytes: int) -> DataFrame:
-    """(path, sha256, length, problem) of uploaded files: their size and name are checked before their contents count."""
+    """(path, sha256, length, problem) of uploaded files: their size and name are checked before their contents count; Spark's scan leaves empty files out."""
     files = spark.read.format("binaryFile").load(path)
     kind = F.lower(F.element_at(F.split("path", r"\."), -1))
-    problem = F.when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "too large").when(~kind.isin(*extensions), "unsupported type")
+    problem = F.when(F.col("length") > most_bytes, "too large").when(~kind.isin(*extensions), "unsupported type")
     magic = F.hex(F.substring("content", 1, 4))
     wrong = F.when((kind == "pdf") & (magic != "25504446"), "not a PDF").when((kind == "png") & (magic != "89504E47"), "not a PNG").when(kind.isin("jpg", "jpeg") & ~magic.startswith("FFD8FF"), "not a JPEG")
     return files.select("path", F.sha2("content", 256).alias("sha256"), "length", F.coalesce(problem, wrong).alias("problem"))

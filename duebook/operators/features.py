@@ -86,6 +86,15 @@ def customer_histogram(bills: DataFrame) -> DataFrame:
     return per.groupBy(band.alias("band")).agg(F.count("*").alias("customers"), F.sum("n").cast("long").alias("invoices"))
 
 
+def top_customers(bills: DataFrame, most: int = 5) -> DataFrame:
+    """(place, customer_id, invoices, share): the customers with most invoices, ties by id, and their share of all rows."""
+    per = bills.groupBy("customer_id").agg(F.count("*").alias("invoices"))
+    best = per.filter("customer_id IS NOT NULL").orderBy(F.desc("invoices"), "customer_id").limit(most)
+    place = F.row_number().over(Window.orderBy(F.desc("invoices"), "customer_id"))  # over at most ``most`` rows
+    total = per.agg(F.sum("invoices").alias("total")).withColumn("all", F.lit(1))
+    return best.withColumn("all", F.lit(1)).join(total, "all").select(place.cast("long").alias("place"), "customer_id", "invoices", F.round(F.col("invoices") / F.col("total"), 6).alias("share"))
+
+
 def ordinal_codes(train: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     """``rows`` with the place of ``column`` among the sorted training categories, -1 for unseen ones."""
     known = train.select(column).filter(F.col(column).isNotNull()).distinct()

@@ -242,6 +242,11 @@ def customer_histogram(s: SparkSession, d: str) -> DataFrame:
     return features.customer_histogram(views.invoices(s, d))
 
 
+@_query("SELECT row_number() OVER (ORDER BY invoices DESC, customer_id) AS place, customer_id, invoices, round(invoices / CAST(total AS DOUBLE), 6) AS share FROM (SELECT customer_id, count(*) AS invoices, sum(count(*)) OVER () AS total FROM inv GROUP BY 1) WHERE customer_id IS NOT NULL QUALIFY place <= 5")
+def top_customers(s: SparkSession, d: str) -> DataFrame:
+    return features.top_customers(views.invoices(s, d))
+
+
 _SPLIT = """(SELECT invoice_id, CASE WHEN settled_on IS NULL THEN 'open_inference' WHEN invoice_date < c1 THEN 'train' WHEN invoice_date < c2 THEN 'validation' ELSE 'test' END AS split FROM (SELECT inv.invoice_id, invoice_date, settled_on FROM inv LEFT JOIN stl ON inv.invoice_id = stl.invoice_id),
 (SELECT min(CASE WHEN k = CAST(floor(n * 0.7::DOUBLE) AS BIGINT) THEN invoice_date END) AS c1, min(CASE WHEN k = CAST(floor(n * 0.85::DOUBLE) AS BIGINT) THEN invoice_date END) AS c2 FROM (SELECT invoice_date, row_number() OVER (ORDER BY invoice_date, inv.invoice_id) - 1 AS k, count(*) OVER () AS n FROM inv JOIN stl ON inv.invoice_id = stl.invoice_id)))"""
 

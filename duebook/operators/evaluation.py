@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
 
 #: Scores are dealt into so many ranges of equal width between 0 and 1.
 RANGES = 4096
@@ -51,7 +52,8 @@ def classification(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
 def regression(rows: DataFrame) -> DataFrame:
     """One row: MAE, RMSE and median absolute error of (actual, predicted)."""
     e = F.abs(F.col("actual").cast("double") - F.col("predicted").cast("double"))
-    return rows.agg(F.count("*").alias("n"), F.round(F.avg(e), 4).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"), F.round(F.percentile(e, F.lit(0.5)), 4).alias("median_ae"))
+    facts = rows.agg(F.count("*").alias("n"), F.round(F.avg(e), 4).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"))
+    return quantiles.beside(facts, quantiles.exact(rows, {"median_ae": (e, 0.5)})).withColumn("median_ae", F.round("median_ae", 4))
 
 
 def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:

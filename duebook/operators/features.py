@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 PROHIBITED = ("settled_on", "delay", "is_late", "days_until_payment")
 
 
@@ -61,7 +63,9 @@ def distribution(rows: DataFrame, column: str, places: int = 4) -> DataFrame:
     n = F.count(x)
     skew = F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)
     marks = {"p1": 0.01, "p5": 0.05, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    return rows.agg(n.alias("n"), F.round(F.avg(x), places).alias("mean"), F.round(F.stddev_samp(x), places).alias("std"), F.round(F.min(x), places).alias("min"), F.round(F.max(x), places).alias("max"), F.round(skew, places).alias("skew"), *(F.round(F.percentile(x, F.lit(q)), places).alias(k) for k, q in marks.items()))
+    facts = rows.agg(n.alias("n"), F.round(F.avg(x), places).alias("mean"), F.round(F.stddev_samp(x), places).alias("std"), F.round(F.min(x), places).alias("min"), F.round(F.max(x), places).alias("max"), F.round(skew, places).alias("skew"))
+    found = quantiles.exact(rows, {k: (x, q) for k, q in marks.items()})
+    return quantiles.beside(facts, found).select(*facts.columns, *(F.round(k, places).alias(k) for k in marks))
 
 
 def duplicate_report(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,4 +108,5 @@ def ordinal_codes(train: DataFrame, rows: DataFrame, column: str) -> DataFrame:
 
 def train_medians(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row of exact medians of the training rows, to 6 places; 0 where all are null."""
-    return rows.agg(*(F.coalesce(F.round(F.percentile(F.col(c).cast("double"), F.lit(0.5)), 6), F.lit(0.0)).alias(c) for c in columns))
+    found = quantiles.exact(rows, {c: (F.col(c), 0.5) for c in columns})
+    return found.select(*(F.coalesce(F.round(c, 6), F.lit(0.0)).alias(c) for c in columns))

@@ -11,6 +11,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
 from .features import assert_no_leakage
 
 #: Bounds of the risk tiers, and the shape of the trees.
@@ -59,13 +60,16 @@ def score_summary(scores: DataFrame) -> DataFrame:
     """One row: mean, median and spread of the risk, rows and percent of each tier, and mean, median and 95th percentile of the days."""
     x, y, n = F.col("risk_score"), F.col("predicted_days"), F.count("*")
     tiers = [c for k in ("LOW", "MEDIUM", "HIGH") for c in (F.count_if(F.col("risk_tier") == k).alias(f"{k.lower()}_n"), F.round(100.0 * F.count_if(F.col("risk_tier") == k) / n, 1).alias(f"{k.lower()}_percent"))]
-    return scores.agg(n.alias("n"), F.round(F.avg(x), 4).alias("mean_risk"), F.round(F.median(x), 4).alias("median_risk"), F.round(F.stddev_samp(x), 4).alias("std_risk"), *tiers, F.round(F.avg(y), 2).alias("mean_days"), F.round(F.median(y), 2).alias("median_days"), F.round(F.percentile(y, F.lit(0.95)), 2).alias("p95_days"))
+    facts = scores.agg(n.alias("n"), F.round(F.avg(x), 4).alias("mean_risk"), F.round(F.stddev_samp(x), 4).alias("std_risk"), *tiers, F.round(F.avg(y), 2).alias("mean_days"))
+    found = quantiles.exact(scores, {"median_risk": (x, 0.5), "median_days": (y, 0.5), "p95_days": (y, 0.95)})
+    return quantiles.beside(facts, found.select(F.round("median_risk", 4).alias("median_risk"), F.round("median_days", 2).alias("median_days"), F.round("p95_days", 2).alias("p95_days")))
 
 
 def target_spread(rows: DataFrame, column: str) -> DataFrame:
     """One row: least, median, mean, 95th percentile and most of a target, to 2 places."""
     x = F.col(column).cast("double")
-    return rows.agg(*(F.round(v, 2).alias(k) for k, v in {"min": F.min(x), "median": F.median(x), "mean": F.avg(x), "p95": F.percentile(x, F.lit(0.95)), "max": F.max(x)}.items()))
+    found = quantiles.exact(rows, {"min": (x, 0.0), "median": (x, 0.5), "p95": (x, 0.95), "max": (x, 1.0)})
+    return quantiles.beside(rows.agg(F.avg(x).alias("mean")), found).select(*(F.round(k, 2).alias(k) for k in ("min", "median", "mean", "p95", "max")))
 
 
 def baseline_late(history: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Late-payment models: boosted trees, scores, tiers, importance and additive contributions, and the baseline."""
+"""Late-payment models: boosted trees, scores, tiers, importance and Shapley values, and the baseline."""
 
 from __future__ import annotations
 
@@ -84,14 +84,17 @@ def importance(model: GBTClassificationModel | GBTRegressionModel, columns: list
 
 
 def _trees(model: GBTClassificationModel | GBTRegressionModel) -> list[tuple[np.ndarray, ...]]:
-    """Each tree as arrays (feature, threshold, left, right, value) by node; a leaf has feature -1. Their size is the model's."""
+    """Each tree as arrays (feature, threshold, left, right, value, cover) by node; a leaf has feature -1. Their size is the model's.
+
+    A node's cover is the number of training rows that reached it when its tree was grown.
+    """
     found = []
     for tree, weight in zip(model.trees, model.treeWeights, strict=True):
         nodes: list[list[float]] = []
 
         def walk(node, weight=weight, nodes=nodes) -> int:
             k = len(nodes)
-            nodes.append([-1, 0.0, -1, -1, weight * node.prediction()])
+            nodes.append([-1, 0.0, -1, -1, weight * node.prediction(), node.impurityStats().count()])
             if "InternalNode" in node.getClass().getSimpleName():
                 split = node.split()
                 nodes[k][0], nodes[k][1] = split.featureIndex(), split.threshold()
@@ -100,30 +103,74 @@ def _trees(model: GBTClassificationModel | GBTRegressionModel) -> list[tuple[np.
 
         walk(tree._call_java("rootNode"))
         table = np.array(nodes)
-        found.append((table[:, 0].astype(int), table[:, 1], table[:, 2].astype(int), table[:, 3].astype(int), table[:, 4]))
+        found.append((table[:, 0].astype(int), table[:, 1], table[:, 2].astype(int), table[:, 3].astype(int), table[:, 4], table[:, 5]))
+    return found
+
+
+def _leaves(tree: tuple[np.ndarray, ...]) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
+    """Every leaf as its value and, for each feature on its path, (feature, above, upto, kept): the interval above < x <= upto that
+    leads here and the share of the cover that goes on along the path at that feature's splits."""
+    feature, threshold, left, right, value, cover = tree
+    found, todo = [], [(0, {})]
+    while todo:
+        node, path = todo.pop()
+        f = int(feature[node])
+        if f < 0:
+            found.append((float(value[node]), [(k, *v) for k, v in path.items()]))
+            continue
+        above, upto, kept = path.get(f, (-np.inf, np.inf, 1.0))
+        for child, interval in ((int(left[node]), (above, min(upto, threshold[node]))), (int(right[node]), (max(above, threshold[node]), upto))):
+            todo.append((child, path | {f: (*interval, kept * cover[child] / cover[node])}))
     return found
 
 
+def _shares(follows: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """What each of m features adds to a leaf of value 1, for rows (follows: row x feature, 0 or 1).
+
+    A coalition of features contributes the product of ``follows`` over its members and of ``kept`` over the others.
+    The polynomial of all features but one holds the sums of these products by size of coalition; each size has the
+    same weight among all orders of joining, so m polynomials of degree m - 1 stand for 2^m coalitions.
+    """
+    m = len(kept)
+    weight = np.ones(m)
+    for k in range(1, m):  # k! (m - 1 - k)! / m!
+        weight[k] = weight[k - 1] * k / (m - k)
+    weight /= m
+    out = np.zeros(follows.shape)
+    for i in range(m):
+        poly = np.zeros((len(follows), m))
+        poly[:, 0] = 1
+        for j in range(m):
+            if j != i:
+                grown = poly * kept[j]
+                grown[:, 1:] += poly[:, :-1] * follows[:, j, None]
+                poly = grown
+        out[:, i] = (follows[:, i] - kept[i]) * (poly @ weight)
+    return out
+
+
 def contributions(rows: DataFrame, columns: list[str], model: GBTClassificationModel | GBTRegressionModel) -> DataFrame:
-    """(invoice_id, bias, parts): what each feature adds to the raw score, along the path of each tree.
+    """(invoice_id, bias, parts): the Shapley value of each feature for the raw score, exact for every tree, in polynomial time.
 
-    The bias and all parts add up to the raw score exactly: at each split the change of the node's value goes to the split's feature.
+    The game's worth of a set of features is the tree's mean where the others follow each split by the training rows'
+    cover. The bias is the worth of no feature, so bias and parts add up to the raw score. Rows that agree on which
+    splits of a leaf's path they follow are worked out once.
     """
-    trees = _trees(model)
-    bias = float(sum(t[4][0] for t in trees))
+    leaves = [leaf for tree in _trees(model) for leaf in _leaves(tree)]
+    bias = float(sum(value * np.prod([p[3] for p in path]) for value, path in leaves))
 
     @F.pandas_udf("array<double>")
     def parts(features: pd.Series) -> pd.Series:
         x = np.stack(features.to_list()) if len(features) else np.zeros((0, len(columns)))
         out = np.zeros(x.shape)
-        each = np.arange(len(x))
-        for feature, threshold, left, right, value in trees:
-            at = np.zeros(len(x), int)
-            while (inner := feature[at] >= 0).any():
-                f = feature[at]
-                to = np.where(inner, np.where(x[each, np.maximum(f, 0)] <= threshold[at], left[at], right[at]), at)
-                np.add.at(out, (each[inner], f[inner]), value[to[inner]] - value[at[inner]])
-                at = to
+        for value, path in leaves:
+            if not path:
+                continue  # a tree of one leaf tells nothing
+            at, above, upto, kept = (np.array(v) for v in zip(*path))
+            v = x[:, at]  # NaN is above every threshold, as the trees take it
+            follows = (~(v <= above) | np.isneginf(above)) & ((v <= upto) | np.isposinf(upto))
+            kinds, kind = np.unique(follows, axis=0, return_inverse=True)
+            out[:, at] += value * _shares(kinds.astype(float), kept)[kind.reshape(-1)]
         return pd.Series(list(out))
 
     return _vectors(rows, columns).select("invoice_id", F.lit(bias).alias("bias"), parts(vector_to_array("features")).alias("parts"))

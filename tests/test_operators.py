@@ -1,5 +1,7 @@
 import datetime
 import difflib
+import itertools
+import math
 import random
 
 import numpy as np
@@ -122,3 +124,37 @@ def test_contributions_add_up(spark):
     assert np.mean([r.predicted_late == late[r.invoice_id] for r in scores]) > 0.9 and all(r.predicted_days >= 0 for r in scores)
     shares = models.importance(model, columns, spark).collect()
     assert shares[0].feature == "a" and sum(r.importance for r in shares) == pytest.approx(1, abs=1e-5)
+
+
+def worth(tree, x, known, node=0):
+    """The mean of a tree for one row of which only some features are known."""
+    feature, threshold, left, right, value, cover = tree
+    f = feature[node]
+    if f < 0:
+        return value[node]
+    if f in known:
+        return worth(tree, x, known, left[node] if x[f] <= threshold[node] else right[node])
+    return sum(cover[k] / cover[node] * worth(tree, x, known, k) for k in (left[node], right[node]))
+
+
+def test_contributions_against_all_coalitions(spark, monkeypatch):
+    monkeypatch.setattr(models, "DEPTH", 4)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (300, 4)).astype(float)  # ties at the thresholds, features that a path splits twice
+    late = (x[:, 0] * x[:, 1] + x[:, 2] ** 2 - x[:, 3] > 1).astype(int)
+    columns = ["a", "b", "c", "d"]
+    rows = spark.createDataFrame([(k, *map(float, v), int(y), "validation" if k % 5 == 0 else "train") for k, (v, y) in enumerate(zip(x, late))], "invoice_id long, a double, b double, c double, d double, is_late int, split string")
+    model = models.train_classifier(rows, columns, 4)
+    trees = models._trees(model)
+    assert max(len(t[0]) for t in trees) > 15 and all(t[5][0] == t[5][left] + t[5][right] for t in trees for left, right in [(t[2][0], t[3][0])])
+    x[7, 2] = np.inf
+    got = models.contributions(rows.filter("invoice_id < 40").withColumn("c", F.when(F.col("invoice_id") == 7, float("inf")).otherwise(F.col("c"))), columns, model).collect()
+    assert len(got) == 40
+    for r in got:
+        v = x[r.invoice_id]
+        value = {s: sum(worth(t, v, s) for t in trees) for k in range(5) for s in map(frozenset, itertools.combinations(range(4), k))}
+        assert r.bias == pytest.approx(value[frozenset()], abs=1e-9)
+        for i in range(4):
+            want = sum(math.factorial(len(s)) * math.factorial(3 - len(s)) / 24 * (value[s | {i}] - value[s]) for s in value if i not in s)
+            assert r.parts[i] == pytest.approx(want, abs=1e-9)
+    assert models.contributions(rows.limit(0), columns, model).collect() == []

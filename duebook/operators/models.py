@@ -11,7 +11,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import quantiles
+from . import boosting, quantiles
 from .features import assert_no_leakage
 
 #: Bounds of the risk tiers, and the shape of the trees.
@@ -149,15 +149,16 @@ def _shares(follows: np.ndarray, kept: np.ndarray) -> np.ndarray:
     return out
 
 
-def contributions(rows: DataFrame, columns: list[str], model: GBTClassificationModel | GBTRegressionModel) -> DataFrame:
+def contributions(rows: DataFrame, columns: list[str], model: GBTClassificationModel | GBTRegressionModel | boosting.Boosted) -> DataFrame:
     """(invoice_id, bias, parts): the Shapley value of each feature for the raw score, exact for every tree, in polynomial time.
 
     The game's worth of a set of features is the tree's mean where the others follow each split by the training rows'
     cover. The bias is the worth of no feature, so bias and parts add up to the raw score. Rows that agree on which
     splits of a leaf's path they follow are worked out once.
     """
-    leaves = [leaf for tree in _trees(model) for leaf in _leaves(tree)]
-    bias = float(sum(value * np.prod([p[3] for p in path]) for value, path in leaves))
+    own = isinstance(model, boosting.Boosted)
+    leaves = [leaf for tree in (model.trees if own else _trees(model)) for leaf in _leaves(tree)]
+    bias = (model.base if own else 0.0) + float(sum(value * np.prod([p[3] for p in path]) for value, path in leaves))
 
     @F.pandas_udf("array<double>")
     def parts(features: pd.Series) -> pd.Series:
@@ -176,10 +177,13 @@ def contributions(rows: DataFrame, columns: list[str], model: GBTClassificationM
     return _vectors(rows, columns).select("invoice_id", F.lit(bias).alias("bias"), parts(vector_to_array("features")).alias("parts"))
 
 
-def factors(explained: DataFrame, columns: list[str], groups: dict[str, str]) -> DataFrame:
-    """(invoice_id, factor, contribution, share, place, score): contributions by named group, the largest first, and the score that they make."""
+def factors(explained: DataFrame, columns: list[str], groups: dict[str, str], steep: float = 2.0) -> DataFrame:
+    """(invoice_id, factor, contribution, share, place, score): contributions by named group, the largest first, and the score that they make.
+
+    ``steep`` is 2 for Spark's trees, whose raw score is half the log odds, and 1 for ``boosting``.
+    """
     names = F.array(*(F.lit(groups.get(c, "other")) for c in columns))
-    rows = explained.select("invoice_id", sigmoid(2 * (F.col("bias") + F.aggregate("parts", F.lit(0.0), lambda a, x: a + x))).alias("score"), F.explode(F.arrays_zip(names.alias("factor"), F.col("parts").alias("part"))).alias("p"))
+    rows = explained.select("invoice_id", sigmoid(steep * (F.col("bias") + F.aggregate("parts", F.lit(0.0), lambda a, x: a + x))).alias("score"), F.explode(F.arrays_zip(names.alias("factor"), F.col("parts").alias("part"))).alias("p"))
     rows = rows.groupBy("invoice_id", "score", F.col("p.factor").alias("factor")).agg(F.sum("p.part").alias("contribution"))
     mine = Window.partitionBy("invoice_id")
     size = F.abs("contribution")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, evaluation, features, history, models
+from ..operators import boosting, cleaning, evaluation, features, history, models
 from . import views
 from .queries import _SPLIT, _query
 
@@ -57,6 +57,26 @@ def model_factors(s: SparkSession, d: str) -> DataFrame:
     return models.factors(models.contributions(rows.filter("split = 'test'"), COLUMNS, models.train_classifier(rows, COLUMNS, TREES)), COLUMNS, FACTORS)
 
 
+_GAIN_CUTS = {"month": range(1, 12), "day": range(1, 31), "weekday": range(6), "term_days": range(5, 121, 5)}
+_GAIN_LONG = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v, y FROM told" for c in _GAIN_CUTS)
+_GAIN_POINTS = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST(unnest({list(r)}) AS DOUBLE) AS cut" for c, r in _GAIN_CUTS.items())
+_WORTH = "power(greatest(abs({g}) - 0.1::DOUBLE, 0), 2) / ({h} + 1)"
+
+
+@_query(f"""SELECT * FROM (WITH told AS (SELECT month(inv.invoice_date) AS month, day(inv.invoice_date) AS day, isodow(inv.invoice_date) - 1 AS weekday, date_diff('day', inv.invoice_date, due_date) AS term_days, CASE WHEN date_diff('day', due_date, settled_on) > 0 THEN 1 ELSE 0 END AS y FROM inv JOIN stl ON stl.invoice_id = inv.invoice_id JOIN {_SPLIT} sp ON sp.invoice_id = inv.invoice_id WHERE split = 'train' AND due_date IS NOT NULL AND settled_on IS NOT NULL),
+whole AS (SELECT feature, count(*) AS n, sum(0.5::DOUBLE - y) AS g FROM ({_GAIN_LONG}) GROUP BY feature),
+sides AS (SELECT p.feature, cut, count(*) AS nl, sum(0.5::DOUBLE - y) AS gl FROM ({_GAIN_POINTS}) p JOIN ({_GAIN_LONG}) l ON l.feature = p.feature AND v <= cut GROUP BY p.feature, cut)
+SELECT s.feature, cut, nl AS left_rows, round({_WORTH.format(g="gl", h="0.25::DOUBLE * nl")} + {_WORTH.format(g="(g - gl)", h="0.25::DOUBLE * (n - nl)")} - {_WORTH.format(g="g", h="0.25::DOUBLE * n")}, 4) AS gain FROM sides s JOIN whole w ON w.feature = s.feature WHERE nl < n AND 0.25::DOUBLE * nl >= 5 AND 0.25::DOUBLE * (n - nl) >= 5)""")
+def boosted_first_gains(s: SparkSession, d: str) -> DataFrame:
+    """What each cut gains at the root of the first boosted tree, from even odds and all training rows."""
+    bills = views.bills(s, d)
+    rows = features.calendar_features(bills).select("invoice_id", *_GAIN_CUTS).join(features.targets(bills).select("invoice_id", "is_late"), "invoice_id")
+    closed = bills.select("invoice_id", "invoice_date", F.when(F.col("settled_on").isNull(), "OPEN").otherwise("PAID").alias("status"))
+    rows = rows.join(features.temporal_split(closed), "invoice_id")
+    settings = boosting.Settings(rows=1.0, columns=1.0, start=0.0)
+    return boosting.first_gains(rows, list(_GAIN_CUTS), _GAIN_CUTS, settings=settings).withColumn("gain", F.round("gain", 4))
+
+
 _GUESS = f"SELECT CASE WHEN coalesce(round(late / nullif(CAST(settled AS DOUBLE), 0), 6), 0) >= 0.5 AND prior_invoices >= 3 THEN 1 ELSE 0 END AS predicted, CASE WHEN date_diff('day', due_date, settled_on) > 0 THEN 1 ELSE 0 END AS label FROM hist JOIN prior ON prior.invoice_id = hist.invoice_id JOIN inv ON inv.invoice_id = hist.invoice_id JOIN stl ON stl.invoice_id = hist.invoice_id JOIN {_SPLIT} sp ON sp.invoice_id = hist.invoice_id WHERE split = 'test' AND due_date IS NOT NULL"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from .ingest import company_name
 
@@ -77,8 +78,15 @@ def list_invoices(rows: DataFrame, today: str, status: str | None = None, origin
         rows = by_risk(rows, estimates, risk)
     key = F.col({"created": "created_at"}.get(sort, sort))
     order = Window.partitionBy("business_id").orderBy(key.asc_nulls_last() if direction == "asc" else key.desc_nulls_last(), F.desc("created_at"), "invoice_id")
-    rows = rows.withColumn("place", F.row_number().over(order).cast("long")).withColumn("total", F.count("*").over(Window.partitionBy("business_id")))
-    return rows.filter(F.col("place").between(offset + 1, offset + limit))
+    return _page(rows, order, offset, limit)
+
+
+def _page(rows: DataFrame, order: WindowSpec, offset: int, limit: int) -> DataFrame:
+    """``rows`` of a page of each tenant with ``place`` and the tenant's ``total``. The filter behind the rank lets each task keep
+    no more than a tenant's first rows before they are sent; totals are counted apart, first within tasks."""
+    totals = rows.groupBy("business_id").agg(F.count("*").alias("total"))
+    first = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= offset + limit).filter(F.col("place") > offset)
+    return first.withColumn("place", F.col("place").cast("long")).join(totals, "business_id")
 
 
 def by_risk(rows: DataFrame, estimates: DataFrame, risk: str) -> DataFrame:
@@ -92,8 +100,7 @@ def gated_page(stored: DataFrame, history: DataFrame, least: int = 3, offset: in
     """Stored estimates whose customer had ``least`` settled invoices by then: a page of each tenant, newest first, with the gated ``total``."""
     rows = stored.join(history.filter(F.col("settled") >= least).select(*KEY), KEY, "left_semi")
     order = Window.partitionBy("business_id").orderBy(F.desc("created_at"), "invoice_id")
-    rows = rows.withColumn("place", F.row_number().over(order).cast("long")).withColumn("total", F.count("*").over(Window.partitionBy("business_id")))
-    return rows.filter(F.col("place").between(offset + 1, offset + limit))
+    return _page(rows, order, offset, limit)
 
 
 def scoring_readiness(rows: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ _NAME = "lower(trim(regexp_replace(regexp_replace({0}, '[.,;:()\\[\\]{{}}]+', '
 _MORE = f""",
 cust AS (SELECT CAST(c_nationkey AS INT) AS business_id, c_custkey AS customer_id, c_name AS display_name,
   lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0') || translate(lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0'), '0123456789', 'ABCDEFGHIJ') || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || 'K1Z' AS stem FROM customer),
-lst AS (SELECT bill.*, 'INV-' || invoice_id AS number, invoice_date AS created_at, CASE WHEN invoice_id % 97 = 0 THEN 'NEEDS_REVIEW' WHEN invoice_id % 89 = 0 THEN 'PENDING' ELSE 'PROCESSED' END AS processing,
+lst AS (SELECT bill.*, 'INV-' || invoice_id AS number, invoice_date AS created_at,
   CASE WHEN business_id % 3 = 0 THEN CASE WHEN invoice_id % 11 = 0 THEN 'usd' WHEN invoice_id % 13 <> 0 THEN 'INR' END WHEN business_id % 3 = 1 THEN 'eur' END AS currency,
   CASE WHEN customer_id IS NULL THEN 'Acme. ' || invoice_id % 7 || ' Pvt. Ltd.' END AS unresolved_name FROM bill),
 doc AS (SELECT business_id, invoice_id, invoice_date + CAST(invoice_id % 5 AS INT) AS stored_at FROM inv WHERE invoice_id % 3 = 0),
@@ -22,7 +22,7 @@ named AS (SELECT lst.*, display_name, coalesce(stored_at, created_at) AS uploade
 spay AS (SELECT CAST(c_nationkey AS INT) AS business_id, l_orderkey AS invoice_id, CAST(l_shipdate AS DATE) AS paid_on, CASE l_returnflag WHEN 'N' THEN 'import' WHEN 'A' THEN 'manual' WHEN 'R' THEN 'proof_verified' END AS provenance,
   CASE WHEN l_orderkey % 30 = 0 THEN 'customer:' || (o_custkey + 1) WHEN l_orderkey % 40 <> 0 THEN 'customer:' || o_custkey END AS customer_key, CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS DECIMAL(14,2)) AS amount
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE CAST(l_shipdate AS DATE) <= DATE '{TODAY}' GROUP BY 1, 2, 3, 4, 5),
-owe AS (SELECT lst.*, date_diff('day', due_date, DATE '{TODAY}') AS past_due FROM lst WHERE origin = 'CURRENT' AND outstanding > 0 AND status IN ('OPEN', 'PARTIAL'))
+owe AS (SELECT lst.*, date_diff('day', due_date, DATE '{TODAY}') AS past_due FROM lst WHERE origin = 'CURRENT' AND processing = 'PROCESSED' AND outstanding > 0 AND status IN ('OPEN', 'PARTIAL'))
 """
 
 

@@ -29,10 +29,11 @@ pay AS (
 tot AS (SELECT invoice_id, CAST(sum(amount) AS DECIMAL(14,2)) AS paid FROM pay GROUP BY 1),
 bill AS (
   SELECT inv.*, coalesce(paid, 0) AS paid, CASE WHEN coalesce(paid, 0) <= 0 THEN 'OPEN' WHEN paid >= amount THEN 'PAID' ELSE 'PARTIAL' END AS status,
-    CAST(greatest(amount - coalesce(paid, 0), 0) AS DECIMAL(14,2)) AS outstanding
+    CAST(greatest(amount - coalesce(paid, 0), 0) AS DECIMAL(14,2)) AS outstanding,
+    CASE WHEN inv.invoice_id % 97 = 0 THEN 'NEEDS_REVIEW' WHEN inv.invoice_id % 89 = 0 THEN 'PENDING' ELSE 'PROCESSED' END AS processing
   FROM inv LEFT JOIN tot ON inv.invoice_id = tot.invoice_id),
 owed AS (
-  SELECT *, date_diff('day', due_date, DATE '{TODAY}') AS past_due FROM bill WHERE origin = 'CURRENT' AND outstanding > 0 AND status IN ('OPEN', 'PARTIAL')),
+  SELECT *, date_diff('day', due_date, DATE '{TODAY}') AS past_due FROM bill WHERE origin = 'CURRENT' AND processing = 'PROCESSED' AND outstanding > 0 AND status IN ('OPEN', 'PARTIAL')),
 run AS (SELECT invoice_id, paid_on, sum(amount) OVER (PARTITION BY invoice_id ORDER BY paid_on) AS running FROM pay),
 stl AS (SELECT run.invoice_id, min(paid_on) AS settled_on FROM run JOIN inv ON run.invoice_id = inv.invoice_id WHERE running >= amount GROUP BY 1),
 outc AS (

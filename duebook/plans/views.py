@@ -54,13 +54,15 @@ def _shipped(spark: SparkSession, sf_dir: str, today: str) -> DataFrame:
 
 
 def bills(spark: SparkSession, sf_dir: str, today: str = TODAY) -> DataFrame:
-    """The invoices with paid, outstanding, status and settled_on: orders and customers are read once, a payment has the tenant of its order."""
-    return settled(invoices(spark, sf_dir).join(_shipped(spark, sf_dir, today).withColumnRenamed("amount", "part"), "invoice_id", "left"))
+    """The invoices with paid, outstanding, status, settled_on and processing: orders and customers are read once, a payment has the tenant of its order."""
+    rows = settled(invoices(spark, sf_dir).join(_shipped(spark, sf_dir, today).withColumnRenamed("amount", "part"), "invoice_id", "left"))
+    n = F.col("invoice_id")
+    return rows.withColumn("processing", F.when(n % 97 == 0, "NEEDS_REVIEW").when(n % 89 == 0, "PENDING").otherwise("PROCESSED"))
 
 
 def outstanding(rows: DataFrame, today: str = TODAY) -> DataFrame:
-    """Current invoices with something left to pay, and the days that they are past due (null without a due date)."""
-    rows = rows.filter("origin = 'CURRENT' AND outstanding > 0 AND status IN ('OPEN', 'PARTIAL')")
+    """Current, processed invoices with something left to pay, and the days that they are past due (null without a due date)."""
+    rows = rows.filter("origin = 'CURRENT' AND processing = 'PROCESSED' AND outstanding > 0 AND status IN ('OPEN', 'PARTIAL')")
     return rows.withColumn("past_due", F.datediff(F.lit(today).cast("date"), "due_date"))
 
 
@@ -82,10 +84,9 @@ def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bills with number, created_at, processing, currency and the name on those without a customer."""
     n = F.col("invoice_id")
-    processing = F.when(n % 97 == 0, "NEEDS_REVIEW").when(n % 89 == 0, "PENDING").otherwise("PROCESSED")
     currency = F.when(F.col("business_id") % 3 == 0, F.when(n % 11 == 0, "usd").when(n % 13 != 0, "INR")).when(F.col("business_id") % 3 == 1, "eur")
     name = F.when(F.col("customer_id").isNull(), F.concat(F.lit("Acme. "), (n % 7).cast("string"), F.lit(" Pvt. Ltd.")))
-    return bills(spark, sf_dir).select("*", F.concat(F.lit("INV-"), n.cast("string")).alias("number"), F.col("invoice_date").alias("created_at"), processing.alias("processing"), currency.alias("currency"), name.alias("unresolved_name"))
+    return bills(spark, sf_dir).select("*", F.concat(F.lit("INV-"), n.cast("string")).alias("number"), F.col("invoice_date").alias("created_at"), currency.alias("currency"), name.alias("unresolved_name"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,14 +38,17 @@ def _existing(s: SparkSession, d: str) -> DataFrame:
     return rows.select("business_id", F.concat(F.lit("customer:"), F.col("customer_id").cast("string")).alias("customer_key"), F.concat(F.lit(" Inv-"), F.col("l_orderkey").cast("string")).alias("reference"), F.to_date("l_shipdate").alias("paid_on"), F.col("l_extendedprice").cast(views.MONEY).alias("amount"))
 
 
-_IMPORT = """WITH l AS (
+#: A tax number or a name that several customers of a tenant have settles nothing: numbers hold the key's last five digits.
+_IMPORT = """WITH cu AS (SELECT c_custkey, c_nationkey, count(*) OVER (PARTITION BY c_nationkey, c_custkey % 100000) = 1 AS taxed, count(*) OVER (PARTITION BY c_nationkey, lower(c_name)) = 1 AS named FROM customer),
+l AS (
   SELECT c.c_nationkey AS b, o_custkey AS c, l_orderkey AS n, l_linenumber AS line, CAST(l_shipdate AS DATE) AS day, CAST(l_extendedprice AS DECIMAL(14,2)) AS price,
     l_orderkey % 17 <> 0 AND l_orderkey % 19 <> 0 AS matched, CASE WHEN l_orderkey % 17 = 0 THEN '' WHEN l_orderkey % 19 = 0 THEN 'inv-x' || l_orderkey ELSE 'inv-' || l_orderkey END AS ref,
     CASE WHEN l_orderkey % 40 <> 0 THEN o_custkey END AS owner,
-    CASE WHEN l_orderkey % 5 = 0 THEN o_custkey WHEN l_orderkey % 37 = 0 AND nx.c_custkey IS NOT NULL THEN o_custkey + 1 WHEN l_orderkey % 37 <> 0 AND l_orderkey % 3 = 0 THEN o_custkey WHEN l_orderkey % 13 <> 0 THEN o_custkey END AS resolved,
+    CASE WHEN l_orderkey % 5 = 0 AND taxed THEN o_custkey WHEN l_orderkey % 37 = 0 AND l_orderkey % 5 <> 0 AND nx.c_custkey IS NOT NULL THEN o_custkey + 1 WHEN l_orderkey % 37 <> 0 AND l_orderkey % 3 = 0 THEN o_custkey WHEN l_orderkey % 13 <> 0 AND named THEN o_custkey END AS resolved,
+    l_orderkey % 37 = 0 AND nx.c_custkey IS NOT NULL AS next_ref,
     'new:new party ' || l_orderkey % 1000 || ' private limited' AS fresh
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c.c_custkey LEFT JOIN customer nx ON nx.c_custkey = o_custkey + 1 AND nx.c_nationkey = c.c_nationkey),
-r AS (SELECT *, CASE WHEN n % 23 = 0 THEN 'date' WHEN n % 31 = 0 THEN 'amount' WHEN matched AND owner IS NOT NULL AND (resolved IS NULL OR resolved <> owner) THEN 'customer conflicts with the invoice' END AS rejected, coalesce('customer:' || resolved, fresh) AS k FROM l),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN cu c ON o_custkey = c.c_custkey LEFT JOIN customer nx ON nx.c_custkey = o_custkey + 1 AND nx.c_nationkey = c.c_nationkey),
+r AS (SELECT *, CASE WHEN n % 23 = 0 THEN 'date' WHEN n % 31 = 0 THEN 'amount' WHEN matched AND owner IS NOT NULL AND (resolved IS NULL OR resolved <> owner) THEN 'customer conflicts with the invoice' WHEN resolved IS NULL AND next_ref THEN 'ambiguous reference' WHEN resolved IS NULL AND n % 13 <> 0 THEN 'ambiguous customer' END AS rejected, coalesce('customer:' || resolved, fresh) AS k FROM l),
 e AS (SELECT DISTINCT b, 'customer:' || c AS k, 'inv-' || n AS ref, day, price FROM l WHERE line = 7),
 z AS (SELECT r.*, row_number() OVER (PARTITION BY r.b, r.k, r.ref, r.day, r.price, rejected IS NULL ORDER BY line) AS place, e.k IS NOT NULL AS there FROM r LEFT JOIN e ON e.b = r.b AND e.k = r.k AND e.ref = r.ref AND e.day = r.day AND e.price = r.price),
 s AS (SELECT *, CASE WHEN rejected IS NOT NULL THEN 'rejected' WHEN place > 1 OR there THEN 'duplicate' ELSE 'imported' END AS status, CASE WHEN rejected IS NOT NULL THEN rejected WHEN place > 1 THEN 'repeats a row of the file' WHEN there THEN 'exists' WHEN NOT matched THEN 'no such invoice' ELSE 'matched' END AS reason FROM z)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spread import spread
 from .documents import _stage
 from .grammar import CENTS, CODE, FLAGS, GAP, any_of, every, first
 from .identity import TAX_NUMBER
@@ -42,7 +43,7 @@ receipt_days = days_of(DATE_SHAPES)
 
 def proof_fields(rows: DataFrame) -> DataFrame:
     """``rows`` (text, ...) with reference, amount, paid_on, gstin, customer_name, payment_reference, candidates (1) and confidence."""
-    rows = _stage(rows, __t=F.trim(compatible(F.col("text"))))
+    rows = _stage(spread(rows), __t=F.trim(compatible(F.col("text"))))
     t = F.col("__t")
     code = f"{CODE}{{1,63}}"
     shown = lambda r: F.when(~F.upper(r).isin(*NO_REFERENCES), F.substring(r, 1, 64))
@@ -71,13 +72,13 @@ def _points() -> Column:
 def table_proofs(rows: DataFrame, key: list[str]) -> DataFrame:
     """One proof for each ``key`` from the rows of uploaded tables (row_number, invoice, date, amount, customer_name, gstin, payment_reference).
 
-    Its fields are those of the first row; ``candidates`` counts the rows, since a receipt that shows several
+    Its fields are those of the first row, of rows with one number the least by reference, amount and so on; ``candidates`` counts the rows, since a receipt that shows several
     payments must not be booked on one of them.
     """
     text = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     read = rows.select(*key, "row_number", text("invoice").alias("reference"), parse_amount(F.col("amount")).alias("amount"), parse_date(F.col("date")).alias("paid_on"), text("gstin").alias("gstin"), text("customer_name").alias("customer_name"), text("payment_reference").alias("payment_reference"))
     fields = ["reference", "amount", "paid_on", "gstin", "customer_name", "payment_reference"]
-    out = read.groupBy(*key).agg(F.min_by(F.struct(*fields), "row_number").alias("first"), F.count("*").alias("candidates"))
+    out = read.groupBy(*key).agg(F.min_by(F.struct(*fields), F.struct("row_number", *fields)).alias("first"), F.count("*").alias("candidates"))
     return out.select(*key, "first.*", "candidates", F.lit(TABLE_CONFIDENCE).alias("confidence"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from ..functions.spread import spread
 from ..sources import files, workbooks
 from . import views
 from .queries import _query
@@ -47,7 +48,7 @@ def _books(s: SparkSession, d: str) -> DataFrame:
     row = F.concat(F.lit('<row r="'), F.col("k").cast("string"), F.lit('"><c t="inlineStr"><is><t>INV-'), F.col("l_orderkey").cast("string"), F.lit("</t></is></c>"), cell(F.col("price")), cell(F.col("day"), ' s="1"'), F.lit("</row>"))
     head = '<row r="1"><c t="s"><v>0</v></c><c t="s"><v>1</v></c><c t="s"><v>2</v></c></row>'
     sheets = lines.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("k", row.alias("row")))).alias("rows"))
-    return sheets.select(F.concat(F.lit("upload-"), F.col("file").cast("string"), F.lit(".xlsx")).alias("path"), _zipped(F.concat(F.lit(head), F.concat_ws("", "rows.row"))).alias("content"))
+    return spread(sheets).select(F.concat(F.lit("upload-"), F.col("file").cast("string"), F.lit(".xlsx")).alias("path"), _zipped(F.concat(F.lit(head), F.concat_ws("", "rows.row"))).alias("content"))
 
 
 @_query("""SELECT 'upload-' || (l_orderkey // 1000) || '.xlsx' AS path, 1 + row_number() OVER (PARTITION BY l_orderkey // 1000 ORDER BY l_orderkey, l_linenumber, price, day) AS row_number, 'INV-' || l_orderkey AS invoice,

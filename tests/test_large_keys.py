@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from duebook.operators import documents, proofs
 from duebook.plans import registered as queries
+from duebook.sources import workbooks
 
 from compare import compare, duck
 
@@ -50,3 +51,11 @@ def test_texts_of_one_split_are_read_by_many_tasks(spark):
     (one,) = found.collect()
     # patterns take the dotless i for an i, so asking for words first has to do so too
     assert (one.invoice_date, str(one.total)) == (datetime.date(2001, 5, 1), "70.00")
+
+
+def test_workbooks_of_one_split_are_read_once_by_many_tasks(spark):
+    books = spark.createDataFrame([("a.xlsx", bytearray(b"no workbook"))], "path string, content binary").coalesce(1)
+    rows = workbooks.workbook_rows(books)
+    assert rows.rdd.getNumPartitions() >= 8 and [r.problem for r in rows.collect()] == ["unreadable workbook"]
+    plan = workbooks.with_headers(rows, {"amount": ("amount",)})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1

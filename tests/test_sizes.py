@@ -2,6 +2,7 @@
 
 import pytest
 from duebook.functions import spread
+from duebook.plans import models
 from duebook.plans import registered as queries
 from duebook.plans import views
 
@@ -26,3 +27,14 @@ def test_same_results_over_more_tasks(spark, monkeypatch, name):
     monkeypatch.setattr(spread, "ROWS", 500)
     got, want = compare(spark, duck(SF), queries.QUERIES[name], queries.SQL[name], SF)
     assert got == want and got[1]
+
+
+@pytest.mark.parametrize("name", ["prediction_page", "classification_metrics", "calibration_bins", "invoices_by_risk", "training_history", "imputed_features"])
+def test_what_is_read_again_is_a_table(spark, name):
+    files = queries.QUERIES[name](spark, SF).inputFiles()
+    assert files and not any(part in f for f in files for part in ("lineitem.parquet", "/erp-"))
+
+
+def test_matrix_is_a_table(spark):
+    files = models._matrix(spark, SF).inputFiles()
+    assert files and all("/matrix-" in f for f in files)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.spread import dealt
 from ..operators import cleaning, features, history
 from ..sources import files
 from . import views
@@ -111,22 +112,25 @@ def erp_splits(s: SparkSession, d: str) -> DataFrame:
 IMPUTED = ["late_rate", "avg_delay", "median_delay", "min_delay", "max_delay", "std_delay", "days_since_payment", "days_since_invoice", "last3_mean_delay", "last3_late_rate"]
 
 
-def training_features(rows: DataFrame) -> DataFrame:
-    """History features of canonical rows by the training rule: an outcome counts from its clearing day, whoever the tenant is."""
+def training_features(rows: DataFrame, count: int | None = None) -> DataFrame:
+    """History features of canonical rows (``count`` at most, if known) by the training rule: an outcome counts from its clearing day, whoever the tenant is."""
     ledger = rows.select(F.lit(0).alias("business_id"), "invoice_id", F.col("customer_id").cast("long").alias("customer_id"), "invoice_date", "due_date", F.col("clear_date").alias("settled_on"))
-    past = history.history_as_of(ledger, cleared=True)
+    past = history.history_as_of(ledger, cleared=True, count=count)
     number = [F.col(c).cast("double").alias(c) for c in IMPUTED]
     return past.select("invoice_id", "settled", "late", "prior_invoices", "is_new_customer", *number)
 
 
 @_query(_ERP + "SELECT * FROM feat", False)
 def training_history(s: SparkSession, d: str) -> DataFrame:
-    rows = cleaning.canonical(export(s, d))
-    return training_features(rows).join(_split(rows).select("invoice_id", "split"), "invoice_id")
+    n = views.size(s, d, "orders")
+    # cleaned once; equal rows of the export have one number, so they meet in one task
+    rows = cleaning.canonical(dealt(export(s, d), n, "doc_id")).select("invoice_id", "customer_id", "invoice_date", "due_date", "clear_date", "status")
+    rows = files.kept(rows, "canonical")
+    return training_features(rows, n).join(dealt(_split(rows).select("invoice_id", "split"), n, "invoice_id"), "invoice_id")
 
 
 @_query(_ERP + ", med AS (SELECT " + ", ".join(f"coalesce(round(median({c}), 6), 0) AS {c}" for c in IMPUTED) + " FROM feat WHERE split = 'train') SELECT invoice_id, split, " + ", ".join(f"coalesce(feat.{c}, med.{c}) AS {c}" for c in IMPUTED) + " FROM feat, med", False)
 def imputed_features(s: SparkSession, d: str) -> DataFrame:
-    rows = training_history(s, d)
+    rows = files.kept(training_history(s, d), "features")
     medians = features.train_medians(rows.filter("split = 'train'"), IMPUTED)
     return cleaning.impute(rows, medians).select("invoice_id", "split", *IMPUTED)

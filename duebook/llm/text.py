@@ -81,6 +81,13 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(total + sizes.astype(U64) * U64(0xA24BAED4963EE407))
 
 
+def two_words(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of each span, at most 16, as a row of two words; zeros follow."""
+    padded = np.concatenate([raw, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(raw) + 9,), "<u8", padded, strides=(1,))  # the 8 bytes from each byte on
+    return np.stack([eight[starts] & _MASKS[np.minimum(sizes, 8)], eight[starts + 8] & _MASKS[np.maximum(sizes - 8, 0)]], 1)
+
+
 def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k consecutive words within a row, and the row's first entry among them.
 

@@ -8,6 +8,8 @@ chunk's words) and a checksum let any block be decoded alone, and all of them at
 
 from __future__ import annotations
 
+import os
+import string
 import struct
 import uuid
 import zlib
@@ -29,7 +31,8 @@ BLOCK = LANES * STEPS
 CHUNK_IDS = 1 << 19
 SCALE = 20  # frequencies add up to 2^SCALE
 _LOW = np.uint64(1 << 31)
-_CACHE = 1_500_000  # pieces that a worker process keeps, about 250 MB
+_CACHE = 1_500_000  # pieces that a worker process keeps, about 110 MB and the bytes of long ones
+_ALNUM = np.isin(np.arange(256), np.frombuffer((string.ascii_letters + string.digits).encode(), np.uint8))
 
 
 # tokens of a text
@@ -38,7 +41,6 @@ _CACHE = 1_500_000  # pieces that a worker process keeps, about 250 MB
 @cache
 def _tokenizer(path: str):
     import json
-    import os
 
     from tokenizers import Tokenizer
 
@@ -57,20 +59,28 @@ def _tokenizer(path: str):
         sizes[i] = len(token)
     for t in added:
         sizes[t["id"]] = len(t["content"].encode())
-    return tokenizer, plain, sizes
+    # a cut beside one of these parts no added token; an underscore continues a word, which some added tokens must be alone
+    apart = set(string.punctuation.replace("_", "\n")) - set("".join(t["content"] for t in added))
+    marks = np.isin(np.arange(256), [ord(c) for c in apart - {"\n"}])
+    return tokenizer, plain, sizes, marks, "\n" in apart
 
 
 class Encoder:
     """Ids of whole texts. Byte-level tokenizers cut a text before every single space that stands
-    between other characters, so there each distinct piece is encoded once and its ids are reused.
-    Beyond ``_CACHE`` pieces, the half that was used least is forgotten."""
+    between other characters, around a single line feed there, and between a letter or digit and a
+    mark, so there each distinct piece is encoded once and its ids are reused. Pieces are told apart
+    by their bytes: short ones are two words with their size, longer ones a number. Beyond ``_CACHE``
+    pieces, the half that was used least is forgotten."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.plain, self.sizes = _tokenizer(path)
-        self.places: dict[bytes, int] = {}
+        self.tokenizer, self.plain, self.sizes, self.marks, self.lines = _tokenizer(path)
+        self.places = np.zeros((0, 2), np.uint64)  # the words of each piece
+        self.long: dict[bytes, int] = {}
+        self.slots = np.full(1024, -1, np.int32)  # places by hash; the next slot if one is taken
         self.flat = np.zeros(0, np.uint32)
         self.first = np.zeros(1, np.int64)
         self.uses = np.zeros(0, np.int64)
+        self.seed = np.uint64(int.from_bytes(os.urandom(8)))
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -92,21 +102,86 @@ class Encoder:
                 sizes.append(np.array([len(x) for x in found]))
         return flat, sizes
 
-    def _learn(self, pieces: list[bytes], joined: np.ndarray) -> np.ndarray:
+    def _learn(self, pieces: list[bytes], words: np.ndarray, joined: np.ndarray) -> np.ndarray:
         """The places of new pieces."""
         alone = np.flatnonzero(~joined)
         flat, sizes = self._encode_joined([p for p, j in zip(pieces, joined.tolist(), strict=True) if j])
         found = self._ids([pieces[k].decode() for k in alone.tolist()])
         n = len(self.places)
         order = np.concatenate([np.flatnonzero(joined), alone])
-        self.places.update(zip([pieces[k] for k in order.tolist()], range(n, n + len(pieces)), strict=True))
+        self.places = np.concatenate([self.places, words[order]])
         self.flat = np.concatenate([self.flat, *flat, *found])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate([*sizes, np.array([len(x) for x in found], np.int64)]))])
         self.uses = np.concatenate([self.uses, np.zeros(len(pieces), np.int64)])
+        self._fill(n)
         places = np.empty(len(pieces), np.int64)
         places[order] = n + np.arange(len(pieces))
         return places
 
+    def _words(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Two words of each piece, which no other piece has."""
+        sizes = ends - starts
+        words = tx.two_words(raw, starts, np.minimum(sizes, 15))
+        words[:, 1] |= sizes.astype(np.uint64) << np.uint64(56)
+        far = np.flatnonzero(sizes > 15)
+        number = next(reversed(self.long.values()), -1) + 1
+        for k, a, b in zip(far.tolist(), starts[far].tolist(), ends[far].tolist(), strict=True):
+            at = self.long.setdefault(raw[a:b].tobytes(), number)
+            number = max(number, at + 1)
+            words[k, 0] = at
+        words[far, 1] = np.uint64(255 << 56)
+        return words
+
+    def _home(self, words: np.ndarray) -> np.ndarray:
+        return (tx.mix(words[:, 0] ^ tx.mix(words[:, 1] ^ self.seed)) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def _fill(self, n: int) -> None:
+        """Slots for the places from ``n`` on."""
+        if 2 * len(self.places) > len(self.slots):
+            self.slots = np.full(2 << (2 * len(self.places)).bit_length(), -1, np.int32)
+            n = 0
+        rest, at = np.arange(n, len(self.places)), self._home(self.places[n:])
+        while len(rest):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = rest[free]
+            wait = self.slots[at] != rest
+            rest, at = rest[wait], (at[wait] + 1) & (len(self.slots) - 1)
+
+    def _find(self, words: np.ndarray) -> np.ndarray:
+        """The place of each piece, -1 for those that are not kept."""
+        place = np.full(len(words), -1, np.int64)
+        rest, at = np.arange(len(words) if len(self.places) else 0), self._home(words)
+        while len(rest):
+            found = self.slots[at]
+            kept = self.places[found]  # the last place for an empty slot, which then is another piece
+            same = (kept[:, 0] == words[:, 0]) & (kept[:, 1] == words[:, 1])
+            place[rest[same]] = found[same]
+            on = np.flatnonzero(~same & (found >= 0))
+            rest, at, words = rest[on], (at[on] + 1) & (len(self.slots) - 1), words[on]
+        return place
+
+    def _cuts(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where pieces begin, and bytes that white space can't be before and after."""
+        # neighbours that can't be white space: ASCII beyond the space, or a Latin letter of two bytes
+        left = (raw > 0x20) & (raw < 0x7F)
+        right = left | (raw == 0xC3)
+        latin = np.zeros(len(raw), bool)
+        latin[1:] = (raw[1:] >= 0x80) & (raw[:-1] == 0xC3)
+        left |= latin
+        cut = np.zeros(len(raw) + 1, bool)
+        if len(raw) > 2:
+            between = left[:-2] & right[2:]
+            cut[1 : len(raw) - 1] = (raw[1:-1] == 0x20) & between
+            if self.lines:
+                lines = np.flatnonzero((raw[1:-1] == 0x0A) & between) + 1
+                cut[lines] = cut[lines + 1] = True
+        marks = np.flatnonzero(self.marks[raw[1:]] & left[:-1])
+        last = raw[marks]
+        marks = marks[_ALNUM[last] | (latin[marks] & (last != 0x97) & (last != 0xB7))]  # the signs of product and ratio are no letters
+        cut[marks + 1] = True
+        cut[offsets] = True
+        return cut, left, right
+
     def rows(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of a run of rows, each row's first id)."""
         for at, raw, offsets in tx.slices(column):
@@ -115,44 +190,43 @@ class Encoder:
                 ids = self._ids(texts)
                 yield at, np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
                 continue
-            # neighbours that can't be white space: ASCII beyond the space, or a Latin letter of two bytes
-            left = (raw > 0x20) & (raw < 0x7F)
-            right = left | (raw == 0xC3)
-            left[1:] |= (raw[1:] >= 0x80) & (raw[:-1] == 0xC3)
-            cut = np.zeros(len(raw) + 1, bool)
-            if len(raw) > 2:
-                cut[1 : len(raw) - 1] = (raw[1:-1] == 0x20) & left[:-2] & right[2:]
-            cut[offsets] = True
+            cut, left, right = self._cuts(raw, offsets)
             starts = np.flatnonzero(cut[:-1])
             ends = np.append(starts[1:], len(raw))
-            pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
-            keys, inverse = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
             if len(self.places) > _CACHE:
                 self._forget()
-            place = np.fromiter((self.places.get(k, -1) for k in keys), np.int64, len(keys))
+            words = self._words(raw, starts, ends)
+            place = self._find(words)
             missing = np.flatnonzero(place < 0)
             if len(missing):
-                index = np.empty(len(keys), np.int64)
-                index[inverse[::-1]] = np.arange(len(starts))[::-1]  # where each piece stands first
-                begin, end = starts[index[missing]], ends[index[missing]]
+                missing = missing[np.lexsort(words[missing].T)]
+                new = np.ones(len(missing), bool)
+                new[1:] = (words[missing[1:]] != words[missing[:-1]]).any(1)
+                one = missing[new]
+                begin, end = starts[one], ends[one]
                 joined = (raw[begin] == 0x20) & (end - begin > 1) & right[np.minimum(begin + 1, len(raw) - 1)] & left[end - 1]
-                place[missing] = self._learn([keys[k] for k in missing.tolist()], joined)
-            self.uses[place] += np.bincount(inverse, minlength=len(keys))
-            place = place[inverse]
-            sizes = self.first[place + 1] - self.first[place]
+                data = raw.tobytes()
+                pieces = [data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+                place[missing] = self._learn(pieces, words[one], joined)[np.cumsum(new) - 1]
+            np.add.at(self.uses, place, 1)
+            first = self.first[place]
+            sizes = self.first[place + 1] - first
             begin = np.concatenate([[0], np.cumsum(sizes)])
-            ids = self.flat[np.arange(begin[-1]) + np.repeat(self.first[place] - begin[:-1], sizes)]
+            ids = self.flat[np.arange(begin[-1]) + np.repeat(first - begin[:-1], sizes)]
             yield at, ids, begin[np.searchsorted(starts, offsets)]
 
     def _forget(self) -> None:
         """Keep the half of the pieces that were used most."""
-        keys = list(self.places)  # in order of their places
-        kept = np.sort(np.argsort(-self.uses, kind="stable")[: len(keys) // 2])
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: len(self.places) // 2])
         sizes = np.diff(self.first)[kept]
         begin = np.concatenate([[0], np.cumsum(sizes)])
         self.flat = self.flat[np.arange(begin[-1]) + np.repeat(self.first[kept] - begin[:-1], sizes)]
-        self.places = dict(zip([keys[k] for k in kept.tolist()], range(len(kept)), strict=True))
+        self.places = self.places[kept]
+        numbers = set(self.places[self.places[:, 1] == np.uint64(255 << 56), 0].tolist())
+        self.long = {piece: k for piece, k in self.long.items() if k in numbers}
         self.first, self.uses = begin, self.uses[kept] // 2
+        self.slots.fill(-1)
+        self._fill(0)
 
 
 @cache
@@ -250,7 +324,7 @@ def pack(ids: np.ndarray, table: Table) -> bytes:
     limit = np.uint64(1 << (63 - SCALE))
     for t in range(STEPS - 1, -1, -1):
         symbol = steps[:, t]
-        f, c = table.freq[symbol], table.start[symbol]
+        f, c = table.freq.take(symbol), table.start.take(symbol)
         full = state >= limit * f
         words[t], sent[t] = state.astype(np.uint32), full
         state = np.where(full, state >> np.uint64(32), state)
@@ -273,20 +347,22 @@ def unpack(data: bytes, table: Table, blocks: slice = slice(None)) -> np.ndarray
     places = np.frombuffer(data, "<u8", count, at).astype(np.int64)
     state = np.frombuffer(data, "<u8", count * LANES, at + 8 * count).reshape(count, LANES)
     sums = np.frombuffer(data, "<u4", count, at + 8 * count * (1 + LANES))
-    stream = np.append(np.frombuffer(data, "<u4", size, at + 8 * count * (1 + LANES) + 4 * count), np.uint32(0)).astype(np.uint64)
+    stream = np.frombuffer(data, "<u4", size, at + 8 * count * (1 + LANES) + 4 * count).astype(np.uint64)
     which = np.arange(count)[blocks]
     at, state = places[which], state[which].astype(np.uint64)
     out = np.zeros((len(which), STEPS, LANES), np.uint32)
     mask = np.uint64((1 << SCALE) - 1)
     for t in range(STEPS):
         slot = state & mask
-        symbol = table.ids[slot.astype(np.int64)]
+        symbol = table.ids.take(slot.view(np.int64))
         out[:, t] = symbol
-        state = table.freq[symbol] * (state >> np.uint64(SCALE)) + slot - table.start[symbol]
+        symbol = symbol.astype(np.int64)
+        state = table.freq.take(symbol) * (state >> np.uint64(SCALE)) + slot - table.start.take(symbol)
         need = state < _LOW
-        place = at[:, None] + np.cumsum(need, 1) - 1
-        state = np.where(need, state << np.uint64(32) | stream[np.where(need, place, size)], state)
-        at = at + need.sum(1)
+        read = np.cumsum(need, 1)
+        low = np.flatnonzero(need)
+        state.ravel()[low] = state.take(low) << np.uint64(32) | stream.take((read + (at[:, None] - 1)).take(low))
+        at = at + read[:, -1]
     lengths = np.minimum(BLOCK, n - which * BLOCK)
     for k, length in enumerate(lengths):
         if zlib.crc32(out[k].reshape(-1)[:length].astype("<u4").tobytes()) != sums[which[k]]:

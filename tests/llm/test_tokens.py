@@ -1,5 +1,7 @@
+import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -32,6 +34,35 @@ def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
     assert len(encoder.places) < 1500 + 7 * 600
 
 
+def test_a_word_is_learnt_once_before_any_mark_or_line_end():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=12)) for _ in range(300)]
+    encoder = tokens.Encoder(PATH)
+    text = [" ".join(w + mark for w in words) for mark in ["", ",", ".", ";", "?!", ")", "'", ":\nx", "\nx"]]
+    want = [x.ids for x in Tokenizer.from_file(PATH).encode_batch(text, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for _, ids, first in encoder.rows(pa.array(text)) for a, b in zip(first[:-1], first[1:])] == want
+    assert len(encoder.places) < 300 + 20
+
+
+def test_cuts_beside_marks_part_no_token(monkeypatch, tmp_path):
+    spec = json.loads(Path(PATH).read_text(encoding="utf-8"))
+    more = [("b,c", False), ("zqword", True), ("x\ny", False)]
+    extra = [{"id": 50257 + k, "content": c, "single_word": w, "lstrip": False, "rstrip": False, "normalized": False, "special": True} for k, (c, w) in enumerate(more)]
+    own = tmp_path / "tokenizer.json"
+    own.write_text(json.dumps(spec | {"added_tokens": spec["added_tokens"] + extra}), encoding="utf-8")
+    rng = random.Random(6)
+    bits = [" ", "\n", "\r", "\x00", "\t", *".,;:!?'\"_-()<|>/", "é", "ß", "×", "÷", "\xa0", "a", "b", "c", "x", "y", "7", "'s", "'ll", "zqword", "b,c", "x\ny", "<|endoftext|>", "日本", "е", "fourteen chars", "fifteencharsabc", "sixteencharsabcd", "seventeencharsabc"]
+    rows = ["".join(rng.choices(bits, k=rng.randint(0, 60))) for _ in range(3000)]
+    monkeypatch.setattr(tokens, "_CACHE", 700)
+    for path in (PATH, str(own)):
+        want = [x.ids for x in Tokenizer.from_file(path).encode_batch(rows, add_special_tokens=False)]
+        encoder = tokens.Encoder(path)
+        for k in range(0, len(rows), 50):
+            got = [ids[a:b].tolist() for _, ids, first in encoder.rows(pa.array(rows[k : k + 50])) for a, b in zip(first[:-1], first[1:])]
+            assert got == want[k : k + 50]
+        assert len(encoder.long) < len(encoder.places) < 700 + 50 * 60
+
+
 def test_ids_beyond_the_vocabulary_are_an_error(spark):
     df = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
     with pytest.raises(Exception, match="larger vocabulary"):

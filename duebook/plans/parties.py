@@ -13,7 +13,7 @@ from .queries import _query
 def _documents(s: SparkSession, d: str) -> DataFrame:
     """What the orders' documents say about their parties, in many ways right and wrong."""
     n, key = F.col("o_orderkey"), F.col("o_custkey")
-    owners = views.customers(s, d).select(F.col("customer_id").alias("o_custkey"), "business_id", "display_name", "gstin", "reference")
+    owners = views.customers(s, d, whole_keys=True).select(F.col("customer_id").alias("o_custkey"), "business_id", "display_name", "gstin", "reference")
     rows = views.table(s, d, "orders").select("o_orderkey", "o_custkey").join(owners, "o_custkey").join(views.tenants(s, d), "business_id")
     name = F.col("display_name")
     return rows.select(
@@ -42,5 +42,6 @@ x AS (SELECT *, st = 'created' AND n > min(n) OVER (PARTITION BY b, owner) AS la
 SELECT b AS business_id, n AS invoice_id, CASE WHEN later THEN 'matched' ELSE st END AS status, CASE WHEN later THEN 'buyer_identity' WHEN st IN ('matched', 'created') THEN detail END AS matched_by,
   CASE WHEN detail = 'selected_company' THEN sel WHEN st = 'matched' THEN c END AS matched_id, owner AS owner_name, CASE WHEN st = 'review' THEN detail END AS reason FROM x""", views_first=False)
 def invoice_parties(s: SparkSession, d: str) -> DataFrame:
-    out = parties.decide(_documents(s, d), views.tenants(s, d), views.customers(s, d))
+    # a tax number says whose document it is only where no other customer has it
+    out = parties.decide(_documents(s, d), views.tenants(s, d), views.customers(s, d, whole_keys=True))
     return out.select("business_id", "invoice_id", "status", "matched_by", "matched_id", "owner_name", "reason")

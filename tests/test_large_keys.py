@@ -30,6 +30,16 @@ def test_shared_tax_numbers_and_names(spark, copied, name):
     assert got == want and got[1]
 
 
+def test_parties_beyond_five_digits(spark, copied, tmp_path):
+    """The second customers have names of their own, and the last five digits of the first."""
+    con = duckdb.connect()
+    for name in ("customer", "orders"):
+        named = " REPLACE ('Customer#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS c_name)" if name == "customer" else ""
+        con.execute(f"COPY (SELECT *{named} FROM '{copied}/{name}.parquet') TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    got, want = compare(spark, duck(tmp_path), queries.QUERIES["invoice_parties"], queries.SQL["invoice_parties"], str(tmp_path))
+    assert got == want and got[1]
+
+
 def test_first_row_of_a_table_among_equal_numbers(spark):
     row = "file int, row_number long, invoice string, amount string, date string, customer_name string, gstin string, payment_reference string"
     rows = [(f, 5, "INV-1", a, "2.1.2001", None, "", "U") for f, amounts in ((1, ("9", "3", "7")), (2, ("3", "9"))) for a in amounts] + [(1, 6, "INV-0", "1", "1.1.2001", None, "", "U")]

@@ -158,3 +158,20 @@ def test_contributions_against_all_coalitions(spark, monkeypatch):
             want = sum(math.factorial(len(s)) * math.factorial(3 - len(s)) / 24 * (value[s | {i}] - value[s]) for s in value if i not in s)
             assert r.parts[i] == pytest.approx(want, abs=1e-9)
     assert models.contributions(rows.limit(0), columns, model).collect() == []
+
+
+def test_trees_go_on_until_none_helps(spark, monkeypatch):
+    assert [models._stop(losses, 3) for losses in ([5, 4, 6, 3, 3, 4, 3.5, 1], [5, 4, 6, 3, 3, 4], [1], [1, 2, 3, 4])] == [(4, True), (4, False), (1, False), (1, True)]
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, 2))
+    late = (np.sin(3 * x[:, 0]) + x[:, 1] + rng.standard_normal(600) / 2 > 0).astype(int)
+    rows = spark.createDataFrame([(*map(float, v), int(y), "validation" if k % 3 == 0 else "train") for k, (v, y) in enumerate(zip(x, late))], "a double, b double, is_late int, split string").coalesce(1)
+    monkeypatch.setattr(models, "DEPTH", 2)
+    monkeypatch.setattr(models, "PATIENCE", 6)
+    whole = models.train_classifier(rows.withColumn("split", F.when(F.col("split") == "train", "train")), ["a", "b"], 40)
+    assert len(whole.trees) == 40
+    model = models.train_classifier(rows, ["a", "b"], 40)
+    losses = whole.evaluateEachIteration(models._vectors(rows.filter("split = 'validation'").withColumn("label", F.col("is_late").cast("double")), ["a", "b"]))
+    # one tree that gains little is no end, and the trees are the first of all 40
+    assert len(model.trees) == models._stop(losses, 6)[0] > 5
+    assert [t.toDebugString.split("\n", 1)[1] for t in model.trees] == [t.toDebugString.split("\n", 1)[1] for t in whole.trees[: len(model.trees)]]

@@ -2,6 +2,8 @@ import datetime
 
 import pytest
 from duebook.operators import documents, proofs
+from duebook.operators.ingest import folded
+from pyspark.sql import functions as F
 
 D = datetime.date
 GSTIN = "27AAPFU0939F1ZV"
@@ -93,3 +95,21 @@ def test_proof_tables(spark):
     got = {r.file: r for r in proofs.table_proofs(spark.createDataFrame(rows, kind), ["file"]).collect()}
     assert (got["a"].reference, str(got["a"].amount), got["a"].paid_on, got["a"].candidates, got["a"].customer_name, got["a"].gstin, got["a"].confidence) == ("INV-1", "1000.00", D(2024, 2, 1), 2, "Z", None, 0.9)
     assert (got["b"].reference, got["b"].amount, got["b"].candidates) == (None, None, 1)
+
+
+def test_readings_are_dealt_and_read_once(spark):
+    rows = spark.createDataFrame([("a", "text", "Invoice No: INV-1"), ("a", "ocr", None)], "doc string, reading string, text string")
+    plan = documents.best_readings(rows, ["doc"])._jdf.queryExecution().executedPlan().toString()
+    # readings of one document are together before they are compared, and a text is made plain once
+    assert (plan.count("RoundRobin"), plan.count("ArrowEvalPython [_nfkc")) == (0, 1)
+
+
+def test_days_and_texts_beyond_ascii(spark):
+    texts = ["1st/2/2000", "٣/٤/2001", "3rd March 2001", "#: 5 May 2001 -", "2001-2-30", "", "INV-2001", "1/2/2000\0", "May\t5, 2001", "1– 2"]
+    rows = spark.createDataFrame([(1, texts), (2, []), (3, None), (4, [None, "4/5/2001"])], "k int, a array<string>")
+    got = {r.k: r.d for r in rows.select("k", proofs.receipt_days(F.col("a")).alias("d")).collect()}
+    assert got == {1: [D(2000, 2, 1), D(2001, 4, 3), D(2001, 3, 3), D(2001, 5, 5), None, None, None, None, D(2001, 5, 5), None], 2: [], 3: None, 4: [None, D(2001, 5, 4)]}
+    said = ["A\r\nB\r C", "a \t\f b", "x  \n\n\n\n y ", "ｌ2O20 1l,5", "Straße ﬁ ‑–", None]
+    plain = [r.p for r in spark.createDataFrame([(k, t) for k, t in enumerate(said)], "k int, t string").orderBy("k").select(documents.plain_text(F.col("t"), True).alias("p")).collect()]
+    assert plain == ["A\nB\nC", "a b", "x\n\ny", "l2020 11,5", "Straße fi --", None]
+    assert [r.f for r in spark.createDataFrame([("ABC",), ("Straße ﬁ İ",), (None,)], "t string").select(folded(F.col("t")).alias("f")).collect()] == ["abc", "strasse fi i̇", None]

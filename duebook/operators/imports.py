@@ -21,24 +21,24 @@ def classify(rows: DataFrame, bills: DataFrame, customers: DataFrame, existing:
     """
     parsed = rows.withColumns({"paid_on": parse_date(F.col("date")), "value": parse_amount(F.col("amount"))})
     parsed = parsed.withColumns({"given_id": F.col("customer_id").try_cast("long"), "reference": F.nullif("invoice", F.lit(""))})
-    found = match_references(parsed, bills).withColumnRenamed("matched_invoice", "invoice_id")
-    owners = bills.select("business_id", "invoice_id", "number", F.col("customer_id").alias("owner"))
-    found = found.join(owners, ["business_id", "invoice_id"], "left")
-    evidence = found.select(
-        "business_id", "row_number", F.col("given_id").alias("customer_id"), "gstin", F.nullif("customer_ref", F.lit("")).alias("reference"), F.col("customer_name").alias("name"),
-    )
-    named = resolve(evidence, customers.withColumnRenamed("display_name", "name")).select("business_id", "row_number", "resolved_id")
-    found = found.join(named, ["business_id", "row_number"])
-    fresh = company_name(F.col("customer_name"))
+    # what names a customer recurs over the rows, so it is resolved once for each tenant; nulls are equal in a struct
+    evidence = [F.col("given_id").alias("customer_id"), F.col("gstin").alias("gstin"), F.nullif("customer_ref", F.lit("")).alias("reference"), F.col("customer_name").alias("name")]
+    parsed = parsed.withColumn("who", F.struct("business_id", *evidence))
+    known = customers.withColumnRenamed("display_name", "name")
+    named = resolve(parsed.select("who").distinct().select("who", "who.*"), known)
+    named = named.withColumns({"k_ref": F.nullif(F.lower(F.trim("reference")), F.lit("")), "k_name": company_name(F.col("name"))})
     # a reference or a name that several customers have, or one with another tax number, can't make a new customer
     taken = lambda c, name: customers.select("business_id", c.alias(name)).filter(F.col(name).isNotNull()).distinct().withColumn(f"{name}_taken", F.lit(True))
-    found = found.withColumns({"k_ref": F.nullif(F.lower(F.trim("customer_ref")), F.lit("")), "k_name": fresh})
-    found = found.join(taken(F.lower(F.trim("reference")), "k_ref"), ["business_id", "k_ref"], "left").join(taken(company_name(F.col("display_name")), "k_name"), ["business_id", "k_name"], "left")
+    named = named.join(taken(F.lower(F.trim("reference")), "k_ref"), ["business_id", "k_ref"], "left").join(taken(company_name(F.col("display_name")), "k_name"), ["business_id", "k_name"], "left")
+    has = F.col("customer_id").isNotNull() | F.col("k_ref").isNotNull() | F.col("k_name").isNotNull()
+    named = named.select("who", "resolved_id", has.alias("has"), F.when(F.col("resolved_id").isNull(), F.col("k_name")).alias("k_name"), "k_ref_taken", "k_name_taken")
+    no_id = F.col("customer_id").isNotNull() & (F.col("customer_id") != "") & F.col("given_id").isNull()
+    needed = parsed.select("business_id", "row_number", "who", "paid_on", "value", "reference", no_id.alias("no_id"), "payment_reference").join(named, "who").drop("who")
+    found = match_references(needed, bills.withColumn("owner", F.col("customer_id")), "number", "owner").withColumnRenamed("matched_invoice", "invoice_id")
 
-    has = F.coalesce(F.col("given_id").isNotNull() | F.col("k_ref").isNotNull() | F.col("k_name").isNotNull(), F.lit(False))
-    conflict = F.col("owner").isNotNull() & F.when(F.col("resolved_id").isNull(), has).otherwise(F.col("resolved_id") != F.col("owner"))
+    conflict = F.col("owner").isNotNull() & F.when(F.col("resolved_id").isNull(), F.col("has")).otherwise(F.col("resolved_id") != F.col("owner"))
     unresolved = F.col("resolved_id").isNull()
-    reason = F.when(F.col("paid_on").isNull(), "date").when(F.col("value").isNull(), "amount").when(F.col("customer_id").isNotNull() & (F.col("customer_id") != "") & F.col("given_id").isNull(), "customer id")
+    reason = F.when(F.col("paid_on").isNull(), "date").when(F.col("value").isNull(), "amount").when(F.col("no_id"), "customer id")
     reason = reason.when(conflict, "customer conflicts with the invoice").when(unresolved & F.col("k_name").isNull(), "no customer").when(unresolved & F.col("k_ref_taken"), "ambiguous reference").when(unresolved & F.col("k_name_taken"), "ambiguous customer")
     found = found.withColumn("rejected", reason)
     key = F.when(unresolved, F.concat(F.lit("new:"), F.col("k_name"))).otherwise(F.concat(F.lit("customer:"), F.col("resolved_id").cast("string")))
@@ -47,7 +47,8 @@ def classify(rows: DataFrame, bills: DataFrame, customers: DataFrame, existing:
     good = F.col("rejected").isNull()
     order = Window.partitionBy(*natural, good).orderBy("row_number")
     before = existing.filter("customer_key IS NOT NULL").select("business_id", "customer_key", F.lower(F.trim(F.coalesce("reference", F.lit("")))).alias("natural_ref"), "paid_on", F.col("amount").alias("value")).distinct().withColumn("there", F.lit(True))
-    found = found.withColumn("k", F.row_number().over(order)).join(before, natural, "left")
+    # joined first: the window then takes the join's partitions over
+    found = found.join(before, natural, "left").withColumn("k", F.row_number().over(order))
     why = F.when(~good, F.col("rejected")).when(F.col("k") > 1, "repeats a row of the file").when(F.col("there"), "exists").when(F.col("invoice_id").isNull(), "no such invoice").otherwise("matched")
     status = F.when(~good, "rejected").when((F.col("k") > 1) | F.coalesce("there", F.lit(False)), "duplicate").otherwise("imported")
     return found.select("business_id", "row_number", "customer_key", F.coalesce("number", "reference").alias("reference"), "paid_on", F.col("value").alias("amount"), "payment_reference", F.col("invoice_id").alias("matched_invoice"), status.alias("status"), why.alias("reason"))

@@ -2,7 +2,7 @@
 
 import pytest
 from duebook.functions import spread
-from duebook.plans import models
+from duebook.plans import imports, models
 from duebook.plans import registered as queries
 from duebook.plans import views
 
@@ -38,3 +38,13 @@ def test_what_is_read_again_is_a_table(spark, name):
 def test_matrix_is_a_table(spark):
     files = models._matrix(spark, SF).inputFiles()
     assert files and all("/matrix-" in f for f in files)
+
+
+def test_rows_of_an_import_are_shuffled_few_times(spark):
+    """What names a customer is resolved once for equal rows, and invoices and payments are met by one shuffle each; it took 42 with a join for each step."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = imports._classified(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") <= 32

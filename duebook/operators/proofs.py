@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spread import spread
 from .documents import _stage
-from .grammar import CENTS, CODE, FLAGS, GAP, any_of, every, first
+from .grammar import CENTS, CODE, FLAGS, GAP, any_of, bound, every, first, first_said, shown
 from .identity import TAX_NUMBER
 from .ingest import DATE_SHAPES, compatible, days_of, parse_amount, parse_date, reference_key
 
@@ -39,27 +41,33 @@ _DAY_PATTERNS = (
 
 
 receipt_days = days_of(DATE_SHAPES)
+#: A day by numbers that every month has.
+_SURE_DAY = r"^(0?[1-9]|1\d|2[0-8])([/.-])(0?[1-9]|1[0-2])\2[12]\d{3}$"
 
 
 def proof_fields(rows: DataFrame) -> DataFrame:
     """``rows`` (text, ...) with reference, amount, paid_on, gstin, customer_name, payment_reference, candidates (1) and confidence."""
     rows = _stage(spread(rows), __t=F.trim(compatible(F.col("text"))))
-    t = F.col("__t")
+    rows = _stage(rows, __low=shown(F.col("__t")))
+    t, low = F.col("__t"), F.col("__low")
     code = f"{CODE}{{1,63}}"
-    shown = lambda r: F.when(~F.upper(r).isin(*NO_REFERENCES), F.substring(r, 1, 64))
-    behind = shown(first(t, rf"{FLAGS}{any_of(REFERENCES)}(?:\s*{any_of(REFERENCE_WORDS)})?{GAP}({code})"))
-    prefixed = shown(first(t, rf"{FLAGS}\b({any_of(REFERENCE_PREFIXES)}[A-Z0-9]*[-_/][A-Z0-9/_.-]{{1,60}})\b"))
-    amounts = F.concat(every(t, rf"{FLAGS}{any_of(AMOUNTS)}{GAP}(?:{_SIGN})?{_AMOUNT}"), every(t, rf"(?U){_SIGN}{_AMOUNT}"))
-    days = F.concat(*(every(t, p) for p in _DAY_PATTERNS))
+    named = lambda found: bound(found, lambda r: F.when(~F.upper(r).isin(*NO_REFERENCES), F.substring(r, 1, 64)))
+    behind = named(first(t, rf"{FLAGS}{any_of(REFERENCES)}(?:\s*{any_of(REFERENCE_WORDS)})?{GAP}({code})"))
+    prefixed = named(first(t, rf"{FLAGS}\b({any_of(REFERENCE_PREFIXES)}[A-Z0-9]*[-_/][A-Z0-9/_.-]{{1,60}})\b"))
+    # the first that is an amount counts, so what stands behind no label is searched only where none behind one is
+    amount = lambda pattern: F.get(F.array_compact(F.transform(every(t, pattern), lambda a: parse_amount(a, plain=True))), F.lit(0))
+    labelled, *others = (every(t, p) for p in _DAY_PATTERNS)
+    days = bound(labelled, lambda found: F.when(F.get(found, F.lit(0)).rlike(_SURE_DAY), F.slice(found, 1, 1)).otherwise(F.concat(found, *others)))
+    paid_by = low.contains("paid") & low.contains("by")
+    payer = F.when(paid_by | reduce(Column.__or__, (low.contains(w) for w in PAYERS[1:])), first(t, rf"{FLAGS}{any_of(PAYERS)}{GAP}([A-Za-z0-9\s.,&'-]{{3,80}})"))
     rows = _stage(
-        rows, reference=F.coalesce(behind, prefixed), amount=F.get(F.array_compact(F.transform(amounts, lambda a: parse_amount(a, plain=True))), F.lit(0)),
-        __days=days, gstin=first(t, r"\b(" + TAX_NUMBER.strip("^$") + r")\b"),
-        __payer=F.trim(F.get(F.split(first(t, rf"{FLAGS}{any_of(PAYERS)}{GAP}([A-Za-z0-9\s.,&'-]{{3,80}})"), "\n"), F.lit(0))),
-        payment_reference=F.substring(first(t, rf"{FLAGS}{any_of(TRANSFERS)}{GAP}([A-Z0-9]{{6,40}})"), 1, 128),
+        rows, reference=F.coalesce(behind, prefixed), amount=F.coalesce(amount(rf"{FLAGS}{any_of(AMOUNTS)}{GAP}(?:{_SIGN})?{_AMOUNT}"), amount(rf"(?U){_SIGN}{_AMOUNT}")),
+        __days=days, gstin=first(t, r"\b(" + TAX_NUMBER.strip("^$") + r")\b"), __payer=F.trim(F.get(F.split(payer, "\n"), F.lit(0))),
+        payment_reference=F.substring(first_said(t, low, tuple(w.split()[0] for w in TRANSFERS), rf"{FLAGS}{any_of(TRANSFERS)}{GAP}([A-Z0-9]{{6,40}})"), 1, 128),
     )
     rows = rows.withColumn("paid_on", F.get(F.array_compact(receipt_days(F.col("__days"))), F.lit(0)))
     rows = rows.withColumns({"customer_name": F.when(F.length("__payer") >= 3, F.col("__payer")), "candidates": F.lit(1).cast("long"), "confidence": _points() / 10})
-    return rows.drop("__t", "__payer", "__days")
+    return rows.drop("__t", "__low", "__payer", "__days")
 
 
 def _points() -> Column:

@@ -113,3 +113,12 @@ def test_days_and_texts_beyond_ascii(spark):
     plain = [r.p for r in spark.createDataFrame([(k, t) for k, t in enumerate(said)], "k int, t string").orderBy("k").select(documents.plain_text(F.col("t"), True).alias("p")).collect()]
     assert plain == ["A\nB\nC", "a b", "x\n\ny", "l2020 11,5", "Straße fi --", None]
     assert [r.f for r in spark.createDataFrame([("ABC",), ("Straße ﬁ İ",), (None,)], "t string").select(folded(F.col("t")).alias("f")).collect()] == ["abc", "strasse fi i̇", None]
+
+
+def test_days_and_amounts_behind_no_label(spark):
+    """What can't be a day or an amount behind a label gives way to what stands elsewhere, in order."""
+    texts = ["Paid on: 30-02-2024\nseen 3/4/2024", "Paid on: 28.02.2024 or 1/1/2020", "Amount paid: 0\n$ 7.25", "PA\u0130D BY: Ann Lee", "by Bo, paid"]
+    got = [(r.paid_on, r.amount if r.amount is None else str(r.amount), r.customer_name) for r in proofs.proof_fields(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")).orderBy("k").collect()]
+    assert got[0][0] == D(2024, 4, 3) and got[1][0] == D(2024, 2, 28) and got[2][1] == "7.25" and got[4][2] is None
+    plan = proofs.proof_fields(spark.createDataFrame([(1, "x")], "k int, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "[-/.]" in plan and "CASE WHEN RLIKE(lambda" in plan
